@@ -1,9 +1,16 @@
 """The registered queries of this subpackage, each over its whole table, and their SQL."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import oracle, secrets
+from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
+from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.scratch import fresh_path
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -16,8 +23,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), with_ids=False)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = DigestIndex(f"digest_index_{uuid.uuid4().hex}", fresh_path(spark, "digest-index"))
+    return deduplicate(table(spark, sf_dir, "documents"), index)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_incrementally(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
+    columns = secrets.digest_columns(F.col("spans"), tuple(r.kind for r in secrets.BASE))
+    return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op7_mixing": oracle.OP7, "op10_secrets": oracle.OP10}
