@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import oracle, secrets
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
+from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.scratch import fresh_path
@@ -32,6 +33,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_incrementally(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
     columns = secrets.digest_columns(F.col("spans"), tuple(r.kind for r in secrets.BASE))
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_minhash": op8_minhash,
     "op10_secrets": op10_secrets,
 }
 
