@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import oracle, secrets
+from ledgerloom.llm import langid, oracle, secrets
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import pack
-from ledgerloom.llm.scratch import fresh_path
+from ledgerloom.llm.scratch import fresh_path, stored
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +29,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"), index)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = stored(langid.learn(docs.where(~langid.held_out(F.col("doc_id")))), "profiles")
+    found = langid.predict(docs, profiles)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "nearness")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
     "op10_secrets": op10_secrets,
