@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import stored
+from ledgerloom.llm.scratch import row_number, stored
 
 #: The characters that do not count when texts are compared.
 SPACE = " \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ class DigestIndex:
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "first") -> DataFrame:
-    """A row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """A row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and row.
 
     Texts are equal when they are identical without ASCII white space. Of equal
     texts in a batch the longest original stays, then the smallest doc_id (a
@@ -50,7 +50,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "first") -> Da
     of this batch. A null text is empty; empty texts are equal to each other. Of
     rows that are wholly alike one is kept. A batch may be run again under its
     name: its own entries don't count as seen. An empty table gives no rows;
-    columns other than doc_id and text are not read.
+    columns other than doc_id and text are not read. ``row`` is ``row_number``.
     """
     spark = docs.sparkSession
     index.open(spark)
@@ -58,7 +58,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "first") -> Da
     digests = stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
-            F.coalesce(F.char_length(text), F.lit(0)).alias("n_points"), F.monotonically_increasing_id().alias("row"),
+            F.coalesce(F.char_length(text), F.lit(0)).alias("n_points"), row_number().alias("row"),
         ),
         "digests",
     )
@@ -74,5 +74,5 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "first") -> Da
     unseen = groups.join(entries.hint("merge"), "digest", "left_anti")
     index.append(unseen.select("digest", F.col("first.doc_id").alias("keep_id"), F.lit(batch).alias("batch")))
     return digests.join(owners, "digest").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row"
     )

@@ -71,6 +71,7 @@ def learn(docs: DataFrame, *, size: int = 400, docs_per_language: int = 4000, ma
     is read whole. The ``max_languages`` most frequent labels are learned, so a
     profile table has at most ``size * max_languages`` rows.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     languages = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
@@ -92,13 +93,14 @@ def learn(docs: DataFrame, *, size: int = 400, docs_per_language: int = 4000, ma
 
 
 def predict(docs: DataFrame, profiles: DataFrame, *, size: int = 400) -> DataFrame:
-    """``docs`` (doc_id, text) with ``lang_pred``, ``score`` and ``nearness``.
+    """``docs`` with ``lang_pred``, ``score`` and ``nearness``; only the text leaves the JVM.
 
     ``score`` is the share of the distance by which the best language beats the
     second (1 where only one was learned); ``nearness`` is 1 less the best
     distance over the greatest possible. A text that is null or has no letter
     is ``und`` with 0 for both, and so is every text if nothing was learned.
-    Ties go to the first language by name. Empty tables give no rows.
+    Ties go to the first language by name. Empty tables give no rows; columns of
+    ``docs`` with the names of the new ones are replaced, others are kept.
     """
     small_batches(docs.sparkSession)
     rows = profiles.orderBy("lang", "place").collect()
@@ -108,24 +110,25 @@ def predict(docs: DataFrame, profiles: DataFrame, *, size: int = 400) -> DataFra
     for r in rows:
         places[names.index(r["lang"]), np.searchsorted(known, np.uint64(r["gram"]))] = r["place"] - 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                grams, counts = ngram_counts(text) if isinstance(text, str) else (np.zeros(0, np.uint64),) * 2
-                own = ranked(grams, counts, size)
-                if not len(own) or not names or own.max() == ord("_"):
-                    out.append((UNKNOWN, 0.0, 0.0))
-                    continue
-                k = np.searchsorted(known, own)
-                k[(k == len(known)) | (known[np.minimum(k, len(known) - 1)] != own)] = len(known)
-                there = places[:, k]
-                far = np.where(there < 0, size, np.abs(there - np.arange(len(own)))).sum(axis=1) / (size * len(own))
-                best = int(far.argmin())
-                second = np.delete(far, best).min() if len(far) > 1 else None
-                score = 1.0 if second is None else float((second - far[best]) / second) if second else 0.0
-                out.append((names[best], score, float(1 - far[best])))
-            yield pd.concat([batch[["doc_id"]], pd.DataFrame(out, columns=["lang_pred", "score", "nearness"], index=batch.index)], axis=1).astype({"doc_id": "Int64"})
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, lang_pred string, score double, nearness double")
+    def nearest(text: str | None) -> tuple[str, float, float]:
+        grams, counts = ngram_counts(text) if isinstance(text, str) else (np.zeros(0, np.uint64),) * 2
+        own = ranked(grams, counts, size)
+        if not len(own) or not names or own.max() == ord("_"):
+            return UNKNOWN, 0.0, 0.0
+        k = np.searchsorted(known, own)
+        k[(k == len(known)) | (known[np.minimum(k, len(known) - 1)] != own)] = len(known)
+        there = places[:, k]
+        far = np.where(there < 0, size, np.abs(there - np.arange(len(own)))).sum(axis=1) / (size * len(own))
+        best = int(far.argmin())
+        second = np.delete(far, best).min() if len(far) > 1 else None
+        score = 1.0 if second is None else float((second - far[best]) / second) if second else 0.0
+        return names[best], score, float(1 - far[best])
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([nearest(t) for t in texts], columns=["lang_pred", "score", "nearness"])
+
+    identify = F.pandas_udf(run, "lang_pred string, score double, nearness double").asNondeterministic()
+    rest = docs.drop("lang_pred", "score", "nearness")
+    name = "_".join(["found", *rest.columns])  # no column has this name
+    return rest.withColumn(name, identify(F.col("text").cast("string"))).select(*(rest.columns), F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"), F.col(name)["nearness"].alias("nearness"))

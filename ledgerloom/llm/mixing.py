@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import stored
+from ledgerloom.llm.scratch import row_number, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,7 +66,7 @@ def seeded(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), most: int = 3, block_words: int = 8, rows_per_shard: int = 1024, seed: int = 0) -> DataFrame:
-    """A row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """A row per row of ``docs``: doc_id, size, source_size, target, taken and row (``row_number``).
 
     ``size`` counts words; ``taken`` the words that the mix takes of this
     document, repeats counted: at most ``most`` times its size. A null text has
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), most: int = 3, b
     empty table gives no rows; other columns are not read.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_number().alias("row")), "sizes")
     sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "source-sizes")
     blocks = F.round(F.sum("source_size").over(Window.partitionBy()) / block_words).cast("long")
     targets = capped(sources, weights, most).withColumn("blocks", blocks).withColumn("all", F.lit(0))
@@ -95,4 +95,20 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), most: int = 3, b
     words = F.least(F.col("won") * block_words, most * F.col("shard_size"))
     full, rest = F.floor(words / F.col("shard_size")), F.pmod(words, F.col("shard_size"))
     taken = F.when(F.col("shard_size") == 0, 0).otherwise(full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))))
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "row")
+
+
+def mixed_documents(docs: DataFrame, mixture: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: each as often as its words are taken, a last partial copy cut after the words taken."""
+    shares = mixture.where(F.col("taken") > 0).select(F.col("row").alias("mixed_row"), "size", "taken")
+    at = "_".join(["row", *docs.columns])  # no column has this name
+    both = docs.withColumn(at, row_number()).join(shares, F.col(at) == F.col("mixed_row")).drop(at, "mixed_row")
+    own = both.select(F.struct(*(both[c] for c in docs.columns)).alias("doc"), "size", "taken")
+    copies = own.select("doc", "size", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))).alias("words"))
+    text = F.col("doc")["text"].cast("string")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), "")
+    whole = F.col("words") == F.col("size")
+    out = {c: F.col("doc")[c] for c in docs.columns} | {"text": F.when(whole, text).otherwise(cut)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(whole, F.col("doc")["n_chars"]).otherwise(F.char_length(cut)).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*(out[c].alias(c) for c in docs.columns))

@@ -12,6 +12,7 @@ from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.scratch import fresh_path, stored
+from ledgerloom.llm.substring_dedup import repeated_passages
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -26,22 +27,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(f"digest_index_{uuid.uuid4().hex}", fresh_path(spark, "digest-index"))
-    return deduplicate(table(spark, sf_dir, "documents"), index)
+    return deduplicate(table(spark, sf_dir, "documents"), index).drop("row")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = stored(langid.learn(docs.where(~langid.held_out(F.col("doc_id")))), "profiles")
-    found = langid.predict(docs, profiles)
+    found = langid.predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), profiles)
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "nearness")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "stays")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,

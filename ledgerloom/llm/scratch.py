@@ -11,7 +11,8 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_number() -> Column:
+    """The number of a row of a written table: its partition of the scan and its place there, the same in every scan of it.
+
+    It tells rows apart where doc_id does not, and joins an operator's rows back to the table's.
+    """
+    return F.monotonically_increasing_id()
+
+
 def per_process(key: str, make: Callable[[], Any]) -> Any:
     """One object for each key and Python worker, kept from task to task."""
     home = sys.modules.setdefault("ledgerloom_worker_state", types.ModuleType("ledgerloom_worker_state"))

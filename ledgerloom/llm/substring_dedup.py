@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import small_batches, stored
+from ledgerloom.llm.scratch import row_number, small_batches, stored
 from ledgerloom.llm.words import mixed, word_hashes
 
 UNITS = "row long, doc_id long, no int, start long, end long, words int, digest long"
@@ -58,56 +58,53 @@ def text_units(text: str | None) -> tuple[np.ndarray, ...]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """A row per unit, and one numbered -1 per document for its whole length and words."""
+    """A row per unit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            parts = []
-            for text in batch["text"]:
-                start, end, words, digest = text_units(text)
-                n = len(start)
-                parts.append((np.full(n + 1, row), np.arange(-1, n), np.append(0, start), np.append(len(text) if isinstance(text, str) else 0, end), np.append(words.sum(), words), np.append(0, digest)))
-                row += 1
+            parts = [text_units(text) for text in batch["text"]]
             each = [len(p[0]) for p in parts]
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+            start, end, words, digest = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
             ids = batch["doc_id"].astype("Int64").repeat(each).reset_index(drop=True)
-            yield pd.DataFrame({"row": columns[0], "doc_id": ids, "no": columns[1], "start": columns[2], "end": columns[3], "words": columns[4], "digest": columns[5]})
+            no = np.concatenate([np.arange(n) for n in each]) if each else np.zeros(0, np.int64)
+            yield pd.DataFrame({"row": np.repeat(row + np.arange(len(each)), each), "doc_id": ids, "no": no, "start": start, "end": end, "words": words, "digest": digest})
+            row += len(each)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, UNITS)
 
 
 def repeated_passages(docs: DataFrame, *, least_words: int = 20) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_chars, n_words, removed_words and spans.
-
-    ``spans`` lists the removed (start, end, words), in code points, end
-    exclusive, in order; it is empty where nothing repeats. A null or empty text
-    has no units. Null doc_ids rank last; of rows with the same doc_id the first
-    that was read ranks first, so of rows that are wholly alike one stays whole.
-    An empty table gives no rows; columns other than doc_id and text are not
-    read.
+    """A row per removed passage: doc_id, start, end, n_words, n_units, kept_in and row.
+
+    Offsets are code points of the original text, end exclusive; ``kept_in``
+    has the doc_ids of the first occurrences, which stay; ``row`` is
+    ``row_number``. A null or empty text has no units. Null doc_ids rank last;
+    of rows with the same doc_id the first that was read ranks first, so of rows
+    that are wholly alike one stays whole. An empty table gives no rows; columns
+    other than doc_id and text are not read.
     """
     small_batches(docs.sparkSession)
     found = stored(units(docs), "units")
-    real = found.where("no >= 0")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "no")
-    firsts = real.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = stored(firsts.select("digest", F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no")), "first-units")
-    repeats = stored(real.join(firsts, "digest").where("row <> first_row or no <> first_no").select("row", "no", "start", "end", "words"), "repeats")
+    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no")), "first-units")
+    repeats = stored(found.join(firsts, "digest").where("row <> first_row or no <> first_no").drop("digest", "first_row", "first_no"), "repeats")
     island = F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no"))
-    runs = repeats.withColumn("island", island).groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-    span = F.struct("start", "end", "words")
-    by_row = runs.where(F.col("words") >= least_words).groupBy("row").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list(span)).alias("spans"))
-    whole = found.where("no = -1").select("row", "doc_id", F.col("end").alias("n_chars"), F.col("words").cast("long").alias("n_words"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,words:bigint>>")
-    return whole.join(by_row, "row", "left").select("doc_id", "n_chars", "n_words", F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), F.coalesce("spans", none).alias("spans"))
-
-
-def without_spans(docs: DataFrame, removals: DataFrame) -> DataFrame:
-    """``docs`` with the spans of ``removals`` (doc_id, spans) cut from their text; doc_id must tell rows apart."""
-    cut = removals.select(F.col("doc_id").alias("cut_id"), F.col("spans").alias("cut_spans"))
-    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    edges = F.concat(F.array(F.lit(0).cast("bigint")), F.flatten(F.transform("cut_spans", lambda s: F.array(s["start"], s["end"]))), F.array(F.char_length("text").cast("bigint")))
-    pieces = F.transform(F.sequence(F.lit(1), F.size(edges), F.lit(2)), lambda k: F.substring(F.col("text"), (F.element_at(edges, k) + 1).cast("int"), (F.element_at(edges, k + 1) - F.element_at(edges, k)).cast("int")))
-    text = F.when(F.size("cut_spans") > 0, F.concat_ws("", pieces)).otherwise(F.col("text"))
-    return joined.withColumn("text", text).drop("cut_id", "cut_spans")
+    runs = repeats.withColumn("island", island).groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"),
+        F.count("*").alias("n_units"), F.sort_array(F.collect_set("first_id")).alias("kept_in"),
+    )
+    return runs.where(F.col("n_words") >= least_words).select("doc_id", "start", "end", "n_words", "n_units", "kept_in", "row")
+
+
+def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``docs`` with the passages that ``repeated_passages`` found in them cut from their text."""
+    at = "_".join(["row", *docs.columns])  # no column has this name
+    spans = passages.groupBy(F.col("row").alias("cut_row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut_spans"))
+    own = docs.select(row_number().alias("own_row"), F.struct("*").alias(at)).join(spans, F.col("own_row") == F.col("cut_row"), "left")
+    text = F.col(at)["text"].cast("string")
+    edges = F.concat(F.array(F.lit(0).cast("bigint")), F.flatten(F.transform("cut_spans", lambda s: F.array(s["start"], s["end"]))), F.array(F.char_length(text).cast("bigint")))
+    pieces = F.transform(F.sequence(F.lit(1), F.size(edges), F.lit(2)), lambda k: F.substring(text, (F.element_at(edges, k) + 1).cast("int"), (F.element_at(edges, k + 1) - F.element_at(edges, k)).cast("int")))
+    out = {c: F.col(at)[c] for c in docs.columns} | {"text": F.when(F.size("cut_spans") > 0, F.concat_ws("", pieces)).otherwise(text)}
+    return own.select(*(out[c].alias(c) for c in docs.columns))
