@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, oracle, secrets
+from ledgerloom.llm import avi, langid, oracle, secrets
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
@@ -34,6 +34,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.features(avi.stored_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("media_id", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = stored(langid.learn(docs.where(~langid.held_out(F.col("doc_id")))), "profiles")
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_media_columns": op5_media_columns,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
