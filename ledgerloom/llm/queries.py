@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import avi, langid, oracle, secrets
+from ledgerloom.llm import avi, langid, oracle, pii, secrets
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
@@ -53,6 +53,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "stays")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    columns = secrets.digest_columns(F.col("spans"), pii.KINDS[: pii.N_BASE], lambda x: x["strict"])
+    return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_incrementally(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
     columns = secrets.digest_columns(F.col("spans"), tuple(r.kind for r in secrets.BASE))
@@ -67,6 +73,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
+    "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
 }
 

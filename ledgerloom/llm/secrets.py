@@ -6,6 +6,7 @@ are scanned, each blob once however many paths hold it, and the findings are
 joined back to all paths.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -101,9 +102,12 @@ def scan_incrementally(docs: DataFrame, ledger_path: str, version: str = "1", ru
     return paths.join(findings, "blob").select("doc_id", "blob", "spans")
 
 
-def digest_columns(spans: Column, kinds: tuple[str, ...]) -> dict[str, Column]:
-    """Counts of base kinds, the digest of base spans, and all spans as one string."""
+def digest_columns(spans: Column, kinds: tuple[str, ...], is_base: Callable[[Column], Column] | None = None) -> dict[str, Column]:
+    """Counts of base kinds, the digest of base spans, and all spans as one string.
+
+    Base spans are those of the first ``kinds``, or of these that ``is_base`` names.
+    """
     said = lambda found: F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    base = F.filter(spans, lambda x: x["rank"] < len(kinds))
-    of_rank = lambda k: F.size(F.filter(spans, lambda x: x["rank"] == k)).cast("long")
+    base = F.filter(spans, lambda x: (x["rank"] < len(kinds)) & (is_base(x) if is_base else F.lit(True)))
+    of_rank = lambda k: F.size(F.filter(base, lambda x: x["rank"] == k)).cast("long")
     return {f"n_{kind}": of_rank(k) for k, kind in enumerate(kinds)} | {"base_sha256": F.sha2(said(base), 256), "spans": said(spans)}
