@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import avi, langid, oracle, pii, secrets
+from ledgerloom.llm import avi, html_text, langid, oracle, pii, secrets
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
@@ -34,6 +34,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.features(avi.stored_texts(table(spark, sf_dir, "documents"))).withColumnRenamed("media_id", "doc_id")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_media_columns": op5_media_columns,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
