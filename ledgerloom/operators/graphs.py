@@ -1,24 +1,34 @@
 """Reachability over edge tables, level by level; levels are written tables, so lost executors cost one level."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        _own_folder(spark)
-    return df.checkpoint()
-
-
-def _own_folder(spark: SparkSession) -> None:
-    import tempfile
-
+def _shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="ledgerloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the whole cluster can write."""
+    return f"{_shared(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table and read again."""
+    path = fresh_folder(df.sparkSession, "level")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, origins: DataFrame, most_levels: int = 32) -> DataFrame:
@@ -37,3 +47,53 @@ def reach(edges: DataFrame, origins: DataFrame, most_levels: int = 32) -> DataFr
         front = _cut(found.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
         known = _cut(known.union(front))
     return known
+
+
+def unplaceable(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node): what no topological order can place, none where the graph is acyclic.
+
+    Nodes without a remaining predecessor are taken away round by round, as many
+    rounds as the longest chain has nodes; a graph that is still shrinking after
+    ``most_rounds`` fails. ``edges`` has (src, dst).
+    """
+    edges = _cut(edges.select("src", "dst").distinct())
+    targets = _cut(edges.select(F.col("dst").alias("node")).distinct())
+    n, rounds = targets.count(), 0
+    while n:
+        if rounds >= most_rounds:
+            raise ValueError(f"LIMIT_EXCEEDED: more than {most_rounds} rounds")
+        rounds += 1
+        edges = _cut(edges.join(targets, F.col("src") == F.col("node"), "left_semi"))
+        left = _cut(edges.select(F.col("dst").alias("node")).distinct())
+        targets, before, n = left, n, left.count()
+        if n == before:
+            break
+    return targets
+
+
+def trust_paths(delegations: DataFrame, subjects: DataFrame, roots: DataFrame, most_levels: int = 8) -> DataFrame:
+    """(node, depth, root, status) for each of ``subjects`` (node): the nearest of ``roots`` (node) over ``delegations`` (child, parent, valid).
+
+    TRUSTED has a path of valid delegations; OUT_OF_SCOPE has one only if invalid
+    ones count; else NO_ROOT. Of equally near roots the smallest is given. A
+    search that is still open after ``most_levels`` fails.
+    """
+    up = lambda valid: delegations.where("valid") if valid else delegations
+
+    def nearest(valid: bool) -> DataFrame:
+        down = up(valid).select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct()
+        front = _cut(roots.select("node").distinct().select("node", F.col("node").alias("root"), F.lit(0).alias("depth")))
+        known, level = front, 0
+        while not front.isEmpty():
+            if level >= most_levels:
+                raise ValueError(f"LIMIT_EXCEEDED: more than {most_levels} levels")
+            level += 1
+            found = front.join(down, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("root"), F.lit(level).alias("depth"))
+            front = _cut(found.join(known, "node", "left_anti").select("node", "root", "depth"))
+            known = _cut(known.union(front))
+        return known
+
+    good, any_path = nearest(True), nearest(False).select(F.col("node").alias("reached"))
+    found = subjects.select("node").join(good, "node", "left").join(any_path, F.col("node") == F.col("reached"), "left")
+    status = F.when(F.col("root").isNotNull(), "TRUSTED").when(F.col("reached").isNotNull(), "OUT_OF_SCOPE").otherwise("NO_ROOT")
+    return found.select("node", "depth", "root", status.alias("status"))

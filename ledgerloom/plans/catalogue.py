@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.values import canonical_identity as identity
+from ledgerloom.functions.values import greatest_common_divisor
 from ledgerloom.operators import compare as cmp
 from ledgerloom.operators import evidence, graphs, sequences
 
@@ -27,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _MANIFEST = """
-WITH e AS (SELECT doc_id, n_chars AS size, sha256(coalesce(text, '')) AS sha FROM documents WHERE doc_id % 11 <> 3),
-o AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS size, sha256(coalesce(text, '') || CASE WHEN doc_id % 17 = 2 THEN '!' ELSE '' END) AS sha FROM documents WHERE doc_id % 7 <> 1),
+WITH e AS (SELECT doc_id, n_chars AS size, sha256(coalesce(text, '')) AS sha FROM documents),
+o AS (SELECT doc_id + CASE WHEN doc_id % 7 = 1 THEN 1000000000000 ELSE 0 END AS doc_id, n_chars + CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS size, sha256(coalesce(text, '') || CASE WHEN doc_id % 17 = 2 THEN '!' ELSE '' END) AS sha FROM documents),
 f AS (SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'MISSING' WHEN e.doc_id IS NULL THEN 'UNEXPECTED'
       ELSE concat_ws(',', CASE WHEN e.size IS DISTINCT FROM o.size THEN 'SIZE_MISMATCH' END, CASE WHEN e.sha IS DISTINCT FROM o.sha THEN 'DIGEST_MISMATCH' END) END AS findings
       FROM e FULL JOIN o ON e.doc_id = o.doc_id)
@@ -37,16 +39,17 @@ f AS (SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
-    expected = docs.where("doc_id % 11 <> 3").select("doc_id", F.col("n_chars").alias("size"), F.sha2(text, 256).alias("sha"))
+    expected = docs.select("doc_id", F.col("n_chars").alias("size"), F.sha2(text, 256).alias("sha"))
     size = F.col("n_chars") + F.when(F.col("doc_id") % 13 == 5, 1).otherwise(0)
     sha = F.sha2(F.concat(text, F.when(F.col("doc_id") % 17 == 2, "!").otherwise("")), 256)
-    observed = docs.where("doc_id % 7 <> 1").select("doc_id", size.alias("size"), sha.alias("sha"))
+    path = F.col("doc_id") + F.when(F.col("doc_id") % 7 == 1, 1_000_000_000_000).otherwise(0)
+    observed = docs.select(path.alias("doc_id"), size.alias("size"), sha.alias("sha"))
     return cmp.compare(expected, observed, "doc_id", {"size": "SIZE_MISMATCH", "sha": "DIGEST_MISMATCH"})
 
 
 @query(_MANIFEST + "SELECT doc_id, findings FROM f")
 def manifest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of all documents against a changed one: findings for each path."""
+    """A manifest of all documents against one where some are renamed or changed: findings for each path."""
     return _manifest(spark, sf_dir).select("doc_id", F.array_join("findings", ",").alias("findings"))
 
 
@@ -274,27 +277,25 @@ def config_field_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey, (sum(round(l_extendedprice * 100)::BIGINT) // gcd(sum(round(l_extendedprice * 100)::BIGINT)::BIGINT, sum(l_quantity::BIGINT)::BIGINT))::BIGINT AS numerator, (sum(l_quantity::BIGINT) // gcd(sum(round(l_extendedprice * 100)::BIGINT)::BIGINT, sum(l_quantity::BIGINT)::BIGINT))::BIGINT AS denominator FROM lineitem GROUP BY 1")
 def exact_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratios of integers in lowest terms; Euclid's algorithm as a fold of at most 92 steps, as for any two longs."""
+    """Ratios of integers in lowest terms."""
     sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("a"), F.sum(F.col("l_quantity").cast("long")).alias("b"))
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.when(s["y"] != 0, F.try_mod(s["x"], s["y"])).alias("y")))
-    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(F.col("a").alias("x"), F.col("b").alias("y")), step)["x"]
+    gcd = greatest_common_divisor(F.col("a"), F.col("b"))
     return sums.withColumn("g", gcd).select("l_suppkey", F.expr("a div g").alias("numerator"), F.expr("b div g").alias("denominator"))
 
 
-@query("SELECT 'lost' AS change, o_orderkey FROM orders WHERE o_orderkey % 10 < 8 AND NOT o_orderkey % 10 > 2 UNION ALL SELECT 'added', o_orderkey FROM orders WHERE o_orderkey % 10 > 2 AND NOT o_orderkey % 10 < 8")
+@query("SELECT 'lost' AS change, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'added', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def preservation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a later snapshot lost and added."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey")
-    old, new = rows.where("o_orderkey % 10 < 8"), rows.where("o_orderkey % 10 > 2")
-    tagged = lambda df, change: df.select(F.lit(change).alias("change"), "o_orderkey")
-    return tagged(old.join(new, "o_orderkey", "left_anti"), "lost").union(tagged(new.join(old, "o_orderkey", "left_anti"), "added"))
+    """What a later set of keys, that of the orders, lost and added against the customers."""
+    old = table(spark, sf_dir, "customer").select("c_custkey")
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    tagged = lambda df, change: df.select(F.lit(change).alias("change"), "c_custkey")
+    return tagged(old.join(new, "c_custkey", "left_anti"), "lost").union(tagged(new.join(old, "c_custkey", "left_anti"), "added"))
 
 
 @query("""SELECT doc_id, sha256('{"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS identity FROM documents""")
 def canonical_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of a record's canonical JSON: keys in order, nulls kept, no spaces."""
-    body = F.to_json(F.struct("lang", "n_chars", "source"), {"ignoreNullFields": "false"})
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(body, 256).alias("identity"))
+    return table(spark, sf_dir, "documents").select("doc_id", identity(["lang", "n_chars", "source"]).alias("identity"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<script'))::BIGINT AS n_script, len(regexp_extract_all(html, 'https?://'))::BIGINT AS n_link, len(regexp_extract_all(html, '<iframe|javascript:|onerror='))::BIGINT AS n_active, CASE WHEN len(regexp_extract_all(html, '<iframe|javascript:|onerror=')) > 0 THEN 'BLOCK' WHEN len(regexp_extract_all(html, '<script')) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM pages WHERE html IS NOT NULL")

@@ -1,5 +1,7 @@
 """Every reference query against its SQL, and the kernels on small edge cases."""
 
+import hashlib
+import json
 import math
 import os
 
@@ -7,8 +9,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import compare, evidence, graphs, sequences
-from ledgerloom.plans import catalogue
+from ledgerloom.functions import values
+from ledgerloom.operators import assess, compare, evidence, graphs, sequences
+from ledgerloom.plans import assessments, catalogue  # noqa: F401
+from ledgerloom.sources import files
+from ledgerloom.streaming import claims
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -65,3 +70,88 @@ def test_reach_ends_in_cycles_and_fails_beyond_its_levels(spark):
 def test_examples_are_capped_and_counts_are_not(spark):
     rows = spark.range(100).select(F.lit("g").alias("g"), F.col("id"))
     assert [tuple(r) for r in evidence.examples(rows, "g", "id", 3).collect()] == [("g", 100, "0,1,2")]
+
+
+def test_unplaceable_nodes_are_those_behind_rings(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("x", "y")], "src string, dst string")
+    assert {r.node for r in graphs.unplaceable(edges).collect()} == {"b", "c", "d"}
+    assert graphs.unplaceable(edges.where("src in ('a', 'x')")).count() == 0
+
+
+def test_trust_paths_prefer_scope_then_nearness(spark):
+    rows = [("s", "m", True), ("m", "r", True), ("t", "m", False), ("u", "v", True), ("v", "u", True), ("r", "r2", True)]
+    delegations = spark.createDataFrame(rows, "child string, parent string, valid boolean")
+    subjects = spark.createDataFrame([(x,) for x in "stur"], "node string")
+    roots = spark.createDataFrame([("r",), ("r2",)], "node string")
+    found = {r.node: (r.depth, r.root, r.status) for r in graphs.trust_paths(delegations, subjects, roots).collect()}
+    assert found == {"s": (2, "r", "TRUSTED"), "t": (None, None, "OUT_OF_SCOPE"), "u": (None, None, "NO_ROOT"), "r": (0, "r", "TRUSTED")}
+
+
+def test_ranked_tables(spark):
+    a = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "d")], "rank int, item string")
+    b = spark.createDataFrame([(0, "a"), (1, "c"), (2, "x")], "rank int, item string")
+    assert {r["rank"]: r.status for r in assess.ranked_tables(a, b, "rank", "item").collect()} == {0: "MATCH", 1: "OPERAND", 2: "ORDER", 3: "MISSING"}
+    assert {r["rank"]: r.status for r in assess.ranked_tables(b, a, "rank", "item").collect()}[3] == "EXTRA"
+
+
+def test_numbered_sets(spark):
+    names = ["a-00001-of-00002", "a-00002-of-00002", "b-00002-of-00002", "c-00003-of-00002", "d-00001-of-00001", "d-00001-of-00001", "plain", None]
+    rows = assess.numbered_sets(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()
+    assert {r.base: (r.n_missing, r.status) for r in rows} == {"a": (0, "COMPLETE"), "b": (1, "INCOMPLETE"), "c": (1, "INVALID"), "d": (0, "DUPLICATE")}
+
+
+def test_separation_with_unknown_parties(spark):
+    asked = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, 5)], "k int, who int")
+    given = spark.createDataFrame([(1, 5), (1, None), (2, 6), (3, 6)], "k int, by int")
+    found = {r.k: (r.n_approvals, r.n_same, r.status) for r in assess.separation(asked, given, "k", "who", "by").collect()}
+    assert found == {1: (2, 1, "VIOLATED"), 2: (1, 0, "SATISFIED"), 3: (1, 0, "NOT_IDENTIFIED"), 4: (0, 0, "NOT_EVALUATED")}
+
+
+def test_values(spark):
+    row = spark.range(1).select(
+        values.greatest_common_divisor(F.lit(84), F.lit(36)).alias("g"), values.presence(F.lit('{"a": null, "b": 1}'), "a").alias("a"), values.presence(F.lit('{"b": 1}'), "a").alias("none"),
+        values.presence(F.lit('{"b": 1}'), "b").alias("b"), values.redacted(F.lit("secret"), 2).alias("r"),
+        (values.domain_digest("d", F.lit("ab"), F.lit("c")) == values.domain_digest("d", F.lit("a"), F.lit("bc"))).alias("same"),
+    ).first()
+    assert (row.g, row.a, row.none, row.b, row.r, row.same) == (12, "NULL", "ABSENT", "VALUE", "se…+4", False)
+
+
+def _tensor_file(path, tensors, payload):
+    head = json.dumps(tensors).encode()
+    path.write_bytes(len(head).to_bytes(8, "little") + head + payload)
+
+
+def test_tensor_headers_are_checked_without_payloads(spark, tmp_path):
+    t = lambda dtype, shape, a, b: {"dtype": dtype, "shape": shape, "data_offsets": [a, b]}
+    _tensor_file(tmp_path / "a b.safetensors", {"__metadata__": {"x": "y"}, "w": t("F32", [2, 2], 0, 16), "v": t("U8", [4], 16, 20)}, bytes(20))
+    _tensor_file(tmp_path / "bad.safetensors", {"x": t("F16", [3], 0, 4), "y": t("U8", [4], 2, 6), "z": t("Q9", [1], 6, 7), "far": t("U8", [9], 7, 16)}, bytes(8))
+    (tmp_path / "short.safetensors").write_bytes(b"abc")
+    (tmp_path / "junk.safetensors").write_bytes((4).to_bytes(8, "little") + b"nope")
+    tensors = files.checked_tensors(files.tensor_headers(spark, str(tmp_path)))
+    found = {(r.path.rsplit("/", 1)[1], r.name): r.status for r in tensors.collect()}
+    found = {(k[0].replace("%20", " "), k[1]): v for k, v in found.items()}
+    assert found == {
+        ("a b.safetensors", "w"): "OK", ("a b.safetensors", "v"): "OK", ("bad.safetensors", "x"): "SIZE_MISMATCH", ("bad.safetensors", "y"): "OVERLAP",
+        ("bad.safetensors", "z"): "UNKNOWN_TYPE", ("bad.safetensors", "far"): "OUT_OF_BOUNDS", ("short.safetensors", None): "TRUNCATED", ("junk.safetensors", None): "INVALID_HEADER",
+    }
+    (tmp_path / "index.json").write_text(json.dumps({"weight_map": {"x": "bad.safetensors", "y": "other.safetensors", "q": "bad.safetensors"}}))
+    checked = files.indexed_tensors(files.shard_index(spark, str(tmp_path / "index.json")), tensors.where("path like '%bad%'"))
+    assert {r.name: r.status for r in checked.collect()} == {"x": "OK", "y": "WRONG_SHARD", "q": "MISSING", "z": "UNDECLARED", "far": "UNDECLARED"}
+
+
+def test_manifest_vocabulary_and_merges(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"a": 0, "b": 1}')
+    (tmp_path / "m.txt").write_text("#version: 0.2\na b\n\nab c\n")
+    rows = files.file_manifest(spark, str(tmp_path)).collect()
+    assert {(r.size, r.sha256) for r in rows} == {((p := tmp_path / n).stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for n in ("v.json", "m.txt")}
+    assert {tuple(r) for r in files.vocabulary(spark, str(tmp_path / "v.json")).collect()} == {("a", 0), ("b", 1)}
+    assert [tuple(r) for r in files.merge_rules(spark, str(tmp_path / "m.txt")).orderBy("rank").collect()] == [(0, "a", "b"), (1, "ab", "c")]
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    part = lambda k: spark.createDataFrame([(1, "a"), (1, "a"), (k, "b")], "u int, t string").coalesce(1)
+    part(2).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: claims.drain(claims.first_claims(claims.file_stream(spark, f"{tmp_path}/in", part(2).schema), "u", "t"), f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in run().collect()) == [(1, "a"), (2, "b")]
+    part(3).write.mode("append").parquet(f"{tmp_path}/in")
+    assert sorted(tuple(r) for r in run().collect()) == [(1, "a"), (2, "b"), (3, "b")]
