@@ -11,11 +11,12 @@ inverted lists. Documents with the same set are one node.
    text, that text has the most values in common with all.
 2. Cross round, only between nodes that are not connected yet, in the rarest
    lists of each node: near nodes share one of them. In lists of at most
-   ``short`` nodes all pairs are compared. Longer ones are split by size, with
-   each node in two neighbouring classes, and then by further retained values, chosen by a hash that depends on the list, so that near
-   nodes mostly choose alike in one of the lists they share; in each part the
-   hubs and a random node are compared with all, and short parts have all their pairs
-   compared. So the pairs made are a bounded multiple of the list entries.
+   ``short`` nodes all pairs are compared by a join. Longer ones are dealt into
+   blocks, and in each pair of blocks all sketches and sets are compared as bits, but
+   for the list's largest component with itself. This is done twice: pairs that
+   look nearest are verified first, then all that are still not connected. No
+   pair is left out; the work grows with the square of the nodes of a list that
+   are not connected.
 
 A pair goes on if the estimate from the sketch of the union allows the
 threshold, and is a link if the full sets reach it. Two sets at the threshold
@@ -24,19 +25,22 @@ Components of links are all that is returned, so links inside a component need
 not be listed.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.scratch import small_batches, stored
+from ledgerloom.llm.scratch import row_number, small_batches, stored
 from ledgerloom.llm.words import mixed, word_hashes
 
-SIGNATURE = "row long, doc_id long, n_shingles long, digest binary, sketch array<int>"
+SIGNATURE = "row long, doc_id long, n_shingles long, digest binary, sketch array<int>, bits binary"
+#: Bits for a whole set, and for a sketch while blocks are compared.
+_SET_BITS, _SKETCH_BITS = 2048, 512
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -53,6 +57,14 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed(acc + np.uint64(n)))
 
 
+def _set_bits(s: np.ndarray) -> bytes:
+    """A set as bits, by the low bits of its hashes; empty for sets that would fill most of them."""
+    flags = np.zeros(_SET_BITS if len(s) <= _SET_BITS // 2 else 0, bool)
+    if len(flags):
+        flags[s & np.uint64(_SET_BITS - 1)] = True
+    return np.packbits(flags).tobytes()
+
+
 def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -63,18 +75,23 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_set(text, words)
                 sketch = np.unique((s[:k] >> np.uint64(32)).astype(np.int64) - 2**31).astype(np.int32)
-                out.append((row, doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, sketch))
+                out.append((row, doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, sketch, _set_bits(s)))
                 row += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n_shingles", "digest", "sketch"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["row", "doc_id", "n_shingles", "digest", "sketch", "bits"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SIGNATURE)
 
 
+def least_common(k: int, percent: int) -> int:
+    """How many of the k smallest values of a union both sets have at least, where they are linked."""
+    return max(1, round(k * percent / 100 - 5.6 * (k * percent * (100 - percent)) ** 0.5 / 100))
+
+
 def may_link(n1: Column, n2: Column, s1: Column, s2: Column, k: int, percent: int) -> Column:
     """Whether sizes and the sketch of the union allow a link: at 75 percent and k = 64 a link is missed with a probability below 1e-6."""
     union = F.slice(F.array_sort(F.array_union(s1, s2)), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(s1, s2), union))
-    least = max(1, round(k * percent / 100 - 5.6 * (k * percent * (100 - percent)) ** 0.5 / 100))
+    least = least_common(k, percent)
     return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent) & (both * k >= least * F.size(union))
 
 
@@ -124,39 +141,97 @@ def _hubs(*more: str) -> list[Column]:
     return [F.min(F.struct("n_shingles", "node", *more)).alias("small"), F.max(F.struct("shared", "copies", (-F.col("node")).alias("rank"), "node", "n_shingles", *more)).alias("central")]
 
 
-def _cross(entries: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, short: int, picks: Sequence[int]) -> DataFrame:
-    """Pairs (a, b) of unconnected nodes to compare; ``picks`` has the number of further values by which each level splits lists."""
-    columns = ("node", "n_shingles", "root", "shared", "copies")
+def _cross(entries: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, k: int, short: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of unconnected nodes to compare: with ``best`` those that look nearest in long lists, without it all that sizes and sketches allow."""
     sizes = nodes.select("node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    level = entries.select("value", "node", "shared", "copies", F.col("value").cast("long").alias("key")).join(sizes, "node")
-    hubs = ("small", "central", "random")
-    pairs = None
-    for k, picked in enumerate([*picks, None]):
-        level = stored(level.select("key", "value", *columns), "level")
-        lists = level.groupBy("key").agg(F.count("*").alias("n"), *_hubs("root"), F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n_shingles", "root")).alias("random"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        level = stored(level.join(lists.select("key", "n", *hubs), "key"), "level-lists")
-        x, y = (level.where(F.col("n") <= short).select("key", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "xy")
-        near = (F.col("n_shingles_x") * 100 >= F.col("n_shingles_y") * percent) & (F.col("n_shingles_y") * 100 >= F.col("n_shingles_x") * percent)
-        found = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        hot = level.where(F.col("n") > short)
-        if k:
-            star = hot.select("node", "root", "n_shingles", F.explode(F.array(*(F.struct(F.col(h)["node"].alias("node"), F.col(h)["root"].alias("root"), F.col(h)["n_shingles"].alias("n_shingles")) for h in hubs))).alias("hub"))
-            close = (F.col("n_shingles") * percent <= F.col("hub.n_shingles") * 100) & (F.col("hub.n_shingles") * percent <= F.col("n_shingles") * 100)
-            found = found.union(star.where(close & (F.col("root") != F.col("hub.root"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
-        pairs = found if pairs is None else pairs.union(found)
-        if picked is None or hot.isEmpty():
-            return pairs.distinct()
-        drawn = [F.array_min(F.transform("sketch", lambda w, i=i: F.xxhash64("value", w, F.lit(i)))) for i in range(picked)]
-        level = hot.select("key", "value", *columns)
-        if k == 0:
-            size_class = F.floor(F.log("n_shingles") / float(np.log(100 / percent)))
-            level = level.withColumn("class", F.explode(F.array(size_class, size_class + 1))).withColumn("key", F.xxhash64("key", "class")).drop("class")
-        if picked:
-            level = level.join(nodes.select("node", "sketch"), "node").withColumn("key", F.xxhash64("key", *drawn))
-    raise AssertionError
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: int = 64, listed: int = 32, short: int = 16, picks: Sequence[int] = (0, 2, 6)) -> DataFrame:
+    level = stored(entries.select("value", "node").join(sizes, "node"), "level")
+    lists = level.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    level = stored(level.join(lists.select("value", "n"), "value"), "level-lists")
+    x, y = (level.where(F.col("n") <= short).select("value", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n_shingles", "root"))) for side in "xy")
+    near = (F.col("n_shingles_x") * 100 >= F.col("n_shingles_y") * percent) & (F.col("n_shingles_y") * 100 >= F.col("n_shingles_x") * percent)
+    found = x.join(y, "value").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    hot = level.where(F.col("n") > short).drop("n")
+    if hot.isEmpty():
+        return (found.limit(0) if best else found).distinct()
+    blocks = _block_pairs(hot, nodes, percent, k, best)
+    return (blocks if best else found.union(blocks)).distinct()
+
+
+def _block_pairs(hot: DataFrame, nodes: DataFrame, percent: int, k: int, best: bool, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of unconnected nodes of a list (value, node, n_shingles, root) that sizes, sketches and bits allow; with ``best`` the nearest of each node.
+
+    A list is dealt into blocks of about ``block`` nodes of one size class, its
+    largest component apart from the others, since that is not compared with
+    itself. A row is a pair of blocks, so rows stay few and tasks even.
+    """
+    largest = hot.groupBy("value", "root").count().groupBy("value").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    size_class = F.floor(F.log("n_shingles") / float(np.log(100 / percent) + 1e-9))  # sizes that allow a link are less than one class apart
+    apart = hot.join(largest, "value").withColumn("other", F.col("root") != F.col("largest")).withColumn("class", size_class).drop("largest")
+    place = ["value", "class", "other"]
+    salts = apart.groupBy(*place).agg(F.ceil(F.count("*") / block).alias("salts"))
+    dealt = apart.join(salts, place).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).join(nodes.select("node", "sketch", "bits"), "node")
+    blocks = stored(dealt.groupBy(*place, "salt").agg(F.collect_list(F.struct("node", "root", "n_shingles", "sketch", "bits")).alias("members")), "blocks").withColumn("id", row_number())
+    left = blocks.select("value", "class", F.col("other").alias("other_l"), F.col("id").alias("l"))
+    right = blocks.select("value", F.col("class").alias("class_r"), F.col("other").alias("other_r"), F.col("id").alias("r"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"))
+    two = left.join(right, ["value", "class"]).where((F.col("other_l") | F.col("other_r")) & ((F.col("class") != F.col("class_r")) | (F.col("l") <= F.col("r")))).select("l", "r")
+    side = lambda x: blocks.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((2, 0), np.int64)]
+            for own, other in zip(batch.column("members_l"), batch.column("members_r"), strict=True):
+                found.append(_allowed(_unpacked(own.values), _unpacked(other.values), percent, k, best))
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
+
+    conf, key = nodes.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, "32")
+    try:
+        return stored(two.join(side("r"), "r").join(side("l"), "l").select("members_l", "members_r").mapInArrow(run, "a long, b long"), "block-pairs")
+    finally:
+        conf.set(key, before)
+
+
+def _unpacked(members: pa.StructArray) -> dict[str, np.ndarray]:
+    """A block's members: node, root and size, and the bits of sketch and set, each with how many of its values share another's bit."""
+    out = {c: members.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "root", "n_shingles")}
+    sketches = members.field("sketch")
+    held = np.diff(sketches.offsets.to_numpy())
+    flags = np.zeros((len(members), _SKETCH_BITS), bool)
+    flags[np.repeat(np.arange(len(members)), held), sketches.flatten().to_numpy(zero_copy_only=False) & (_SKETCH_BITS - 1)] = True
+    every = np.frombuffer(b"".join(x or b"\xff" * (_SET_BITS // 8) for x in members.field("bits").to_pylist()), np.uint64).reshape(len(members), -1)
+    lost = out["n_shingles"] - np.bitwise_count(every).sum(axis=1, dtype=np.int64)
+    return out | {"held": held.astype(np.int64), "sketch": np.packbits(flags, axis=1).view(np.uint64), "sketch_lost": held - flags.sum(axis=1), "bits": every, "lost": np.where(out["n_shingles"] > _SET_BITS // 2, out["n_shingles"], lost)}
+
+
+def _allowed(x: dict[str, np.ndarray], y: dict[str, np.ndarray], percent: int, k: int, best: bool) -> np.ndarray:
+    """The pairs of two blocks' nodes that may be linked: no bound here is below the number of common values."""
+    n, m = x["n_shingles"][:, None], y["n_shingles"][None, :]
+    may = (x["root"][:, None] != y["root"][None, :]) & (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    if not may.any():
+        return np.zeros((2, 0), np.int64)
+    both = np.zeros(may.shape, np.uint8)
+    for w in range(x["sketch"].shape[1]):
+        both += np.bitwise_count(x["sketch"][:, w, None] & y["sketch"][None, :, w])
+    both = both + np.minimum(x["sketch_lost"][:, None], y["sketch_lost"][None, :])
+    may &= both * k >= least_common(k, percent) * np.minimum(k, x["held"][:, None] + y["held"][None, :] - both)
+    i, j = np.nonzero(may)
+    shared = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(x["bits"][i[c : c + 4096]] & y["bits"][j[c : c + 4096]]).sum(axis=1, dtype=np.int64) for c in range(0, len(i), 4096))])
+    n, m = x["n_shingles"][i], y["n_shingles"][j]
+    shared = np.minimum(np.minimum(n, m), shared + np.minimum(x["lost"][i], y["lost"][j]))
+    keep = 100 * shared >= percent * (n + m - shared)
+    i, j, score = i[keep], j[keep], (shared / (n + m - shared) + both[i, j] / 1000)[keep]
+    if best and len(i):
+        order = np.argsort(-score, kind="stable")
+        i, j = i[order], j[order]
+        first = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+        i, j = i[first], j[first]
+    a, b = x["node"][i], y["node"][j]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: int = 64, listed: int = 32, short: int = 16) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, kept, stays and row.
 
     ``component_id`` is the smallest doc_id that links reach, ``kept`` whether
@@ -171,7 +246,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: in
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs, words, k), "signatures")
-    chosen = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "row")
+    chosen = F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bits"), "row")
     nodes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), chosen.alias("x"))
     nodes = stored(nodes.select("node", "digest", "copies", "x.*"), "nodes")
 
@@ -190,9 +265,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: in
     links = verified(promising(star, "star-pairs"), nodes, docs, words, percent)
     roots = components(links)
 
-    cross = promising(_cross(_rarest(postings), nodes, roots, percent, short, picks), "cross-pairs")
-    if not cross.isEmpty():
-        roots = components(links.union(verified(cross, nodes, docs, words, percent)))
+    rarest = stored(_rarest(postings), "rarest")
+    for best in (True, False):  # what looks nearest first: most of the others are connected then
+        cross = promising(_cross(rarest, nodes, roots, percent, k, short, best), "cross-pairs")
+        if not cross.isEmpty():
+            links = links.union(verified(cross, nodes, docs, words, percent))
+            roots = components(links)
 
     owners = signed.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
     owners = stored(owners.select("row", "doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "owners")

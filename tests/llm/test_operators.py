@@ -198,6 +198,19 @@ def test_near_duplicates_equal_brute_force(spark, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_whose_values_are_all_in_long_lists(spark):
+    r, texts = random.Random(3), []
+    pool = [words(700 + k, 12) for k in range(24)]
+    for _ in range(60):
+        base = sorted(r.sample(range(24), 14))
+        other = sorted([*r.sample(base, 13), r.choice([k for k in range(24) if k not in base])])
+        texts += [" ".join(pool[k] for k in chosen) for chosen in (base, other)]
+    table = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near-long")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(table).collect()}
+    want = brute_components(texts)
+    assert len({c for _, c in want}) > 5 and [got[k] for k in range(len(texts))] == want
+
+
 def test_near_duplicates_of_repeated_and_null_rows(docs):
     rows = near_duplicates(docs).collect()
     assert len(rows) == len(ROWS)
