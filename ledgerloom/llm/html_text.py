@@ -23,6 +23,8 @@ from ledgerloom.llm.scratch import per_process, small_batches
 #: Elements that break text into blocks, that hold no text of the page, that have no end tag.
 BLOCKS = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main header footer nav aside form fieldset blockquote pre figure figcaption address details summary dialog center hr menu search legend".split())
 SKIPPED = frozenset("script style noscript template textarea title select button svg iframe object canvas head audio video datalist".split())
+#: Of these, those whose content is no markup: it goes on to the end tag of the same name.
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in "script style textarea title iframe".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes.
 FOR = frozenset("article content post entry story body text main prose page blog news read paragraph chapter".split())
@@ -110,7 +112,7 @@ class Forest:
                 names.pop()
                 children.pop()
 
-        for m in _TOKEN.finditer(html):
+        while m := _TOKEN.search(html, at):
             if at < m.start() and not skipping:
                 piece = html[at : m.start()]
                 pieces.append(unescape(piece) if "&" in piece else piece)
@@ -120,6 +122,12 @@ class Forest:
             if name is None:
                 continue
             name, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if name in _RAW_ENDS and not ending and not attributes.endswith("/"):
+                if name == "textarea" and not skipping:
+                    self.inputs[stack[-1]] += 1
+                raw_end = _RAW_ENDS[name].search(html, at)
+                at = raw_end.end() if raw_end else len(html)
+                continue
             if skipping:
                 if ending and name == skipping:
                     skipping = ""
@@ -127,7 +135,7 @@ class Forest:
             if name in SKIPPED:
                 if not ending and not attributes.endswith("/"):
                     skipping = name
-                    if name in ("textarea", "select", "button"):
+                    if name in ("select", "button"):
                         self.inputs[stack[-1]] += 1
                 continue
             if name == "a":

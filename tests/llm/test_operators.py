@@ -119,6 +119,21 @@ def test_html_extraction_on_held_out_seed_pages_and_edges(spark):
     assert html_text.main_text(rows.limit(0), model).count() == 0
 
 
+def test_code_in_pages_is_no_markup():
+    model = html_text.learn(200)
+    pages = html_seed.seed_pages(20, seed=12)
+    codes = ["<script>for(var i=0;i<n;i++){f(i)}</script>", "<SCRIPT>if(a<b)c('<!--')</Script >", "<style>a{content:'<x'}</style>", "<textarea>a <b c='</textarea>", "<head><title>a <b</title><script>i<n</script></head>", "<svg><script>i<n</script></svg>"]
+    for code in codes:
+        forests = []
+        for added in ("", code):
+            forest = html_text.Forest()
+            forest.add(f"<html><body>{added}<article><p>Main</p></article></body></html>")
+            forests.append((forest.tag, forest.run_text))
+        assert forests[0] == forests[1] and "Main" in forests[1][1]
+    scripts = [p.replace("<p", codes[0] + "<p", 1) for p in pages]
+    assert sum("<script" in p for p in scripts) > 10 and html_text.texts(scripts, model) == html_text.texts(pages, model)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(min_size=1, max_size=3000))
 def test_avi_round_trip(data):
