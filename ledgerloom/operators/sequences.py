@@ -1,9 +1,12 @@
 """Gaps, spans, hash chains and knowledge cutoffs over ordered rows."""
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def contiguity(rows: DataFrame, group: str, ordinal: str) -> DataFrame:
@@ -37,10 +40,32 @@ def linked(rows: DataFrame, group: str, order: str, entry: Column) -> DataFrame:
 
 
 def chain_heads(rows: DataFrame, group: str, order: str, entry: str) -> DataFrame:
-    """(group, n, head): each entry is hashed with the digest so far, from the empty string on. A group's entries meet in one task: chains are sequential."""
-    entries = F.array_sort(F.collect_list(F.struct(order, entry)))
-    head = F.aggregate("entries", F.lit(""), lambda acc, x: F.sha2(F.concat(acc, F.lit("|"), x[entry]), 256))
-    return rows.groupBy(group).agg(entries.alias("entries")).select(group, F.size("entries").cast("long").alias("n"), head.alias("head"))
+    """(group, n, head): each entry is hashed with the digest so far, from the empty string on; a null entry makes the head null.
+
+    Chains are sequential, so a group's entries pass through one task; they are
+    sorted there and streamed, and nothing but the running digest is kept.
+    """
+    out = StructType([rows.schema[group], StructField("n", LongType()), StructField("head", StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [group, "n", "head"]
+        key_type, begun, key, n, head = None, False, None, 0, ""
+        for batch in batches:
+            key_type, done = batch.schema.field(0).type, []
+            for own, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not begun or own != key:
+                    if begun:
+                        done.append((key, n, head))
+                    begun, key, n, head = True, own, 0, ""
+                n += 1
+                x = x.as_py()
+                head = None if x is None or head is None else hashlib.sha256(head.encode() + b"|" + x).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else ([], [], []), (key_type, pa.int64(), pa.string()), strict=True)], names)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([key], key_type), pa.array([n], pa.int64()), pa.array([head], pa.string())], names)
+
+    own = rows.select(group, order, F.col(entry).cast("binary").alias("chain_entry"))
+    return own.repartition(group).sortWithinPartitions(group, order, "chain_entry").select(group, "chain_entry").mapInArrow(fold, out)
 
 
 def known_as_of(facts: DataFrame, key: str, effective: str, available: str, cutoff: str, value: str) -> DataFrame:

@@ -155,3 +155,16 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert sorted(tuple(r) for r in run().collect()) == [(1, "a"), (2, "b")]
     part(3).write.mode("append").parquet(f"{tmp_path}/in")
     assert sorted(tuple(r) for r in run().collect()) == [(1, "a"), (2, "b"), (3, "b")]
+
+
+def test_chain_heads_stream(spark):
+    rows = [(k % 3 or None, k // 3, None if k == 7 else f"e{k}é") for k in range(60)]
+    df = sequences.chain_heads(spark.createDataFrame(rows, "g long, k int, e string"), "g", "k", "e")
+    want = {}
+    for g, _, e in sorted(rows, key=lambda x: (x[0] or 0, x[1])):
+        n, head = want.get(g, (0, ""))
+        want[g] = n + 1, None if e is None or head is None else hashlib.sha256(f"{head}|{e}".encode()).hexdigest()
+    assert {r.g: (r.n, r.head) for r in df.collect()} == want
+    assert sequences.chain_heads(spark.createDataFrame([], "g long, k int, e string"), "g", "k", "e").count() == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan  # no value that holds a whole group
