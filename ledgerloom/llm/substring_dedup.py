@@ -1,13 +1,14 @@
 """Removal of repeated passages by hashing of units.
 
-A unit is a line, cut further after words whose hash is the smallest of its
-neighbourhood; so a passage gives the same units wherever it stands in a line,
-but for its first and last. Units are normalised to their lower-case words and
-hashed, digests are grouped over the whole table, and the occurrence with the
-smallest (doc_id, unit number) stays. The others are repeats. Repeats that
-follow each other in a document form a run; runs of at least ``least_words``
-words are removed, with their offsets in the original text. With
-``least_words=1`` every repeated line goes.
+A unit is a whole line, and each of the parts into which a line is cut after
+words whose hash is the smallest of its neighbourhood; so a passage gives the
+same parts wherever it stands in a line, but for its first and last. Units are
+normalised to their lower-case words and hashed, digests are grouped over the
+whole table, and the occurrence with the smallest (doc_id, unit number) stays.
+The others are repeats. Every repeated line is removed, however short. Repeated
+parts that follow each other in a document form a run; runs of at least
+``least_words`` words are removed, too, since a few words are common by chance.
+Removed units that touch are one passage, with its offsets in the original text.
 """
 
 from collections.abc import Iterator
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import row_number, small_batches, stored
 from ledgerloom.llm.words import mixed, word_hashes
 
-UNITS = "row long, doc_id long, no int, start long, end long, words int, digest long"
+#: ``no`` and ``upto`` are the first and last part of a unit, ``at`` the number of words before it; ``line`` tells whole lines, of one part or more.
+UNITS = "row long, doc_id long, no int, upto int, at int, start long, end long, words int, line boolean, digest long"
 #: Words to either side among which the last word of a unit has the smallest hash.
 _REACH = 3
 
@@ -39,22 +41,35 @@ def unit_ends(hashes: np.ndarray, line_ends: np.ndarray) -> np.ndarray:
 
 
 def text_units(text: str | None) -> tuple[np.ndarray, ...]:
-    """Start and end (code points), word count and digest of each unit of a text."""
+    """Of each unit of a text: first and last part, words before it, start and end (code points), word count, whether it is a line, digest. Lines of several parts come last."""
     hashes = word_hashes(text)
     if not len(hashes):
-        return (np.zeros(0, np.int64),) * 4
+        return (*(np.zeros(0, np.int64),) * 6, np.zeros(0, bool), np.zeros(0, np.int64))
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     space = (points == 32) | ((points >= 9) & (points <= 13))
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     lines = np.concatenate([[0], np.cumsum(points == 10)])
-    ends = unit_ends(hashes, np.concatenate([lines[first[1:]] > lines[last[:-1]], [True]]))
-    stop = np.flatnonzero(ends)
-    begin = np.concatenate([[0], stop[:-1] + 1])
+    line_ends = np.concatenate([lines[first[1:]] > lines[last[:-1]], [True]])
+    stop, line_stop = np.flatnonzero(unit_ends(hashes, line_ends)), np.flatnonzero(line_ends)
+    begin, line_begin = (np.concatenate([[0], s[:-1] + 1]) for s in (stop, line_stop))
+    no, upto = np.searchsorted(begin, line_begin), np.searchsorted(stop, line_stop)
+    whole = np.zeros(len(begin), bool)
+    whole[no[no == upto]] = True
+    more = no < upto
+    parts = np.arange(len(begin))
+    return (
+        np.concatenate([parts, no[more]]), np.concatenate([parts, upto[more]]), np.concatenate([begin, line_begin[more]]), np.concatenate([first[begin], first[line_begin[more]]]), np.concatenate([last[stop], last[line_stop[more]]]),
+        np.concatenate([stop - begin + 1, (line_stop - line_begin + 1)[more]]), np.concatenate([whole, np.ones(more.sum(), bool)]), np.concatenate([_digests(hashes, begin, stop), _digests(hashes, line_begin, line_stop)[more]]),
+    )
+
+
+def _digests(hashes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The digest of the words of each unit; units follow each other without gaps."""
     words = stop - begin + 1
     place = np.arange(len(hashes)) - np.repeat(begin, words)
     digest = np.add.reduceat(mixed(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)
-    return first[begin], last[stop], words, mixed(digest + words.astype(np.uint64)).view(np.int64)
+    return mixed(digest + words.astype(np.uint64)).view(np.int64)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -65,10 +80,10 @@ def units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             parts = [text_units(text) for text in batch["text"]]
             each = [len(p[0]) for p in parts]
-            start, end, words, digest = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+            names = ["no", "upto", "at", "start", "end", "words", "line", "digest"]
+            columns = {c: np.concatenate(x) for c, x in zip(names, zip(*parts, strict=True), strict=True)} if parts else {c: np.zeros(0, np.int64) for c in names}
             ids = batch["doc_id"].astype("Int64").repeat(each).reset_index(drop=True)
-            no = np.concatenate([np.arange(n) for n in each]) if each else np.zeros(0, np.int64)
-            yield pd.DataFrame({"row": np.repeat(row + np.arange(len(each)), each), "doc_id": ids, "no": no, "start": start, "end": end, "words": words, "digest": digest})
+            yield pd.DataFrame({"row": np.repeat(row + np.arange(len(each)), each), "doc_id": ids, **columns})
             row += len(each)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, UNITS)
@@ -86,16 +101,26 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 20) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     found = stored(units(docs), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "no")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "no", "upto")
     firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = stored(firsts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no")), "first-units")
-    repeats = stored(found.join(firsts, "digest").where("row <> first_row or no <> first_no").drop("digest", "first_row", "first_no"), "repeats")
+    firsts = stored(firsts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no"), F.col("first.upto").alias("first_upto")), "first-units")
+    repeats = stored(found.join(firsts, "digest").where("row <> first_row or no <> first_no or upto <> first_upto").drop("digest", "first_row", "first_no", "first_upto"), "repeats")
+    spans = ("row", "doc_id", "no", "upto", "at", "words", "start", "end")
     island = F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no"))
-    runs = repeats.withColumn("island", island).groupBy("row", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"),
-        F.count("*").alias("n_units"), F.sort_array(F.collect_set("first_id")).alias("kept_in"),
+    runs = repeats.where("no = upto").withColumn("island", island).groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("no").alias("no"), F.max("upto").alias("upto"), F.min("at").alias("at"), F.sum("words").cast("int").alias("words"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("first_id").alias("kept_in"),
+    )
+    lines = repeats.where("line").select(*spans, F.when(F.col("first_id").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("first_id")).alias("kept_in"))
+    removed = runs.where(F.col("words") >= least_words).select(*spans, "kept_in").union(lines)
+    order = Window.partitionBy("row").orderBy("no", "upto")
+    reach = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = removed.withColumn("begins", F.coalesce(F.col("no") > reach + 1, F.lit(True)).cast("int")).withColumn("passage", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = apart.groupBy("row", "passage").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("n_words"),
+        (F.max("upto") - F.min("no") + 1).cast("long").alias("n_units"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"),
     )
-    return runs.where(F.col("n_words") >= least_words).select("doc_id", "start", "end", "n_words", "n_units", "kept_in", "row")
+    return whole.select("doc_id", "start", "end", "n_words", "n_units", "kept_in", "row")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

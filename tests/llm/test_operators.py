@@ -101,6 +101,17 @@ def test_repeated_passages(spark, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_every_repeated_line_goes(spark):
+    short, long = "Licensed under the terms of use", words(77, 15)
+    texts = [(1, f"{words(1, 50)}\n{short}\n{long}\n{words(2, 9)}"), (2, f"{short}\n{words(3, 40)}\n{long}\n{short}"), (3, f"{words(4, 30)} {short} {words(5, 30)}"), (4, f"{words(6, 5)}\nx\n\nX\n{words(7, 5)}")]
+    table = stored(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "lines")
+    found = repeated_passages(table)
+    gone = {(r.doc_id, texts[r.doc_id - 1][1][r.start : r.end], r.n_words) for r in found.collect()}
+    assert gone == {(2, short, 6), (2, f"{long}\n{short}", 21), (4, "X", 1)}
+    kept = {r.doc_id: r.text.split() for r in without_passages(table, found).collect()}
+    assert kept[2] == texts[1][1].split("\n")[1].split() and kept[1] == texts[0][1].split() and kept[3] == texts[2][1].split()
+
+
 def test_html_extraction_on_held_out_seed_pages_and_edges(spark):
     model = html_text.learn()
     pages = html_seed.seed_pages(150, seed=11)
