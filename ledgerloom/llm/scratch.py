@@ -4,6 +4,7 @@ A written table cuts the lineage: a lost executor costs at most the stage that
 runs, never the stages before it.
 """
 
+import re
 import sys
 import tempfile
 import types
@@ -39,13 +40,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_number() -> Column:
-    """The number of a row of a written table: its partition of the scan and its place there, the same in every scan of it.
+    """The number of a row of a written table: its partition of the scan and its place there, the same in every scan of it after ``pin_scans``.
 
     It tells rows apart where doc_id does not, and joins an operator's rows back to the table's.
     """
     return F.monotonically_increasing_id()
 
 
+def pin_scans(spark: SparkSession) -> None:
+    """Files are split alike from now on, also after executors have come or gone: the number of splits follows the cores of now unless the session sets it."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def per_process(key: str, make: Callable[[], Any]) -> Any:
     """One object for each key and Python worker, kept from task to task."""
     home = sys.modules.setdefault("ledgerloom_worker_state", types.ModuleType("ledgerloom_worker_state"))
@@ -54,8 +62,21 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     return home.__dict__[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most ``rows`` rows from now on, so that very long texts don't meet in one batch by the thousand."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """What every operator with Python tasks begins with: scans are pinned, and Arrow batches hold at most ``most_bytes``, or one row.
+
+    Both stay set, since the operators' results are read after they have returned. A smaller bound of the session stays.
+    """
+    pin_scans(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
+    if not bound or not 0 < int(bound[1]) <= most_bytes:
+        spark.conf.set(key, f"{most_bytes}b")
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        if "/ledgerloom/" in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
