@@ -16,34 +16,49 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import per_process, small_batches
 
 UNKNOWN = "und"
-#: Characters of a text whose n-grams are counted at once; their counts are then added.
+#: Characters of a text that are coded at once.
 _SLICE = 1_000_000
+_GAP = np.uint64(ord("_"))
 
 
 def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def _points(text: str) -> Iterator[np.ndarray]:
+    """The letters of a text in lower case, one underscore for each gap and one at either end, slice by slice."""
+    is_letter = per_process("letters", _letters)
+    low, last = text.lower(), None
+    for at in range(0, len(low) + 1, _SLICE):
+        points = np.frombuffer(low[at : at + _SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.where(is_letter[points], points, ord("_")).astype(np.uint64)
+        begin, end = [_GAP] if not at else [], [_GAP] if at + _SLICE > len(low) else []
+        points = np.concatenate([begin, points, end]).astype(np.uint64)
+        before = np.concatenate([[0 if last is None else last], points[:-1]]).astype(np.uint64)
+        points = points[(points != _GAP) | (before != _GAP)]
+        last = points[-1] if len(points) else last
+        yield points
+
+
 def ngram_counts(text: str, orders: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a text's lower-case words, an underscore for each gap, and how often each occurs.
 
     An n-gram of up to three characters is one number of 21 bits a character.
+    Slices of a long text overlap by what the n-grams across their border need.
     """
-    is_letter = per_process("letters", _letters)
-    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    low = text.lower()
-    for at in range(0, len(low), _SLICE):
-        points = np.frombuffer(low[max(0, at - orders) : at + _SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
-        points = np.where(is_letter[points], points, ord("_")).astype(np.uint64)
-        points = np.concatenate([[ord("_")], points, [ord("_")]]).astype(np.uint64)
-        points = points[np.concatenate([[True], (points[1:] != ord("_")) | (points[:-1] != ord("_"))])]
-        parts = [points[points != ord("_")]]
-        code = points
-        for n in range(1, orders):
-            code = (code[:-1] << np.uint64(21)) | points[n:]
+    grams, counts, carry = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for points in _points(text):
+        stream = np.concatenate([carry, points])
+        parts = [points[points != _GAP]]
+        for n in range(2, orders + 1):
+            own = stream[max(0, len(carry) - n + 1) :]
+            code = own[: max(0, len(own) - n + 1)]
+            for k in range(1, n):
+                code = (code << np.uint64(21)) | own[k : len(own) - n + 1 + k]
             parts.append(code)
+        carry = stream[max(0, len(stream) - orders + 1) :]
         more, n_more = np.unique(np.concatenate(parts), return_counts=True)
-        if not at:
+        if not len(grams):
             grams, counts = more, n_more
         else:
             grams, back = np.unique(np.concatenate([grams, more]), return_inverse=True)
@@ -63,19 +78,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, *, size: int = 400, docs_per_language: int = 4000, max_languages: int = 256) -> DataFrame:
+def learn(docs: DataFrame, *, size: int = 400, docs_per_language: int = 4000) -> DataFrame:
     """Profiles (lang, place, gram) from the labelled rows of ``docs``.
 
     About ``docs_per_language`` documents of each language, chosen by a hash of
-    doc_id, are enough for ranks, and all are taken where there are fewer; each
-    is read whole. The ``max_languages`` most frequent labels are learned, so a
-    profile table has at most ``size * max_languages`` rows.
+    doc_id and text, are enough for ranks, and all are taken where there are
+    fewer; each is read whole. Every label is learned; ties of n-grams go to the
+    lesser code. Rows without a label or a text teach nothing; an empty table
+    gives no profiles.
     """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    languages = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = labelled.join(F.broadcast(languages), "lang").where(draw * F.col("n") < docs_per_language).select("lang", "text")
+    languages = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    sample = labelled.join(languages, "lang").where(draw * F.col("n") < docs_per_language).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, dict[int, int]] = {}
@@ -99,26 +115,29 @@ def predict(docs: DataFrame, profiles: DataFrame, *, size: int = 400) -> DataFra
     second (1 where only one was learned); ``nearness`` is 1 less the best
     distance over the greatest possible. A text that is null or has no letter
     is ``und`` with 0 for both, and so is every text if nothing was learned.
-    Ties go to the first language by name. Empty tables give no rows; columns of
+    Ties go to the first language by name. The driver gets the profiles, ``size`` rows a
+    language. Empty tables give no rows; columns of
     ``docs`` with the names of the new ones are replaced, others are kept.
     """
     small_batches(docs.sparkSession)
-    rows = profiles.orderBy("lang", "place").collect()
+    rows = sorted(profiles.collect(), key=lambda r: r["gram"])
     names = sorted({r["lang"] for r in rows})
-    known = np.unique(np.array([r["gram"] for r in rows], np.uint64))
-    places = np.full((len(names), len(known) + 1), -1, np.int64)
-    for r in rows:
-        places[names.index(r["lang"]), np.searchsorted(known, np.uint64(r["gram"]))] = r["place"] - 1
+    number = {name: k for k, name in enumerate(names)}
+    known, of = np.unique(np.array([r["gram"] for r in rows], np.uint64), return_inverse=True)
+    first = np.searchsorted(of, np.arange(len(known) + 1))
+    held_by, held_at = np.array([number[r["lang"]] for r in rows], np.int64), np.array([r["place"] - 1 for r in rows], np.int64)
 
     def nearest(text: str | None) -> tuple[str, float, float]:
         grams, counts = ngram_counts(text) if isinstance(text, str) else (np.zeros(0, np.uint64),) * 2
         own = ranked(grams, counts, size)
-        if not len(own) or not names or own.max() == ord("_"):
+        if not len(own) or not names or own.max() == _GAP:
             return UNKNOWN, 0.0, 0.0
-        k = np.searchsorted(known, own)
-        k[(k == len(known)) | (known[np.minimum(k, len(known) - 1)] != own)] = len(known)
-        there = places[:, k]
-        far = np.where(there < 0, size, np.abs(there - np.arange(len(own)))).sum(axis=1) / (size * len(own))
+        k = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        ranks = np.flatnonzero(known[k] == own)
+        begin, n = first[k[ranks]], first[k[ranks] + 1] - first[k[ranks]]
+        entries = np.arange(n.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        gain = np.bincount(held_by[entries], size - np.abs(held_at[entries] - np.repeat(ranks, n)), len(names))
+        far = (size * len(own) - gain) / (size * len(own))
         best = int(far.argmin())
         second = np.delete(far, best).min() if len(far) > 1 else None
         score = 1.0 if second is None else float((second - far[best]) / second) if second else 0.0
