@@ -88,9 +88,7 @@ def cut(plan: Schedule, queue: np.ndarray, first: np.ndarray, length: np.ndarray
         own, start = of[each], before[each]
         lo = np.maximum(a[each], start + own * j // rounds)
         hi = np.minimum(b[each], start + own * (j + 1) // rounds)
-        others = np.zeros(len(each), kind)
-        for k in range(len(take)):
-            others += np.where(k < q[each], take[k] * (j + 1) // rounds, np.where(k > q[each], take[k] * j // rounds, 0)) + np.where(k == q[each], 0, sent[k])
+        others = _sent_by_others(take, sent, rounds, q[each], j)
         runs.append(run[each])
         firsts.append(lo)
         lengths.append(hi - lo)
@@ -118,6 +116,21 @@ def cut(plan: Schedule, queue: np.ndarray, first: np.ndarray, length: np.ndarray
     return tuple(x[order] for x in joined)
 
 
+def _sent_by_others(take: np.ndarray, sent: np.ndarray, rounds: int, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """What the other queues have sent when a queue's turn of round j comes: queues before it have had theirs of this round."""
+    out = sent.sum() - sent[queue]
+    turns, at = np.unique(np.concatenate([j, j + 1]), return_inverse=True)
+    for lo in range(0, len(turns), step := max(1, (1 << 20) // len(take))):  # a table of rounds by queues, a part at a time
+        upto = np.zeros((min(step, len(turns) - lo), len(take) + 1), take.dtype)
+        np.cumsum(take[None, :] * turns[lo : lo + step, None] // rounds, axis=1, out=upto[:, 1:])
+        now, after = at[: len(j)] - lo, at[len(j) :] - lo
+        x = np.flatnonzero((now >= 0) & (now < len(upto)))
+        out[x] += upto[now[x], -1] - upto[now[x], queue[x] + 1]
+        x = np.flatnonzero((after >= 0) & (after < len(upto)))
+        out[x] += upto[after[x], queue[x]]
+    return out
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """A row per document: its ids, and how many tokens of its source precede it in its partition of the scan."""
 
@@ -138,41 +151,24 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return chosen.mapInPandas(run, TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: int = 2, weights: Mapping[str | None, float] | None = None, max_queues: int = 64, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: int = 2, weights: Mapping[str | None, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, placed in sequences of at most ``window`` tokens.
 
-    The ``max_queues - 1`` sources with most tokens have a queue each, the rest
-    share one: a window cannot hold the proportions of more. ``weights`` are
-    target proportions by source (others: 0, served when the rest is dry);
-    without them every window has the corpus's proportions. The tokenised table
-    is written once in the shared folder. The driver gets the totals of the
-    queues, at most ``max_queues`` rows.
+    Every source has a queue. ``weights`` are target proportions by source
+    (others: 0, served when the rest is dry); without them every window has the
+    corpus's proportions. The tokenised table is written once in the shared
+    folder. The driver gets one total a source.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     tokens = stored(tokenized(docs, tokenizer_path, end_id), "tokens")
     sizes = stored(tokens.groupBy("part", "queue_key").agg(F.sum("doc_tokens").alias("n")), "queue-sizes")
-    by_source = sizes.groupBy("queue_key").agg(F.sum("n").alias("n"))
-    top = by_source.orderBy(F.desc("n"), "queue_key").limit(max_queues - 1).collect()
-    total = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    totals = [r["n"] for r in top]
-    rest = total - sum(totals)
+    top = sizes.groupBy("queue_key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue_key").collect()
     share = None if weights is None else [weights.get(None if r["queue_key"] == "null" else r["queue_key"][1:], 0) for r in top]
-    if rest:
-        totals, share = [*totals, rest], share and [*share, 0]
-    plan = schedule(totals, window, share)
-
-    queue_of = F.lit(len(top))
-    for k, r in enumerate(top):
-        queue_of = F.when(F.col("queue_key") == r["queue_key"], k).otherwise(queue_of)
-    own = sizes.withColumn("queue", queue_of)
-    in_part = Window.partitionBy("queue", "part").orderBy("queue_key").rowsBetween(Window.unboundedPreceding, -1)
+    plan = schedule([r["n"] for r in top], window, share)
+    own = sizes.join(spark.createDataFrame([(r["queue_key"], k) for k, r in enumerate(top)], "queue_key string, queue int"), "queue_key")
     over_parts = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = own.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("parts_before"))
-    base = (
-        own.select("queue", "part", "queue_key", F.coalesce(F.sum("n").over(in_part), F.lit(0)).alias("sources_before"))
-        .join(before, ["queue", "part"])
-        .select("part", "queue_key", "queue", (F.col("parts_before") + F.col("sources_before")).alias("base"))
-    )
+    base = own.select("part", "queue_key", "queue", F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("base"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
