@@ -12,17 +12,12 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
 
 
 def _apportion(name: str, rows: str, within: str, key: str, weight: str, seats: str) -> str:
-    """Common table expressions that end in ``name``: ``rows`` with ``won``."""
+    """Common table expressions that end in ``name``: ``rows`` with ``won``, by ranking every quotient that any party could win with."""
     return f"""
-{name}_1 AS (SELECT *, coalesce({weight} / nullif(sum({weight}) OVER p, 0), 0) AS share FROM {rows} WINDOW p AS (PARTITION BY {within})),
-{name}_2 AS (SELECT *, floor(share * {seats} + 0.5)::BIGINT AS rounded FROM {name}_1),
-{name}_3 AS (SELECT *, ceil(abs({seats} - sum(rounded) OVER p) * share)::BIGINT + 2 AS near FROM {name}_2 WINDOW p AS (PARTITION BY {within})),
-{name}_4 AS (SELECT *, greatest(0, rounded - near) AS sure FROM {name}_3),
-{name}_5 AS (SELECT *, {seats} - sum(sure) OVER (PARTITION BY {within}) AS open_seats FROM {name}_4),
-{name}_6 AS (SELECT *, unnest(generate_series(sure, rounded + near)) AS seat FROM {name}_5),
-{name}_7 AS (SELECT *, row_number() OVER (PARTITION BY {within} ORDER BY {weight} / (2 * seat + 1) DESC, {key} NULLS LAST, seat) AS rank FROM {name}_6),
-{name}_8 AS (SELECT {within} AS w8, {key} AS k8, first(sure) + count(*) FILTER (rank <= open_seats AND {weight} > 0) AS won FROM {name}_7 GROUP BY 1, 2),
-{name} AS (SELECT r.*, x.won FROM {rows} r JOIN {name}_8 x ON r.{within} IS NOT DISTINCT FROM x.w8 AND r.{key} IS NOT DISTINCT FROM x.k8)"""
+{name}_asked AS (SELECT {within} AS w, {key} AS k, {seats} AS seats, {weight} / (2 * unnest(generate_series(0, {seats})) + 1) AS quotient FROM {rows} WHERE {weight} > 0),
+{name}_ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY quotient DESC, k NULLS LAST) AS rank FROM {name}_asked),
+{name}_won AS (SELECT w, k, count(*) AS won FROM {name}_ranked WHERE rank <= seats GROUP BY 1, 2),
+{name} AS (SELECT r.*, coalesce(x.won, 0) AS won FROM {rows} r LEFT JOIN {name}_won x ON r.{within} IS NOT DISTINCT FROM x.w AND r.{key} IS NOT DISTINCT FROM x.k)"""
 
 
 OP7 = rf"""
@@ -48,6 +43,21 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every pair of texts that share a shingle, and all that links reach: for small tables.
+OP8 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
 def _op10() -> str:
     parts = []
     for k, r in enumerate((*secrets.BASE, *secrets.MORE)):

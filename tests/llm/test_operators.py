@@ -18,7 +18,7 @@ from ledgerloom.llm import avi, html_seed, html_text, jpeg, langid, pii, queries
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
-from ledgerloom.llm.packing import pack
+from ledgerloom.llm.packing import cut, pack, schedule
 from ledgerloom.llm.scratch import fresh_path, stored
 from ledgerloom.llm.substring_dedup import repeated_passages, without_passages
 
@@ -75,6 +75,60 @@ def test_packing_places_every_id_once(docs, none):
     assert pack(none, path).count() == 0
 
 
+def rounds_one_by_one(plan, n_queues):
+    """(queue, position) of every token, in the order in which queues send them."""
+    order, sent = [], [0] * n_queues
+    for phase in plan.phases:
+        assert sent == phase.sent
+        for j in range(1, phase.rounds + 1):
+            for q, take in enumerate(phase.take):
+                upto = phase.sent[q] + take * j // phase.rounds
+                order += [(q, x) for x in range(sent[q], upto)]
+                sent[q] = upto
+    return order
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 90), min_size=1, max_size=9), st.sampled_from([4, 7, 16]), st.booleans(), st.integers(0, 99))
+def test_packing_in_closed_form_equals_rounds_one_by_one(totals, window, weighted, seed):
+    r = random.Random(seed)
+    plan = schedule(totals, window, [r.choice([0, 1, 2, 5]) for _ in totals] if weighted else None)
+    order = rounds_one_by_one(plan, len(totals))
+    assert sorted(order) == [(q, x) for q, n in enumerate(totals) for x in range(n)]
+    runs = [(q, a, min(n, a + 11) - a) for q, n in enumerate(totals) for a in range(0, n, 11)]
+    queue, first, length = (np.array([x[k] for x in runs], np.int64) for k in range(3))
+    starts, full = [*plan.tail_starts()], sum(totals) // window
+    placed = {}
+    for run, lo, n, sequence, offset in zip(*(x.tolist() for x in cut(plan, queue, first, length)), strict=True):
+        begin = sequence * window if sequence < full else starts[sequence - full]
+        placed |= {begin + offset + k: (int(queue[run]), lo + k) for k in range(n)}
+    assert [placed[k] for k in range(len(order))] == order
+
+
+def test_windows_hold_target_weights_until_a_queue_is_dry():
+    totals, weights, window = [9000, 50000, 20000], [3, 1, 1], 1000
+    order = rounds_one_by_one(schedule(totals, window, weights), 3)
+    for at in range(0, 15000 - window, window):
+        held = [sum(q == k for q, _ in order[at : at + window]) for k in range(3)]
+        assert all(abs(h - t) <= 2 for h, t in zip(held, (600, 200, 200), strict=True))
+    held = [sum(q == k for q, _ in order[20000:30000]) for k in range(3)]
+    assert held[0] == 0 and abs(held[1] - held[2]) <= 20
+
+
+def test_packing_by_weights_and_of_many_sources(spark):
+    rows = [(k, words(k, 30), f"s{k % 90}") for k in range(300)]
+    table = stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "many-sources")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for weights in (None, {"s1": 2.0, "s2": 1.0}):
+        pieces = pack(table, path, window=256, weights=weights).collect()
+        assert len({(p.doc_id, p.start) for p in pieces}) == len(pieces) and {p.source for p in pieces} == {f"s{k}" for k in range(90)}
+        ends = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+        assert all(b == (a[1] + a[2] if a[0] == s else 0) for a, (s, b, _) in zip(ends, ends[1:], strict=False))
+    early = [p for p in pieces if p.sequence_id < 3]
+    tokens = {s: sum(p.length for p in early if p.source == s) for s in ("s1", "s2")}
+    assert sum(tokens.values()) == 3 * 256 and abs(tokens["s1"] - 512) < 16
+
+
 def test_exact_dedup_and_its_index(spark, docs, none):
     index = DigestIndex("digest_test", fresh_path(spark, "digest-test"))
     rows = deduplicate(docs, index).collect()
@@ -84,9 +138,24 @@ def test_exact_dedup_and_its_index(spark, docs, none):
     assert of[9].keep_id == 6 and sum(r.kept for r in rows if r.doc_id == 6) == 1
     assert of[5].keep_id == 5 and of[3].group_size == 3
     assert of[3].text_sha256 == hashlib.sha256(b"").hexdigest()
+    again = deduplicate(docs, index).collect()
+    assert sorted(again, key=str) == sorted(rows, key=str)
     later = deduplicate(docs, index, batch="second").collect()
     assert not any(r.kept for r in later) and {r.doc_id: r.keep_id for r in later}[10] == 1
     assert deduplicate(none, index, batch="third").count() == 0
+    session = spark.newSession()  # another session knows the index by its path only
+    other = DigestIndex("digest_test_elsewhere", index.path)
+    moved = session.createDataFrame([(77, words(1, 60)), (78, "new")], "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.kept) for r in deduplicate(moved, other, batch="fourth").collect()} == {77: (1, False), 78: (78, True)}
+    entries = other.entries(session)
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString()
+    twice = session.table(other.table).where("keep_id = 78").withColumn("batch", F.lit("fifth")).withColumn("keep_id", F.lit(79).cast("long"))
+    other.append(stored(twice, "twice"), other.open(session))  # two batches bring a digest at the same time
+    session.catalog.refreshTable(other.table)
+    assert other.entries(session).where("keep_id >= 78").collect()[0].keep_id == 79 and deduplicate(moved, other, batch="sixth").count() == 2
+    copy = other.compacted(session, "digest_test_compact", fresh_path(session, "digest-compact"))
+    assert sorted(copy.entries(session).collect()) == sorted(other.entries(session).collect())
+    assert session.table(copy.table).count() == session.table(other.table).count() - 1
 
 
 def test_repeated_passages(spark, none):
@@ -183,6 +252,63 @@ def test_language_on_held_out_documents(spark, docs, none):
     assert langid.predict(none, profiles).count() == 0 and langid.predict(docs, profiles.limit(0)).where("lang_pred <> 'und'").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aé b_1,", max_size=12), max_size=30), st.integers(3, 9))
+def test_language_counts_do_not_depend_on_slices(parts, width):
+    text = "".join(parts)
+    langid._SLICE = 10**6
+    whole = langid.ngram_counts(text)
+    langid._SLICE = width
+    cut_up = langid.ngram_counts(text)
+    langid._SLICE = 10**6
+    stream = "_" + "".join(c if c.isalpha() else "_" for c in text.lower()) + "_"
+    stream = re.sub("_+", "_", stream)
+    plain = {}
+    for n in (1, 2, 3):
+        for k in range(len(stream) - n + 1):
+            if stream[k : k + n] != "_":
+                code = int("".join(f"{ord(c):021b}" for c in stream[k : k + n]), 2)
+                plain[code] = plain.get(code, 0) + 1
+    for grams, counts in (whole, cut_up):
+        assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == plain
+
+
+def test_languages_against_plain_ranks(spark):
+    r = random.Random(8)
+    pools = {f"l{k}": ["".join(r.choice("abcdefgh"[k % 5 : k % 5 + 4]) for _ in range(r.randint(1, 5))) for _ in range(12)] for k in range(7)}
+    rows = [(None if k % 9 == 0 else k, " ".join(r.choices(pool, k=25)), lang) for lang, pool in pools.items() for k in range(6)]
+    rows += [(500, "zz zz", "l0"), (501, "ab ba", "l9"), (502, "ab ba", "l8"), (503, "...", "l1"), (504, None, "l1")]
+    table = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), "plain-langs")
+
+    def ranks(counts, size):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+    def grams(text):
+        return dict(zip(*(x.tolist() for x in langid.ngram_counts(text)), strict=True))
+
+    totals = {}
+    for _, text, lang in rows:
+        for g, n in grams(text).items() if text else ():
+            own = totals.setdefault(lang, {})
+            own[g] = own.get(g, 0) + n
+    size = 30
+    profiles = {lang: ranks(own, size) for lang, own in totals.items()}
+    learned = stored(langid.learn(table, size=size), "plain-profiles")
+    held = {}
+    for p in learned.orderBy("place").collect():
+        held.setdefault(p.lang, []).append(p.gram)
+    assert held == profiles and len(held) == 9
+    for got in langid.predict(table, learned, size=size).collect():
+        own = ranks(grams(got.text), size) if got.text else []
+        if not [g for g in own if g != ord("_")] or not any(c.isalpha() for c in got.text):
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        far = {lang: sum(abs(profile.index(g) - k) if g in profile else size for k, g in enumerate(own)) for lang, profile in profiles.items()}
+        best, second = sorted(far, key=lambda x: (far[x], x))[:2]
+        assert got.lang_pred == best and abs(got.score - ((far[second] - far[best]) / far[second] if far[second] else 0)) < 1e-9
+    assert {x.doc_id: x.lang_pred for x in langid.predict(table, learned, size=size).collect()}[501] == "l8"  # a tie with l9
+
+
 def test_mixing_reaches_targets(docs, none):
     rows = mix(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.taken <= 3 * r.size for r in rows)
