@@ -34,5 +34,22 @@ def matched(text: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> C
 
 
 def glob_pattern(glob: str) -> str:
-    """An anchored regular expression for ``*`` and ``?``."""
-    return "^" + "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() or c in "_ " else "\\" + c) for c in glob) + "$"
+    """A regular expression for the whole of what ``*``, ``?`` and ``[..]`` match, case and all; ``*`` crosses dots, slashes and line ends.
+
+    ``[!..]`` is a class of all others; a bracket that nothing closes stands for itself.
+    """
+    out, k = "", 0
+    while k < len(glob):
+        c, k = glob[k], k + 1
+        close = glob.find("]", k + 1 + (glob[k : k + 1] == "!")) if c == "[" else -1
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif close > 0:
+            body, k = glob[k:close], close + 1
+            ranges = "".join("\\" + x if x in "\\[]^&~" else x for x in body[body.startswith("!") :])
+            out += f"[{'^' * body.startswith('!')}{ranges}]"
+        else:
+            out += c if c.isalnum() or c in "_ " else "\\" + c if ord(c) < 128 else c
+    return rf"(?s)\A{out}\z"

@@ -16,11 +16,16 @@ def missing_requirements(required: DataFrame, observed: DataFrame, *key: str) ->
 
 
 def examples(rows: DataFrame, group: str, item: str, most: int) -> DataFrame:
-    """(group, n, examples): the ``most`` smallest distinct items as one string; only that many reach a group's task."""
-    own = rows.groupBy(group, item).agg(F.count("*").alias("rows"))
-    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(item)))
-    kept = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col(item))))
-    return ranked.groupBy(group).agg(F.sum("rows").alias("n"), F.array_join(kept, ",").alias("examples"))
+    """(group, n, examples): the number of rows and the ``most`` smallest distinct items as one string.
+
+    Counting and choosing are apart: ranks are filtered at once, so that each
+    task keeps ``most`` items of a group before any are shuffled.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"))
+    kept = rows.where(F.col(item).isNotNull()).select(F.col(group).alias("of"), F.col(item).alias("item")).distinct()
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy("item"))).where(F.col("place") <= most)
+    shown = kept.groupBy("of").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("examples"))
+    return counts.join(shown, F.col(group).eqNullSafe(F.col("of")), "left").select(group, "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def draw(key: Column, seed: str, out_of: int) -> Column:

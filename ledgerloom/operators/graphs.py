@@ -1,99 +1,104 @@
 """Reachability over edge tables, level by level; levels are written tables, so lost executors cost one level."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.written import fresh_folder, written
+
+
+class _Levels:
+    """A table that grows by a level at a time; a level is written once and never again."""
 
-def _shared(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    def __init__(self, first: DataFrame) -> None:
+        self.spark, self.schema, self.paths = first.sparkSession, first.schema, []
+        self.add(first)
 
+    def add(self, rows: DataFrame) -> DataFrame:
+        self.paths.append(fresh_folder(self.spark, "level"))
+        rows.select(*self.schema.names).write.parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the whole cluster can write."""
-    return f"{_shared(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table and read again."""
-    path = fresh_folder(df.sparkSession, "level")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def _checked(level: int, most: int | None, what: str) -> int:
+    if most is not None and level >= most:
+        raise ValueError(f"LIMIT_EXCEEDED: more than {most} {what}")
+    return level + 1
 
-def reach(edges: DataFrame, origins: DataFrame, most_levels: int = 32) -> DataFrame:
+
+def reach(edges: DataFrame, origins: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(node, level): what can be reached from ``origins`` (node), each with its least number of edges.
 
     ``edges`` has (src, dst). Cycles end the search since known nodes are not
     followed again; a search that is still open after ``most_levels`` fails.
+    Repeated edges and null ends add nothing.
     """
-    front = _cut(origins.select("node").distinct().withColumn("level", F.lit(0)))
-    known, level = front, 0
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    known, level = _Levels(origins.select("node").distinct().withColumn("level", F.lit(0))), 0
+    front = known.last()
     while not front.isEmpty():
-        if level >= most_levels:
-            raise ValueError(f"LIMIT_EXCEEDED: more than {most_levels} levels")
-        level += 1
+        level = _checked(level, most_levels, "levels")
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _cut(found.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
-        known = _cut(known.union(front))
-    return known
+        front = known.add(found.join(known.table(), "node", "left_anti").withColumn("level", F.lit(level)))
+    return known.table()
 
 
-def unplaceable(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def unplaceable(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node): what no topological order can place, none where the graph is acyclic.
 
     Nodes without a remaining predecessor are taken away round by round, as many
     rounds as the longest chain has nodes; a graph that is still shrinking after
     ``most_rounds`` fails. ``edges`` has (src, dst).
     """
-    edges = _cut(edges.select("src", "dst").distinct())
-    targets = _cut(edges.select(F.col("dst").alias("node")).distinct())
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    targets = written(edges.select(F.col("dst").alias("node")).distinct(), "targets")
     n, rounds = targets.count(), 0
     while n:
-        if rounds >= most_rounds:
-            raise ValueError(f"LIMIT_EXCEEDED: more than {most_rounds} rounds")
-        rounds += 1
-        edges = _cut(edges.join(targets, F.col("src") == F.col("node"), "left_semi"))
-        left = _cut(edges.select(F.col("dst").alias("node")).distinct())
+        rounds = _checked(rounds, most_rounds, "rounds")
+        edges = written(edges.join(targets, F.col("src") == F.col("node"), "left_semi"), "edges")
+        left = written(edges.select(F.col("dst").alias("node")).distinct(), "targets")
         targets, before, n = left, n, left.count()
         if n == before:
             break
     return targets
 
 
-def trust_paths(delegations: DataFrame, subjects: DataFrame, roots: DataFrame, most_levels: int = 8) -> DataFrame:
+def trust_paths(delegations: DataFrame, subjects: DataFrame, roots: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(node, depth, root, status) for each of ``subjects`` (node): the nearest of ``roots`` (node) over ``delegations`` (child, parent, valid).
 
     TRUSTED has a path of valid delegations; OUT_OF_SCOPE has one only if invalid
-    ones count; else NO_ROOT. Of equally near roots the smallest is given. A
-    search that is still open after ``most_levels`` fails.
+    ones count; else NO_ROOT. Of equally near roots the smallest is given. One
+    walk from the roots carries whether all delegations so far were valid, so a
+    node is met twice at most. A search that is still open after ``most_levels``
+    fails.
     """
-    up = lambda valid: delegations.where("valid") if valid else delegations
-
-    def nearest(valid: bool) -> DataFrame:
-        down = up(valid).select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct()
-        front = _cut(roots.select("node").distinct().select("node", F.col("node").alias("root"), F.lit(0).alias("depth")))
-        known, level = front, 0
-        while not front.isEmpty():
-            if level >= most_levels:
-                raise ValueError(f"LIMIT_EXCEEDED: more than {most_levels} levels")
-            level += 1
-            found = front.join(down, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("root"), F.lit(level).alias("depth"))
-            front = _cut(found.join(known, "node", "left_anti").select("node", "root", "depth"))
-            known = _cut(known.union(front))
-        return known
-
-    good, any_path = nearest(True), nearest(False).select(F.col("node").alias("reached"))
-    found = subjects.select("node").join(good, "node", "left").join(any_path, F.col("node") == F.col("reached"), "left")
-    status = F.when(F.col("root").isNotNull(), "TRUSTED").when(F.col("reached").isNotNull(), "OUT_OF_SCOPE").otherwise("NO_ROOT")
-    return found.select("node", "depth", "root", status.alias("status"))
+    down = written(delegations.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.coalesce("valid", F.lit(False)).alias("valid")).distinct(), "delegations")
+    known, level = _Levels(roots.select("node").distinct().select("node", F.lit(True).alias("good"), F.col("node").alias("root"), F.lit(0).alias("depth"))), 0
+    front = known.last()
+    while not front.isEmpty():
+        level = _checked(level, most_levels, "levels")
+        found = front.join(down, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), (F.col("good") & F.col("valid")).alias("good")).agg(F.min("root").alias("root"), F.lit(level).alias("depth"))
+        seen = known.table().groupBy("node").agg(F.bool_or("good").alias("seen_good")).withColumnRenamed("node", "seen")
+        open_still = F.col("seen").isNull() | (F.col("good") & ~F.col("seen_good"))
+        front = known.add(found.join(seen, F.col("node") == F.col("seen"), "left").where(open_still))
+    states = known.table().groupBy("node").agg(F.min_by("root", F.when(F.col("good"), F.struct("depth", "root"))).alias("root"), F.min(F.when(F.col("good"), F.col("depth"))).alias("depth"), F.lit(True).alias("reached"))
+    found = subjects.select("node").join(states, "node", "left")
+    status = F.when(F.col("depth").isNotNull(), "TRUSTED").when(F.col("reached"), "OUT_OF_SCOPE").otherwise("NO_ROOT")
+    return found.select("node", "depth", F.when(F.col("depth").isNotNull(), F.col("root")).alias("root"), status.alias("status"))
+
+
+def ring_members(successors: DataFrame) -> DataFrame:
+    """(node): nodes of rings where each ``node`` has one ``next`` (null at an end); by pointer doubling, so in as many passes as the logarithm of the longest chain."""
+    hops = written(successors.select("node", "next"), "hops")
+    n, passes = hops.count(), 0
+    jumps = hops
+    while (1 << passes) < max(1, n):
+        far = jumps.select(F.col("node").alias("next"), F.col("next").alias("after"))
+        jumps, passes = written(jumps.join(far, "next", "left").select("node", F.col("after").alias("next")), "jumps"), passes + 1
+    return jumps.where(F.col("next").isNotNull()).select(F.col("next").alias("node")).distinct()
+
