@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import row_number, stored
+from ledgerloom.llm.scratch import pin_scans, row_number, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,6 +75,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), most: int = 3, b
     The same seed and rows give the same mix, however they are partitioned. An
     empty table gives no rows; other columns are not read.
     """
+    pin_scans(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_number().alias("row")), "sizes")
     sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "source-sizes")

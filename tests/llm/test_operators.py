@@ -427,6 +427,9 @@ def test_pipeline_stages_against_plain_python(spark):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in before.collect()}
     after, before = kept["language_id"]
     assert set(after) == {i for i, t in before.items() if any(c.isalpha() for c in t or "")}
+    foreign = [(10**6 + k, t, None, None, 1) for k, t in enumerate(["привет как дела сегодня хорошо", "xqzk vvrt qqpl zzkw jjxq wwqz kkvv", "The of and in to that. "])]
+    more = stored(spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(foreign, "doc_id long, text string, lang string, source string, n_chars long")), "test-foreign")
+    assert {r.doc_id for r in steps["language_id"](spark, more, SF).collect()} == set(after) | {10**6 + 2}
     after, before = kept["exact_dedup"]
     squeeze = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
     assert len(after) == len({squeeze(t) for t in before.values()}) == len({squeeze(t) for t in after.values()})
