@@ -6,6 +6,7 @@ are scanned, each blob once however many paths hold it, and the findings are
 joined back to all paths.
 """
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -76,29 +77,35 @@ def ledger_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan_incrementally(docs: DataFrame, ledger_path: str, version: str = "1", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """A row per row of ``docs``: doc_id (its path), blob and the spans of its text under ``version`` of the rules.
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The version of rules: a digest of all that they say, so that changed rules find no stale entries."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+def scan_incrementally(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """A row per row of ``docs``: doc_id (its path), blob and the spans of its text under these rules.
 
     A null text is an empty blob and has no spans. Equal texts share one blob,
     which is scanned through the path with the smallest doc_id (null last; rows
     that are wholly alike may each be read). Findings are appended to the ledger
-    at ``ledger_path``, a row per blob and version, also where there are none.
+    at ``ledger_path``, a row per blob and version, also where there are none; if
+    two runs append a blob at the same time, one row of it counts.
     An empty table gives no rows; columns other than doc_id and text are not
     read.
     """
-    spark = docs.sparkSession
+    spark, version = docs.sparkSession, version_of(rules)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
     paths = stored(rows.select("doc_id", "blob"), "paths")
     known = ledger_of(spark, ledger_path).where(F.col("rules") == version)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     unseen = stored(paths.groupBy("blob").agg(first.alias("first")).join(known, "blob", "left_anti").select(F.col("blob").alias("of"), F.col("first.doc_id").alias("by")), "unseen")
-    texts = rows.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("by"))).select("blob", "text")
+    texts = rows.join(unseen, (F.col("blob") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("by"))).select("blob", "text")
     found = scan(texts, rules)
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     entries = unseen.select(F.col("of").alias("blob")).join(found, "blob", "left").select("blob", F.lit(version).alias("rules"), F.coalesce("spans", none).alias("spans"))
     entries.write.mode("append").parquet(ledger_path)
-    findings = ledger_of(spark, ledger_path).where(F.col("rules") == version).select("blob", "spans")
+    findings = ledger_of(spark, ledger_path).where(F.col("rules") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
     return paths.join(findings, "blob").select("doc_id", "blob", "spans")
 
 
