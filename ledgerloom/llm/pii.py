@@ -59,7 +59,7 @@ _LOOSE = (
     ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
-_NAME = re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.?\x20(?:[A-Z]\w{1,30}\x20)?|(?:" + "|".join(GIVEN_NAMES) + r")\x20)[A-Z]\w{1,30}\b")
+_NAME = re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.?\x20(?:[A-Z]\w+\x20)?|(?:" + "|".join(GIVEN_NAMES) + r")\x20)[A-Z]\w+\b")
 _DIGIT = re.compile("[0-9]")
 _NO_DIGIT = re.compile("[^0-9]")
 
