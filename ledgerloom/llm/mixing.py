@@ -13,33 +13,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import pin_scans, row_number, stored
+from ledgerloom.operators.written import ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _with(rows: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the other columns of ``sums``, which has one row for each of ``keys``, nulls included."""
+    right = sums.select(F.struct(*keys).alias("keys"), *(c for c in sums.columns if c not in keys))
+    return rows.join(right, F.struct(*keys).eqNullSafe(F.col("keys"))).drop("keys")
+
+
 def apportion(parties: DataFrame, within: Sequence[str], key: str, weight: str, seats: str) -> DataFrame:
     """``parties`` with ``won``: the seats of each by Sainte-Lague's method.
 
     Where ``seats`` are given out among the rows that agree on ``within``. Seats
     that no rounding can touch are given at once; quotients are listed only for
     the few about the rounded quota, so the rows made are a small multiple of
-    the parties.
+    the parties. Quotients are ranked in ranges, so that no task gets all
+    parties of a group.
     """
-    among = Window.partitionBy(*within)
-    share = F.coalesce(F.col(weight) / F.sum(weight).over(among), F.lit(0.0))
-    off = F.abs(F.col(seats) - F.sum("rounded").over(among))
-    quota = parties.withColumn("share", share).withColumn("rounded", F.floor(F.col("share") * F.col(seats) + 0.5))
-    near = quota.withColumn("near", (F.ceil(off * F.col("share")) + 2).cast("long"))
-    sure = near.withColumn("sure", F.greatest(F.lit(0), F.col("rounded") - F.col("near"))).withColumn("open", F.col(seats) - F.sum("sure").over(among))
-    asked = sure.withColumn("seat", F.explode(F.sequence("sure", F.col("rounded") + F.col("near"))))
-    rank = F.row_number().over(among.orderBy(F.desc(F.col(weight) / (2 * F.col("seat") + 1)), F.col(key).asc_nulls_last(), "seat"))
-    got = (F.col("rank") <= F.col("open")) & (F.col(weight) > 0)
-    won = asked.withColumn("rank", rank).groupBy(*within, key).agg((F.first("sure") + F.count_if(got)).alias("won"))
-    same = [parties[c].eqNullSafe(won[c]) for c in (*within, key)]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return parties.join(won, on).select(parties["*"], won["won"])
+    total = parties.groupBy(*within).agg(F.sum(weight).alias("all_weight"))
+    share = F.coalesce(F.col(weight) / F.nullif(F.col("all_weight"), F.lit(0.0)), F.lit(0.0))
+    quota = _with(parties, total, within).withColumn("share", share).withColumn("rounded", F.floor(F.col("share") * F.col(seats) + 0.5))
+    off = F.abs(F.col(seats) - F.col("all_rounded"))
+    near = _with(quota, quota.groupBy(*within).agg(F.sum("rounded").alias("all_rounded")), within).withColumn("near", (F.ceil(off * F.col("share")) + 2).cast("long"))
+    sure = stored(near.withColumn("sure", F.greatest(F.lit(0), F.col("rounded") - F.col("near"))).select(*within, key, weight, seats, "rounded", "near", "sure"), "quotas")
+    open_seats = F.max(seats) - F.sum("sure")
+    asked = _with(sure, sure.groupBy(*within).agg(open_seats.alias("open")), within).withColumn("seat", F.explode(F.sequence("sure", F.col("rounded") + F.col("near"))))
+    asked = asked.withColumn("quotient", F.col(weight) / (2 * F.col("seat") + 1)).select(*within, key, "sure", "open", "seat", "quotient")
+    placed = ranked(asked, within, [F.desc("quotient"), F.col(key).asc_nulls_last(), F.col("seat")], "rank")
+    got = (F.col("rank") <= F.col("open")) & (F.col("quotient") > 0)
+    won = placed.groupBy(*within, key).agg((F.first("sure") + F.count_if(got)).alias("won"))
+    return _with(parties, won, [*within, key])
 
 
 def capped(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
@@ -100,11 +106,15 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), most: int = 3, b
 
 
 def mixed_documents(docs: DataFrame, mixture: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: each as often as its words are taken, a last partial copy cut after the words taken."""
+    """``docs`` as the mix takes them: each as often as its words are taken, a last partial copy cut after the words taken.
+
+    Documents of which nothing is taken, such as those without words, are left
+    out; all columns are kept, and ``n_chars`` follows the text where there is
+    one. ``mixture`` is of these rows; an empty table gives no rows.
+    """
     shares = mixture.where(F.col("taken") > 0).select(F.col("row").alias("mixed_row"), "size", "taken")
-    at = "_".join(["row", *docs.columns])  # no column has this name
-    both = docs.withColumn(at, row_number()).join(shares, F.col(at) == F.col("mixed_row")).drop(at, "mixed_row")
-    own = both.select(F.struct(*(both[c] for c in docs.columns)).alias("doc"), "size", "taken")
+    numbered = docs.select(row_number().alias("own_row"), F.struct("*").alias("doc"))  # as one column, the table's names clash with none
+    own = numbered.join(shares, F.col("own_row") == F.col("mixed_row")).select("doc", "size", "taken")
     copies = own.select("doc", "size", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size")))).alias("words"))
     text = F.col("doc")["text"].cast("string")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), "")

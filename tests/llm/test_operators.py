@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import avi, html_seed, html_text, jpeg, langid, pii, queries, secrets
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
-from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.mixing import apportion, capped, mix, mixed_documents
 from ledgerloom.llm.packing import cut, pack, schedule
 from ledgerloom.llm.scratch import fresh_path, stored
 from ledgerloom.llm.substring_dedup import repeated_passages, without_passages
@@ -318,6 +318,54 @@ def test_mixing_reaches_targets(docs, none):
     assert mix(none).count() == 0
 
 
+def test_seats_equal_a_plain_ranking_of_quotients(spark):
+    r = random.Random(2)
+    rows = [(g, k, float(r.choice([0, 1, 1, 2, 5, 7, 7, 30])), seats) for g, seats, n in (("a", 7, 5), ("b", 40, 9), (None, 3, 4), ("d", 0, 3), ("e", 5, 6)) for k in [*range(n - 1), None]]
+    rows = [(g, k, 3.0 if g == "e" else w, seats) for g, k, w, seats in rows]  # ties only
+    table = stored(spark.createDataFrame(rows, "g string, k int, w double, seats long"), "parties")
+    got = {(x.g, x.k): x.won for x in apportion(table, ["g"], "k", "w", "seats").collect()}
+    for g in {x[0] for x in rows}:
+        own = [(k, w) for x, k, w, _ in rows if x == g]
+        seats = next(x[3] for x in rows if x[0] == g)
+        order = sorted(((-w / (2 * i + 1), k is None, k or 0, i, k) for k, w in own for i in range(seats) if w > 0))[:seats]
+        assert {k: got[g, k] for k, _ in own} == {k: sum(x[4] == k for x in order) for k, _ in own}
+    assert apportion(table.limit(0), ["g"], "k", "w", "seats").count() == 0
+
+
+def test_targets_stop_at_their_cap(spark):
+    sizes = {"a": 1000, "b": 10, "c": 400, None: 5}
+    table = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long")
+    got = {x.source: x.target for x in capped(table, (5, 2, 1), 3).collect()}
+    weights, total = {"a": 5, "b": 2, "c": 1, None: 5}, sum(sizes.values())
+    want, left = {}, dict(weights)
+    while True:  # share again and again until none is above its cap
+        rest = total - sum(want.values())
+        over = {s for s in left if rest * left[s] / sum(left.values()) > 3 * sizes[s]}
+        if not over:
+            want |= {s: rest * w / sum(left.values()) for s, w in left.items()}
+            break
+        want |= {s: 3 * sizes[s] for s in over}
+        left = {s: w for s, w in left.items() if s not in over}
+    assert {s: round(t, 6) for s, t in want.items()} == got
+
+
+def test_a_mix_is_written_as_it_was_taken(docs):
+    mixture = mix(docs)
+    taken = {}
+    for x in mixture.collect():
+        taken[x.doc_id] = taken.get(x.doc_id, 0) + x.taken
+    made = {}
+    for x in mixed_documents(docs, mixture).collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", x.text))
+        assert n > 0 and words_of(ROWS, x.doc_id)[:n] == re.findall(r"[^\x20\x09-\x0D]+", x.text)
+        made[x.doc_id] = made.get(x.doc_id, 0) + n
+    assert {k: n for k, n in taken.items() if n} == made
+
+
+def words_of(rows, doc_id):
+    return re.findall(r"[^\x20\x09-\x0D]+", next(t for i, t, *_ in rows if i == doc_id) or "")
+
+
 def brute_components(texts, percent=75):
     sets = []
     for t in texts:
@@ -401,6 +449,11 @@ def test_secret_ledger_scans_a_blob_once(spark, docs, none):
         got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan_incrementally(table, path).collect()}
         assert got == {1: [("assign", 0, 17)], 2: [("assign", 0, 17)], 3: [], 4: [("access", 0, 20)]}
     assert spark.read.parquet(path).count() == 3
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)  # two runs at the same time
+    assert sorted(r.doc_id for r in secrets.scan_incrementally(table, path).collect()) == [1, 2, 3, 4]
+    longer = (secrets.Rule("assign", secrets.BASE[0].pattern, 9, 2), *secrets.BASE[1:])
+    assert secrets.version_of(longer) != secrets.version_of(secrets.BASE)
+    assert {r.doc_id: len(r.spans) for r in secrets.scan_incrementally(table, path, longer).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
     assert secrets.scan_incrementally(none, path).count() == 0 and secrets.scan_incrementally(docs, path).count() == len(ROWS)
 
 
