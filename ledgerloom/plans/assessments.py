@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import values
 from ledgerloom.operators import assess, graphs
 from ledgerloom.operators import compare as cmp
+from ledgerloom.operators.written import ranked
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.streaming import claims
 
@@ -100,8 +101,8 @@ def merge_order_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ordered tables, compared rank by rank; ranks are those of words by count."""
     words = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("role", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
     counts = words.where("token <> ''").groupBy("role", "token").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("n"), "token")))
-    return assess.ranked_tables(ranked.where("role = 'user'"), ranked.where("role = 'assistant'"), "rank", "token")
+    ranks = ranked(counts, ["role"], [F.desc("n"), F.col("token")], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return assess.ranked_tables(ranks.where("role = 'user'"), ranks.where("role = 'assistant'"), "rank", "token")
 
 
 _SUCCESSORS = "SELECT s_suppkey AS src, s_suppkey * 2 % (SELECT count(*) FROM supplier) AS dst FROM supplier"

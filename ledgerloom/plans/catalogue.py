@@ -9,6 +9,7 @@ from ledgerloom.functions.values import canonical_identity as identity
 from ledgerloom.functions.values import greatest_common_divisor
 from ledgerloom.operators import compare as cmp
 from ledgerloom.operators import evidence, graphs, sequences
+from ledgerloom.operators.written import ranked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,14 +57,14 @@ def manifest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _MANIFEST
     + """SELECT count(*) AS n_paths, count(*) FILTER (findings = 'MISSING') AS n_missing, count(*) FILTER (findings = 'UNEXPECTED') AS n_unexpected, count(*) FILTER (findings LIKE '%MISMATCH%') AS n_mismatch,
-    CASE WHEN count(*) = 0 THEN 'EMPTY' WHEN bool_or(findings LIKE '%MISMATCH%') THEN 'MISMATCH' WHEN bool_or(findings = 'MISSING') THEN 'INCOMPLETE' WHEN bool_or(findings = 'UNEXPECTED') THEN 'EXTRA' ELSE 'MATCH' END AS status FROM f"""
+    CASE WHEN count(*) FILTER (findings <> '') > 0 THEN 'MISMATCH' ELSE 'EXACT_MATCH_FOR_EXPECTATION_SCOPE' END AS status FROM f"""
 )
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One status for the comparison: the first rung that holds."""
+    """One status for the comparison of complete file sets: any path that differs, lacks or is extra is a mismatch (``manifest_ladder`` has all rungs)."""
     has = lambda name: F.array_contains("findings", name)
     mismatch = has("SIZE_MISMATCH") | has("DIGEST_MISMATCH")
     counts = _manifest(spark, sf_dir).agg(F.count("*").alias("n_paths"), F.count_if(has("MISSING")).alias("n_missing"), F.count_if(has("UNEXPECTED")).alias("n_unexpected"), F.count_if(mismatch).alias("n_mismatch"))
-    status = cmp.ladder([("EMPTY", F.col("n_paths") == 0), ("MISMATCH", F.col("n_mismatch") > 0), ("INCOMPLETE", F.col("n_missing") > 0), ("EXTRA", F.col("n_unexpected") > 0)], "MATCH")
+    status = cmp.ladder([("MISMATCH", F.col("n_mismatch") + F.col("n_missing") + F.col("n_unexpected") > 0)], "EXACT_MATCH_FOR_EXPECTATION_SCOPE")
     return counts.withColumn("status", status)
 
 
@@ -131,11 +132,13 @@ def rule_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("status", cmp.ladder([("UNMAPPED", F.col("n_targets") == 0), ("MAPPED", F.col("n_targets") == 1)], "AMBIGUOUS"))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'unlabelled' AS gap, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unused', item_id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)")
 def mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What nothing maps to."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return evidence.missing_requirements(table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey", "c_mktsegment")
+    """What nothing maps to, from both sides: documents without a label, and items that no label has."""
+    labels = table(spark, sf_dir, "labels")
+    documents = evidence.missing_requirements(table(spark, sf_dir, "documents").select("doc_id"), labels, "doc_id")
+    items = evidence.missing_requirements(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), labels, "doc_id")
+    return documents.select(F.lit("unlabelled").alias("gap"), "doc_id").union(items.select(F.lit("unused"), "doc_id"))
 
 
 @query("SELECT sha256(text) AS claim, count(*) AS n, count(DISTINCT lang) AS n_lang, min(doc_id) AS first_id, CASE WHEN count(DISTINCT lang) > 1 THEN 'CONFLICT' ELSE 'EXACT' END AS kind FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -261,8 +264,8 @@ def vocab_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two vocabularies, compared by token and id; ids are ranks by count."""
     words = table(spark, sf_dir, "documents").where("lang in ('en', 'de')").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
     counts = words.where("token <> ''").groupBy("lang", "token").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token")))
-    found = cmp.compare(ranked.where("lang = 'en'"), ranked.where("lang = 'de'"), "token", {"id": "ID_MISMATCH"})
+    ranks = ranked(counts, ["lang"], [F.desc("n"), F.col("token")], "id")
+    found = cmp.compare(ranks.where("lang = 'en'"), ranks.where("lang = 'de'"), "token", {"id": "ID_MISMATCH"})
     return found.select("token", F.array_join("findings", ",").alias("findings"))
 
 

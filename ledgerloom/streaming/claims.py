@@ -6,8 +6,8 @@ from pyspark.sql.types import StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stream of the Parquet files of ``path``: a folder, or a file whose name may be followed by more."""
-    return spark.readStream.schema(schema).parquet(f"{path}*")
+    """A stream of the Parquet files of ``path``: a folder, to which files may be added, or one file."""
+    return spark.readStream.schema(schema).parquet(f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]")  # a pattern that only this path matches, since a stream takes no plain file
 
 
 def first_claims(stream: DataFrame, *keys: str) -> DataFrame:
