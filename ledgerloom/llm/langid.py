@@ -81,7 +81,7 @@ def held_out(doc_id: Column) -> Column:
 def _labelled(docs: DataFrame, docs_per_language: int) -> DataFrame:
     """(lang, text) of about ``docs_per_language`` labelled rows of each language, chosen by a hash of doc_id and text; all where there are fewer."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    languages = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("n")))  # a row a label, of which the driver holds whole profiles
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     return labelled.join(languages, "lang").where(draw * F.col("n") < docs_per_language).select("lang", "text")
 
