@@ -28,7 +28,7 @@ def timeline_fork_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timelines.forks(_history(spark, sf_dir), ["user_id"], ["epoch", "seq"], "event_id", "pred", "digest")
 
 
-_RANGES = f"r AS (SELECT DISTINCT user_id, {drawn_sql('user_id', 'from', 4)} AS a, 20 + {drawn_sql('user_id', 'to', 5)} AS b FROM events)"
+_RANGES = f"r AS (SELECT DISTINCT user_id, CASE WHEN {drawn_sql('user_id', 'empty', 2)} = 0 THEN 30 ELSE {drawn_sql('user_id', 'from', 4)} END AS a, 20 + {drawn_sql('user_id', 'to', 5)} AS b FROM events)"
 
 
 @query(f"""WITH {_FORKS}, {_RANGES}, want AS (SELECT user_id, unnest(generate_series(a, b)) AS seq FROM r),
@@ -38,7 +38,7 @@ CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.user_id = r.user_id) THEN 'FORKED' WHE
 def timeline_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forked, with gaps in its declared range, or complete."""
     rows, key = _history(spark, sf_dir), F.col("user_id")
-    ranges = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", drawn(key, "from", 4).alias("start"), (drawn(key, "to", 5) + 20).alias("end"))
+    ranges = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.when(drawn(key, "empty", 2) == 0, 30).otherwise(drawn(key, "from", 4)).alias("start"), (drawn(key, "to", 5) + 20).alias("end"))
     return timelines.timelines(rows, ranges, timelines.forks(rows, ["user_id"], ["epoch", "seq"], "event_id", "pred", "digest"), "user_id", "seq")
 
 
@@ -67,7 +67,7 @@ def knowledge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECEIPTS = f"""x AS (SELECT user_id, day(ts)::INT AS epoch, user_id * 100 + day(ts) AS name, user_id * 100 + day(ts) + CASE WHEN {drawn_sql("event_id", "asked", 50)} = 0 THEN 1 ELSE 0 END AS requested,
-CASE WHEN {drawn_sql("event_id", "hidden", 40)} > 0 THEN CASE WHEN user_id % 3 = 0 THEN 'fixed' ELSE event_type END END AS resolved, CASE WHEN {drawn_sql("event_id", "method", 60)} = 0 THEN 'b' ELSE 'a' END AS method, event_type = 'refund' AND user_id % 2 = 0 AS redirected
+CASE WHEN {drawn_sql("event_id", "hidden", 40)} > 0 THEN CASE WHEN user_id % 3 = 0 THEN 'fixed' ELSE event_type END END AS resolved, CASE WHEN {drawn_sql("event_id", "method", 60)} = 0 THEN 'b' ELSE 'a' END AS method, event_type = 'signup' AND user_id % 2 = 0 AS redirected
 FROM events WHERE {drawn_sql("event_id", "kept", 3)} = 0)"""
 
 
@@ -80,7 +80,7 @@ def resolution_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where(drawn(key, "kept", 3) == 0).select(
         name.alias("name"), (name + F.when(drawn(key, "asked", 50) == 0, 1).otherwise(0)).alias("requested"),
         F.when(drawn(key, "hidden", 40) > 0, F.when(F.col("user_id") % 3 == 0, "fixed").otherwise(F.col("event_type"))).alias("resolved"),
-        F.when(drawn(key, "method", 60) == 0, "b").otherwise("a").alias("method"), ((F.col("event_type") == "refund") & (F.col("user_id") % 2 == 0)).alias("redirected"),
+        F.when(drawn(key, "method", 60) == 0, "b").otherwise("a").alias("method"), ((F.col("event_type") == "signup") & (F.col("user_id") % 2 == 0)).alias("redirected"),
     )
     return timelines.resolutions(rows, "name", "requested", "resolved", ["method"], "redirected")
 

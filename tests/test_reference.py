@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import values
 from ledgerloom.operators import assess, compare, evidence, graphs, sequences
+from ledgerloom.operators import attestations, manifests, mappings, numeric, parity, policies, splits, structures, texts, timelines, written
 from ledgerloom.plans import assessments, catalogue  # noqa: F401
-from ledgerloom.sources import files
+from ledgerloom.plans import attestations as _a, manifests as _b, mappings as _c, parity as _d, policies as _e, sources as _f, structures as _g, timelines as _h  # noqa: E401, F401
+from ledgerloom.sources import files, model_files
 from ledgerloom.streaming import claims
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +33,10 @@ def plain(v):
     return f"{v:.6g}" if isinstance(v, float) and not math.isnan(v) else str(v)
 
 
+def test_every_query_has_sql():
+    assert sorted(catalogue.QUERIES) == sorted(catalogue.ORACLE_SQL) and len(catalogue.QUERIES) > 130
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_matches_sql(spark, duck, name):
@@ -139,13 +145,195 @@ def test_tensor_headers_are_checked_without_payloads(spark, tmp_path):
     assert {r.name: r.status for r in checked.collect()} == {"x": "OK", "y": "WRONG_SHARD", "q": "MISSING", "z": "UNDECLARED", "far": "UNDECLARED"}
 
 
+def test_repeated_keys_overflow_and_trailing_bytes(spark, tmp_path):
+    t = lambda dtype, shape, a, b: {"dtype": dtype, "shape": shape, "data_offsets": [a, b]}
+    _tensor_file(tmp_path / "big.safetensors", {"w": t("F64", [2**40, 2**40], 0, 8), "v": t("U8", [2**31, 2**31, 0], 8, 8), "odd": t("U8", [2**53 + 1], 8, 8 + 2**53)}, bytes(20))
+    tensors = files.tensor_headers(spark, str(tmp_path))
+    assert {r.name: r.status for r in files.checked_tensors(tensors).collect()} == {"w": "OVERFLOW", "v": "OK", "odd": "SIZE_MISMATCH"}
+    _tensor_file(tmp_path / "tail.safetensors", {"w": t("U8", [4], 0, 4)}, bytes(9))
+    tail = files.tensor_headers(spark, str(tmp_path), "tail*")
+    assert [r.gap for r in files.trailing_gaps(tail).collect()] == [5]
+    assert files.total_size(tail, F.lit(4)).first().agrees and not files.total_size(tail, F.lit(5)).first().agrees
+    index = spark.createDataFrame([("w", "tail.safetensors"), ("x", "gone.safetensors")], "name string, shard string")
+    assert tuple(files.checkpoint_layout(files.listing(spark, str(tmp_path)), index).first()) == ("SHARDED", 2, 1, 1)
+    for name, read in (("v.json", files.vocabulary), ("i.json", files.shard_index)):
+        (tmp_path / name).write_text('{"a": 0, "b": 1, "a": 2}' if name == "v.json" else '{"weight_map": {"a": "x", "a": "y"}}')
+        with pytest.raises(Exception, match="REPEATED_KEY"):
+            read(spark, str(tmp_path / name)).collect()
+
+
+def test_raw_records_and_their_contract(spark, tmp_path):
+    good = {"name": "n", "dtype": "F32", "shape": [], "shard": "s", "header_len": 0, "offsets": [0, 0]}
+    wrong = [good | {"more": 1}, {k: v for k, v in good.items() if k != "dtype"}, good | {"shape": [True]}, good | {"shape": [-1]}, good | {"name": ""}, good | {"header_len": True}, good | {"offsets": [2, 1]}, good | {"offsets": [0]}, good | {"offsets": "x"}, 5, None]
+    for name, text in {"a": json.dumps([good, *wrong]), "b": json.dumps(good), "c": "[]", "d": "[{", "e": json.dumps([good]) + " x"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.json").write_text(text)
+    found = {n: [(r.place, r.fault) for r in files.raw_records(spark, str(tmp_path / n)).orderBy("place").collect()] for n in "abcde"}
+    assert [f for _, f in found["a"]] == [None, "FIELDS", "FIELDS", "TYPE", "TYPE", "TYPE", "TYPE", "OFFSETS", "OFFSETS", "TYPE", "FIELDS", "NOT_STRICT_JSON"]
+    assert found["b"] == found["d"] == found["e"] == [(None, "NOT_AN_ARRAY")] and found["c"] == []
+
+
+def _pair(key, code, body):
+    return len(key).to_bytes(8, "little") + key.encode() + code.to_bytes(4, "little") + body
+
+
+def test_model_headers(spark, tmp_path):
+    s = lambda x: len(x.encode()).to_bytes(8, "little") + x.encode()
+    u32, u64 = (lambda x: x.to_bytes(4, "little")), (lambda x: x.to_bytes(8, "little"))
+    pairs = [_pair("general.name", 8, s("é")), _pair("general.alignment", 4, u32(64)), _pair("flags", 9, u32(7) + u64(2) + b"\x01\x00"), _pair("tokens", 9, u32(8) + u64(3) + s("a") + s("b") + s("c"))]
+    tensor = s("blk.3.w") + u32(2) + u64(2**64 - 1) + u64(3) + u32(12) + u64(2**63)
+    body = b"GGUF" + u32(3) + u64(2) + u64(4) + b"".join(pairs) + tensor + s("norm") + u32(0) + u32(0) + u64(0)
+    (tmp_path / "m.gguf").write_bytes(body + bytes(200))
+    (tmp_path / "cut.gguf").write_bytes(body[:60])
+    (tmp_path / "other.gguf").write_bytes(b"GGML" + bytes(30))
+    rows = model_files.model_headers(spark, str(tmp_path), shown=2).collect()
+    own = {r.name: r for r in rows if r.path.endswith("m.gguf")}
+    assert (own["general.name"].value, own["flags"].value, own["flags"].array_type, own["tokens"].value, own["tokens"].array_length) == ("é", "true,false", "bool", None, 3)
+    assert own["tokens"].value_sha256 == hashlib.sha256(s("a") + s("b") + s("c")).hexdigest()
+    assert [int(d) for d in own["blk.3.w"].dims] == [2**64 - 1, 3] and int(own["blk.3.w"].offset) == 2**63 and own["norm"].payload_start == -(-len(body) // 64) * 64
+    assert {r.path.rsplit("/", 1)[1]: r.error for r in rows if r.kind == "error"} == {"cut.gguf": "TRUNCATED", "other.gguf": "INVALID_MAGIC"}
+    found = {r.path.rsplit("/", 1)[1]: r for r in model_files.header_summary(model_files.model_headers(spark, str(tmp_path))).collect()}
+    assert (found["m.gguf"].n_metadata, found["m.gguf"].n_tensors, found["m.gguf"].n_layers) == (4, 2, 1)
+    assert [r.error for r in model_files.model_headers(spark, str(tmp_path), "m*", most_bytes=50).collect()] == ["LIMIT_EXCEEDED"]
+
+
+def test_globs_match_as_file_names_do(spark):
+    import fnmatch
+
+    names = ["ECO", "ECO\n", "ECO\nX", "abc", "bbc", "b.c", "a[b", "a-b", "aXb", "]x", "", "\\x", "a^b", "é"]
+    globs = ["ECO", "ECO*", "[ab]*", "[!a]*", "a[b", "a[-x]b", "a?b", "[]]x", "*", "\\*", "[^b]*", "?", "a[a-z]*"]
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    for g in globs:
+        want = sorted(n for n in names if fnmatch.fnmatchcase(n, g))
+        assert sorted(r.n for r in table.where(F.col("n").rlike(compare.glob_pattern(g))).collect()) == want, g
+
+
+def test_ranks_dealt_by_ranges(spark):
+    rows = spark.createDataFrame([(None if k % 5 == 0 else k % 3, (k * 7919) % 1000) for k in range(1000)], "g int, x int")
+    got = {(r.g, r.x): r.place for r in written.ranked(rows, ["g"], [F.desc("x")]).collect()}
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: -r.x):
+        want[r.g, r.x] = 1 + sum(k[0] == r.g for k in want)
+    assert got == want and written.ranked(rows.limit(0), ["g"], [F.desc("x")]).count() == 0
+
+
+def test_rings_of_successors(spark):
+    rows = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, None), (7, 7), (8, 9)]
+    assert sorted(r.node for r in graphs.ring_members(spark.createDataFrame(rows, "node int, next int")).collect()) == [1, 2, 3, 7]
+    assert graphs.ring_members(spark.createDataFrame([], "node int, next int")).count() == 0
+
+
+def states(spark, column, rows, schema):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
+
+
+def test_rungs_take_precedence_in_order(spark):
+    dims = lambda *s: (list(s),)
+    rows = [dims("BROKEN", "REVOKED"), dims("REVOKED", "DENIED"), dims("WITHDRAWN", "STALE"), dims("STALE", "MISSING"), dims("UNKNOWN", "PARTIAL"), dims("NOT_CHECKED", "SATISFIED"), dims("SATISFIED")]
+    want = ["BROKEN", "REVOKED", "DENIED", "STALE", "REVIEW_REQUIRED", "TRUSTED_WITH_LIMITATIONS", "TRUSTED_FOR_SCOPED_USE"]
+    assert states(spark, timelines.overall_state(F.col("s")), rows, "s array<string>") == want
+    rows = [dims(), dims("VALID", "INVALID", "EXPIRED"), dims("EXPIRED", "NOT_YET_VALID"), dims("NOT_YET_VALID", "NOT_EVALUATED"), dims("NOT_EVALUATED", "VALID"), dims("VALID")]
+    assert states(spark, timelines.combined_expiration(F.col("s")), rows, "s array<string>") == ["UNAVAILABLE", "INVALID", "EXPIRED", "NOT_YET_VALID", "NOT_EVALUATED", "VALID"]
+    cut = "2024-01-02T00:00:00Z"
+    rows = [("NOT_RECORDED", "NOT_RECORDED"), (cut, "NOT_RECORDED"), ("2024-01-02", cut), ("2024-01-02T00:00:01Z", cut), (cut, "2024-01-02T00:00:01Z"), (cut, cut), (cut + "\n", cut)]
+    want = ["AVAILABILITY_NOT_RECORDED", "INVALID", "INVALID", "NOT_KNOWN_AS_OF_CUTOFF", "KNOWN_FUTURE_EFFECTIVE_AS_OF_CUTOFF", "KNOWN_EFFECTIVE_AS_OF_CUTOFF", "INVALID"]
+    assert states(spark, timelines.knowledge(F.col("a"), F.col("e"), cut), rows, "a string, e string") == want
+    exact = "EXACT_MATCH_FOR_EXPECTATION_SCOPE"
+    rows = [(True, exact, True, True, True), (False, exact, True, True, False), (True, exact, True, True, None), (True, exact, True, False, False), (True, exact, False, True, False), (True, "MISMATCH", True, True, False), (True, "INCOMPLETE_OBSERVATION", True, True, False), (True, "INCOMPATIBLE_SCOPE", True, True, False)]
+    want = ["INVALID", "OBSERVED", "MATCHES_AUTHORIZED_COMPLETE_EXPECTATION", "MATCHES_COMPLETE_EXPECTATION", "MATCHES_EXPECTATION_SCOPE", "MISMATCH", "INCOMPLETE", "NOT_COMPARABLE"]
+    assert states(spark, manifests.evidence_outcome(*(F.col(c) for c in "abcde")), rows, "a boolean, b string, c boolean, d boolean, e boolean") == want
+    families = {"X": ("a", "b"), "Y": ("c",)}
+    rows = [dims(), dims("a", "c"), dims("a", "b", "z"), dims("a"), dims("c")]
+    assert states(spark, mappings.marker_kind(F.col("s"), families), rows, "s array<string>") == ["NONE", "CONFLICT", "X", "UNKNOWN", "Y"]
+    assert states(spark, mappings.evidence_kind(F.col("s"), families), rows, "s array<string>") == ["NONE", "BOTH", "X", "X", "Y"]
+    rows = [([], ["a"]), (["a"], []), (["a"], ["a", "b"]), (["c"], ["a"]), ([], [])]
+    assert states(spark, policies.within_scope(F.col("c"), F.col("p")), rows, "c array<string>, p array<string>") == [False, True, True, False, True]
+    rows = [dims(), dims("INVALID", "EXACT"), dims("INSUFFICIENT_COVERAGE", "NOT_SUPPORTED"), dims("NOT_SUPPORTED", "EXACT"), dims("SAMPLED", "EXACT"), dims("EXACT"), dims("EXACT", "EVALUATED")]
+    assert states(spark, numeric.numeric_rollup(F.col("s"), F.lit(False)), rows, "s array<string>") == ["VALUES_UNAVAILABLE", "INVALID", "INSUFFICIENT_COVERAGE", "NOT_SUPPORTED", "SAMPLED", "EXACT", "EVALUATED"]
+    facts = [c.split()[0] for c in "broken b, replayed b, drift b, proxy b, optional_unobserved b, self_observed b".split(", ")]
+    rows = [tuple(k >= n for k in range(6)) for n in range(7)]
+    want = ["BROKEN", "REPLAY_REJECTED", "DRIFT_DETECTED", "IDENTITY_PROXY_MATCH", "PARTIAL", "PASS_WITH_LIMITATIONS", "PASS"]
+    assert states(spark, policies.continuity_verdict({n: F.col(n) for n in facts}), rows, ", ".join(f"{n} boolean" for n in facts)) == want
+
+
+def test_every_rung_of_the_queries_is_reached(spark, duck):
+    """The larger tables, by SQL alone: a rung that no row reaches would prove nothing."""
+    big = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{big}/{t}.parquet'")
+    least = {
+        ("manifest_ladder", "status"): 7, ("manifest_evidence", "outcome"): 8, ("reconcile_status", "status"): 6, ("shard_completeness", "status"): 6, ("timeline_completeness", "completeness"): 3, ("knowledge_states", "state"): 5, ("resolution_ladder", "status"): 7,
+        ("snapshot_overall", "overall"): 4, ("snapshot_changes", "outcome"): 5, ("expiration_states", "status"): 4, ("renewal_chains", "status"): 3, ("bundle_completeness", "state"): 5, ("type_transition_states", "state"): 6, ("shape_classes", "class"): 4, ("requirement_eval", "outcome"): 9,
+        ("policy_decisions", "decision"): 4, ("quorum_eval", "outcome"): 5, ("duty_separation", "outcome"): 4, ("security_eval", "verdict"): 7, ("runtime_member_continuity", "result"): 4, ("runtime_continuity", "verdict"): 13, ("signed_objects", "status"): 12, ("mapping_resolution", "status"): 5, ("grouped_mapping", "status"): 6,
+        ("configuration_parity", "status"): 4, ("probe_status", "status"): 3, ("backend_compare", "status"): 5, ("payload_spans", "span"): 4, ("shard_span_rollup", "result"): 2, ("attestation_states", "strength"): 7, ("acceptance_profiles", "outcome"): 3, ("usage_profiles", "outcome"): 3, ("source_records", "fault"): 4,
+    }
+    reached = {k: len(con.execute(f"SELECT DISTINCT {k[1]} FROM ({catalogue.ORACLE_SQL[k[0]]}) AS q WHERE {k[1]} IS NOT NULL").fetchall()) for k in least}
+    assert {k: n for k, n in reached.items() if n < least[k]} == {}
+
+
+def test_exact_metrics_equal_plain_decimals(spark):
+    from decimal import Decimal
+
+    rows = [(1, ["1", "0.1", "-2"], ["1", "0.3", "-2.5"]), (2, ["0", "0"], ["1", "2"]), (3, ["1.50"], ["1.5"]), (4, [], []), (5, ["1"], ["1", "2"]), (6, ["x"], ["1"]), (7, None, ["1"]), (8, ["NaN"], ["1"])]
+    got = {r.k: r for r in numeric.exact_metrics(spark.createDataFrame(rows, "k int, a array<string>, b array<string>"), "a", "b").collect()}
+    assert (got[1].max_error, got[1].error_squares, got[1].dot, got[1].mean_error) == ("0.5", "0.29", "6.03", str(Decimal("0.7") / 3)[:2] + "2" + "3" * 49)
+    assert got[2].cosine is None and got[3].cosine == "1" and got[3].max_error == "0" and got[4].mse is got[5].mse is got[6].mse is got[7].mse is got[8].mse is None
+    shapes = spark.createDataFrame([([2**32, 2**32],), ([2**32, 2**31],), ([],), ([2**62, 0],)], "d array<bigint>")
+    assert [r[0] for r in shapes.select(splits.checked_product(F.col("d"))).collect()] == [None, Decimal(2**63), Decimal(1), Decimal(0)]
+    found = spark.createDataFrame([("1",), ("-0.5e-3",), ("01",), ("1.",), ("NaN",), (None,), ("1" * 101,)], "x string").select(numeric.decimal_grammar(F.col("x")))
+    assert [r[0] for r in found.collect()] == [True, True, False, False, False, False, False]
+
+
+def test_counter_samples_are_those_of_the_rule(spark):
+    rows = [("a", 1000, 20), ("b", 5, 9), ("c", 0, 3), ("d", 7, 0), ("e", 10, 9), ("f", 2 * 10**9, 3)]
+    got = {}
+    for r in numeric.samples(spark.createDataFrame(rows, "k string, population long, wanted long"), "k", F.concat("k", F.lit("/"))).collect():
+        got.setdefault(r.k, set()).add(r["index"])
+    for k, n, w in rows[:5]:
+        chosen, counter = set(), 0
+        while len(chosen) < min(n, w):
+            chosen.add(int(hashlib.sha256(f"{k}/{counter}".encode()).hexdigest(), 16) % n)
+            counter += 1
+        assert got.get(k, set()) == (set(range(n)) if 0 < n <= w else chosen)
+    assert "f" not in got
+
+
+def test_texts(spark):
+    rows = [(1, 'A\nos.system ( "x") and OS.SYSTEM(1) é X-Amz-Key'), (2, ""), (3, None)]
+    got = [(r.k, r.offset, r.length, r.category, r.excerpt) for r in texts.scanned(spark.createDataFrame(rows, "k int, t string"), "k", "t").orderBy("offset").collect()]
+    assert got == [(1, 2, 11, "SHELL_EXECUTION_PATTERN", "os.system ("), (1, 23, 10, "SHELL_EXECUTION_PATTERN", "os.system("), (1, 38, 9, "SIGNED_URL_PATTERN", "<redacted:9>")]
+    faults = {"a/b": None, "": "EMPTY_LONG_OR_NOT_NFC", "e\u0301": "EMPTY_LONG_OR_NOT_NFC", "/a": "ABSOLUTE_OR_ALTERNATE", "c:/x": "ABSOLUTE_OR_ALTERNATE", "a//b": "COMPONENT", "a/.": "COMPONENT", "b ": "COMPONENT", "x/NUL.txt": "RESERVED", "d/a:b": "RESERVED", "a\x07": "CONTROL_OR_NONCHARACTER", "a" * 2000: "EMPTY_LONG_OR_NOT_NFC"}
+    assert {p: texts.path_fault(p) for p in faults} == faults
+    times = [("2024-02-29T00:00:00Z", True), ("2023-02-29T00:00:00Z", False), ("2024-01-01 00:00:00", False), (None, False)]
+    assert [r[0] for r in spark.createDataFrame(times, "t string, w boolean").select(texts.utc(F.col("t"))).collect()] == [w for _, w in times]
+    shown = spark.createDataFrame([("a\u202eb\x00",)], "t string").select(texts.escaped(F.col("t"))).first()[0]
+    assert shown == "a\\u202eb\\u0000"
+
+
+def test_attested_steps(spark):
+    a = lambda i, c=None, s=None: (i, c, s)
+    rows = [("TRANSFER", [a(1)], [a(1)]), ("TRANSFER", [a(1)], [a(2)]), ("ACQUISITION", [a(1, 5)], [a(2, 5)]), ("ACQUISITION", [a(1, 5)], [a(2, 6)]), ("ACQUISITION", [a(1)], []), ("OTHER", [a(1)], [a(9)]), ("OTHER", [a(9)], [a(9)]), ("OTHER", [a(1)], [a(2)]), ("OTHER", [], [a(9)])]
+    kind = "array<struct<id:int,content:int,set_digest:string>>"
+    got = states(spark, attestations.continuity(F.col("k"), F.col("i"), F.col("o"), F.lit(9)), rows, f"k string, i {kind}, o {kind}")
+    assert got == ["VALID", "DIVERGED", "VALID", "INCOMPLETE", "INVALID", "VALID", "DIVERGED", "DIVERGED", "INVALID"]
+
+
+def test_structures_of_empty_and_null_sides(spark):
+    none = spark.createDataFrame([], "name string, type string")
+    some = spark.createDataFrame([("a", "F32"), (None, "F32")], "name string, type string")
+    assert structures.set_difference(none, none, "name", 3).count() == 0
+    assert [tuple(r) for r in structures.set_difference(some, none, "name", 3).collect()] == [("missing", 1, "a")]
+    assert parity.ids_to_tokens(none.withColumn("id", F.lit(1)), none.withColumn("id", F.lit(1)), "name", "id").first().n_compared == 0
+
+
 def test_manifest_vocabulary_and_merges(spark, tmp_path):
     (tmp_path / "v.json").write_text('{"a": 0, "b": 1}')
-    (tmp_path / "m.txt").write_text("#version: 0.2\na b\n\nab c\n")
+    (tmp_path / "m.txt").write_text("#version: 0.2\na b\n\nthree words here\nab c\u2028x  y\n", newline="")
     rows = files.file_manifest(spark, str(tmp_path)).collect()
     assert {(r.size, r.sha256) for r in rows} == {((p := tmp_path / n).stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for n in ("v.json", "m.txt")}
     assert {tuple(r) for r in files.vocabulary(spark, str(tmp_path / "v.json")).collect()} == {("a", 0), ("b", 1)}
-    assert [tuple(r) for r in files.merge_rules(spark, str(tmp_path / "m.txt")).orderBy("rank").collect()] == [(0, "a", "b"), (1, "ab", "c")]
+    assert [tuple(r) for r in files.merge_rules(spark, str(tmp_path / "m.txt")).orderBy("rank").collect()] == [(0, "a", "b"), (1, "ab", "c"), (2, "x", "y")]
 
 
 def test_streams_go_on_where_they_ended(spark, tmp_path):
