@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.scratch import row_number, small_batches, stored
+from ledgerloom.llm.scratch import discarding, row_number, small_batches, stored
 from ledgerloom.llm.words import mixed, word_hashes
 
 SIGNATURE = "row long, doc_id long, n_shingles long, digest binary, sketch array<long>, marks binary, bits binary"
@@ -253,38 +253,39 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, k: in
     than doc_id and text are not read.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signed = stored(signatures(docs, words, k), "signatures")
-    chosen = F.min_by(F.struct("n_shingles", "sketch", "marks", "bits"), "row")
-    nodes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), chosen.alias("x"))
-    nodes = stored(nodes.select("node", "digest", "copies", "x.*"), "nodes")
-
-    values = nodes.select("node", "n_shingles", "copies", F.least(F.size("sketch"), F.lit(listed)).alias("listed"), F.explode(F.slice("sketch", 1, listed)).alias("value"))
-    lists = stored(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    entries = values.join(lists, "value")
-    lengths = entries.groupBy("node", "listed").agg(F.collect_list(F.log2("n").cast("tinyint")).alias("lengths"))
-    active = lengths.where(F.size("lengths") >= _shared_at_least()).drop("listed")
-    shared = F.size(F.filter("lengths", lambda c: F.abs(c - F.log2("n").cast("tinyint")) <= 1))
-    postings = stored(entries.join(active, "node").withColumn("shared", shared).drop("lengths"), "postings")
-    sets = full_sets(docs, stored(postings.select("node").distinct(), "active"), words)
-    brief = nodes.select("node", "n_shingles", "sketch")
-    a, b = (brief.toDF(x, f"n_shingles_{x}", f"sketch_{x}") for x in ("a", "b"))
-    allowed = may_link(F.col("n_shingles_a"), F.col("n_shingles_b"), F.col("sketch_a"), F.col("sketch_b"), k, percent)
-    promising = lambda pairs, name: stored(pairs.join(b, "b").join(a, "a").where(allowed).select("a", "b"), name)
-    hubs = postings.groupBy("value").agg(*_hubs()).select("value", F.explode(F.array_distinct(F.array("small.node", "central.node"))).alias("hub"))
-    star = postings.select("value", "node").join(hubs, "value").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = verified(promising(star, "star-pairs"), sets, percent)
-    roots = components(links)
-
-    rarest = stored(_rarest(postings), "rarest")
-    for best in (True, False):  # what looks nearest first: most of the others are connected then
-        cross = promising(_cross(rarest, nodes, roots, percent, k, short, best), "cross-pairs")
-        if not cross.isEmpty():
-            links = links.union(verified(cross, sets, percent))
-            roots = components(links)
-
-    owners = signed.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
-    owners = stored(owners.select("row", "doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "owners")
-    smallest = stored(owners.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("first_row")), "smallest")
+    with discarding(docs.sparkSession) as keep:
+        docs = docs.select("doc_id", "text")
+        signed = stored(signatures(docs, words, k), "signatures")
+        chosen = F.min_by(F.struct("n_shingles", "sketch", "marks", "bits"), "row")
+        nodes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"), chosen.alias("x"))
+        nodes = stored(nodes.select("node", "digest", "copies", "x.*"), "nodes")
+
+        values = nodes.select("node", "n_shingles", "copies", F.least(F.size("sketch"), F.lit(listed)).alias("listed"), F.explode(F.slice("sketch", 1, listed)).alias("value"))
+        lists = stored(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+        entries = values.join(lists, "value")
+        lengths = entries.groupBy("node", "listed").agg(F.collect_list(F.log2("n").cast("tinyint")).alias("lengths"))
+        active = lengths.where(F.size("lengths") >= _shared_at_least()).drop("listed")
+        shared = F.size(F.filter("lengths", lambda c: F.abs(c - F.log2("n").cast("tinyint")) <= 1))
+        postings = stored(entries.join(active, "node").withColumn("shared", shared).drop("lengths"), "postings")
+        sets = full_sets(docs, stored(postings.select("node").distinct(), "active"), words)
+        brief = nodes.select("node", "n_shingles", "sketch")
+        a, b = (brief.toDF(x, f"n_shingles_{x}", f"sketch_{x}") for x in ("a", "b"))
+        allowed = may_link(F.col("n_shingles_a"), F.col("n_shingles_b"), F.col("sketch_a"), F.col("sketch_b"), k, percent)
+        promising = lambda pairs, name: stored(pairs.join(b, "b").join(a, "a").where(allowed).select("a", "b"), name)
+        hubs = postings.groupBy("value").agg(*_hubs()).select("value", F.explode(F.array_distinct(F.array("small.node", "central.node"))).alias("hub"))
+        star = postings.select("value", "node").join(hubs, "value").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        links = verified(promising(star, "star-pairs"), sets, percent)
+        roots = components(links)
+
+        rarest = stored(_rarest(postings), "rarest")
+        for best in (True, False):  # what looks nearest first: most of the others are connected then
+            cross = promising(_cross(rarest, nodes, roots, percent, k, short, best), "cross-pairs")
+            if not cross.isEmpty():
+                links = links.union(verified(cross, sets, percent))
+                roots = components(links)
+
+        owners = signed.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
+        owners = keep(owners.select("row", "doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "owners")
+        smallest = keep(owners.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("first_row")), "smallest")
     alone = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return owners.join(smallest, "root", "left").select("doc_id", "n_shingles", alone.alias("component_id"), alone.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("stays"), "row")

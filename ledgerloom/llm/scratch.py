@@ -9,7 +9,8 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +33,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     path = fresh_path(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables that are ``stored`` meanwhile, but for those that are stored by the function it gives: an operator's result may read these."""
+    kept: set[str] = set()
+    _OPEN.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        kept.add(_OPEN[-1][-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in set(_OPEN.pop()) - kept:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def row_number() -> Column:
     """The number of a row of a written table: its partition of the scan and its place there, the same in every scan of it after ``pin_scans``.
 
@@ -62,7 +87,7 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     return home.__dict__[key]
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
     """What every operator with Python tasks begins with: scans are pinned, and Arrow batches hold at most ``most_bytes``, or one row.
 
     Both stay set, since the operators' results are read after they have returned. A smaller bound of the session stays.
@@ -72,11 +97,3 @@ def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
     bound = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
     if not bound or not 0 < int(bound[1]) <= most_bytes:
         spark.conf.set(key, f"{most_bytes}b")
-
-
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
-        if "/ledgerloom/" in path:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

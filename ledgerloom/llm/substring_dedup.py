@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import row_number, small_batches, stored
+from ledgerloom.llm.scratch import discarding, row_number, small_batches, stored
 from ledgerloom.llm.words import mixed, word_hashes
 
 #: ``no`` and ``upto`` are the first and last part of a unit, ``at`` the number of words before it; ``line`` tells whole lines, of one part or more.
@@ -100,11 +100,12 @@ def repeated_passages(docs: DataFrame, *, least_words: int = 20) -> DataFrame:
     other than doc_id and text are not read.
     """
     small_batches(docs.sparkSession)
-    found = stored(units(docs), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "no", "upto")
-    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = stored(firsts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no"), F.col("first.upto").alias("first_upto")), "first-units")
-    repeats = stored(found.join(firsts, "digest").where("row <> first_row or no <> first_no or upto <> first_upto").drop("digest", "first_row", "first_no", "first_upto"), "repeats")
+    with discarding(docs.sparkSession) as keep:
+        found = stored(units(docs), "units")
+        rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "no", "upto")
+        firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+        firsts = stored(firsts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.no").alias("first_no"), F.col("first.upto").alias("first_upto")), "first-units")
+        repeats = keep(found.join(firsts, "digest").where("row <> first_row or no <> first_no or upto <> first_upto").drop("digest", "first_row", "first_no", "first_upto"), "repeats")
     spans = ("row", "doc_id", "no", "upto", "at", "words", "start", "end")
     island = F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no"))
     runs = repeats.where("no = upto").withColumn("island", island).groupBy("row", "island").agg(
