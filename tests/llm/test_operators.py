@@ -20,7 +20,7 @@ from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import apportion, capped, mix, mixed_documents
 from ledgerloom.llm.packing import cut, pack, schedule
 from ledgerloom.llm.scratch import fresh_path, stored
-from ledgerloom.llm.substring_dedup import repeated_passages, without_passages
+from ledgerloom.llm.substring_dedup import repeated_passages, text_units, without_passages
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string"
@@ -181,6 +181,83 @@ def test_every_repeated_line_goes(spark):
     assert kept[2] == texts[1][1].split("\n")[1].split() and kept[1] == texts[0][1].split() and kept[3] == texts[2][1].split()
 
 
+def brute_passages(rows, least_words):
+    """(row, start, end) of what goes, by one pass over all units in order of rank."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, gone = {}, {k: set() for k in order}
+    cut_up = {k: [x.tolist() for x in text_units(rows[k][1])] for k in order}
+    first = {}
+    for k in order:
+        no, upto, *_, digest = cut_up[k]
+        for i in sorted(range(len(no)), key=lambda i: (no[i], upto[i])):
+            first.setdefault(digest[i], (k, no[i], upto[i]))
+            seen[digest[i]] = seen.get(digest[i], 0) + 1
+    out = set()
+    for k in order:
+        no, upto, _, start, end, n_words, line, digest = cut_up[k]
+        where = {}
+        repeated = [i for i in range(len(no)) if seen[digest[i]] > 1 and first[digest[i]] != (k, no[i], upto[i])]
+        parts = sorted((no[i], i) for i in repeated if no[i] == upto[i])
+        run = []
+        for n, i in [*parts, (None, None)]:
+            if run and (n is None or n != run[-1][0] + 1):
+                if sum(n_words[j] for _, j in run) >= least_words:
+                    gone[k] |= {m for m, _ in run}
+                run = []
+            if n is not None:
+                run.append((n, i))
+        for i in repeated:
+            if line[i]:
+                gone[k] |= set(range(no[i], upto[i] + 1))
+        for i in range(len(no)):
+            if no[i] == upto[i]:
+                where[no[i]] = start[i], end[i]
+        island = []
+        for n in [*sorted(gone[k]), None]:
+            if island and (n is None or n != island[-1] + 1):
+                out.add((k, where[island[0]][0], where[island[-1]][1]))
+                island = []
+            if n is not None:
+                island.append(n)
+    return out
+
+
+@pytest.mark.parametrize("least_words", [1, 20])
+def test_passages_equal_brute_force(spark, least_words):
+    r = random.Random(least_words)
+    lines = [words(800 + k, n) for k, n in enumerate([1, 2, 3, 9, 40, 90])]
+    rows = []
+    for k in range(60):
+        parts = [r.choice([words(5000 + 7 * k + j, r.randint(0, 12)), r.choice(lines), f"{words(9000 + 7 * k + j, 2)} {r.choice(lines)}"]) for j in range(r.randint(0, 6))]
+        rows.append((r.choice([None, k, k, k // 2]), r.choice(["\n", "\n\n", "\r\n"]).join(parts)))
+    rows += [(70, rows[3][1]), (70, rows[3][1]), (None, None), (None, ""), (71, "\n\n"), (72, " ".join([lines[4], *["w"] * 30000, lines[4]])), (73, lines[0]), (73, lines[0])]
+    schema = "doc_id long, text string, row string, start long, doc string"
+    table = stored(spark.createDataFrame([(*x, "r", 1, "d") for x in rows], schema).coalesce(1), "brute-passages")
+    found = repeated_passages(table, least_words=least_words)
+    assert {(x.row, x.start, x.end) for x in found.collect()} == brute_passages(rows, least_words)
+    cut_texts = without_passages(table, found).collect()
+    assert len(cut_texts) == len(rows) and cut_texts[0].row == "r"
+    spans = {}
+    for k, a, b in sorted(brute_passages(rows, least_words), reverse=True):
+        spans.setdefault(k, []).append((a, b))
+    want = []
+    for k, (doc_id, text) in enumerate(rows):
+        for a, b in spans.get(k, []):
+            text = text[:a] + text[b:]
+        want.append((doc_id, text))
+    assert sorted(((x.doc_id, x.text) for x in cut_texts), key=str) == sorted(want, key=str)
+
+
+def test_pages_of_any_size_and_repeated_rows(spark):
+    model = html_text.learn(200)
+    long = "<html><body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>Paragraph {k} of the long article is here.</p>" for k in range(8000)) + "</article><footer>End</footer>"
+    deep = "<div>" * 2000 + "<p>text</p>" + "</div>" * 2000
+    pages = [(1, "u", long, 1), (1, "u", long, 1), (None, None, deep, 2), (2, "v", "<article><p>a\u00a0 b &lt;c&gt; &#x1F600;</p></article>", 3)]
+    rows = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string, n_chars int").select("page_id", "url", "html", F.col("n_chars").alias("text")), model).collect()
+    assert len(rows) == 4 and [r.text.count("Paragraph") for r in rows if r.page_id == 1] == [8000, 8000]
+    assert next(r.text for r in rows if r.page_id == 2) in ("a b <c> \U0001f600", "")
+
+
 def test_html_extraction_on_held_out_seed_pages_and_edges(spark):
     model = html_text.learn()
     pages = html_seed.seed_pages(150, seed=11)
@@ -417,6 +494,17 @@ def test_near_duplicates_of_repeated_and_null_rows(docs):
     assert {r.doc_id: r.component_id for r in rows}[2] == 1 and sum(r.stays for r in rows if r.component_id == 6) == 1
 
 
+def test_near_duplicates_where_a_thousand_doc_ids_are_null(spark):
+    base = words(3, 60).split()
+    texts = [" ".join([*base[:k % 50], f"z{k}", *base[k % 50 :]]) for k in range(1000)] + [words(4000 + k, 30) for k in range(20)]
+    table = stored(spark.createDataFrame([(None if k < 1000 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string"), "null-ids")
+    rows = near_duplicates(table).collect()
+    assert len(rows) == 1020 and sum(r.stays for r in rows) == 21 and sum(r.doc_id is None and r.component_id is None for r in rows) == 1000
+    folder = stored(table, "beside").inputFiles()[0].split("/ledgerloom/")[0].replace("file:", "")
+    left = {name.rsplit("-", 1)[0] for name in os.listdir(f"{folder}/ledgerloom")}
+    assert "owners" in left and not left & {"signatures", "sets", "postings", "blocks", "parents"}
+
+
 def plain_base(t):
     out = []
     for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
