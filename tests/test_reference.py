@@ -13,7 +13,7 @@ from ledgerloom.functions import values
 from ledgerloom.operators import assess, compare, evidence, graphs, sequences
 from ledgerloom.operators import attestations, manifests, mappings, numeric, parity, policies, splits, structures, texts, timelines, written
 from ledgerloom.plans import assessments, catalogue  # noqa: F401
-from ledgerloom.plans import attestations as _a, manifests as _b, mappings as _c, parity as _d, policies as _e, sources as _f, structures as _g, timelines as _h  # noqa: E401, F401
+from ledgerloom.plans import attestations as _a, manifests as _b, mappings as _c, parity as _d, policies as _e, rollups as _i, sources as _f, structures as _g, timelines as _h  # noqa: E401, F401
 from ledgerloom.sources import files, model_files
 from ledgerloom.streaming import claims
 
