@@ -58,6 +58,23 @@ SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id =
 """
 
 
+#: Profiles of all documents that are not held out, for tables with no more than ``docs_per_language`` of a language.
+OP6 = r"""
+WITH crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, len(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295) % 4 = 2 AS held_out FROM documents),
+t AS (SELECT d.doc_id, lang, held_out, '_' || trim(regexp_replace(lower(text), '[^\p{L}]+', '_', 'g'), '_') || '_' AS t FROM documents d JOIN crc USING (doc_id) WHERE text IS NOT NULL AND regexp_matches(text, '\p{L}')),
+g AS (SELECT doc_id, lang, held_out, unnest(list_concat(list_filter(list_transform(generate_series(1, len(t)), lambda i: substr(t, i::INT, 1)), lambda x: x <> '_'), list_transform(generate_series(1, len(t) - 1), lambda i: substr(t, i::INT, 2)), list_transform(generate_series(1, len(t) - 2), lambda i: substr(t, i::INT, 3)))) AS g FROM t),
+c AS (SELECT doc_id, lang, held_out, g, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, len(g), g) - 1 AS place FROM c WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, g QUALIFY place < 400),
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, len(g), g) - 1 AS place FROM c QUALIFY place < 400),
+s AS (SELECT doc_id, count(*) AS m FROM o GROUP BY 1), l AS (SELECT DISTINCT lang FROM p),
+gain AS (SELECT doc_id, p.lang, sum(400 - abs(p.place - o.place))::BIGINT AS gain FROM o JOIN p USING (g) GROUP BY 1, 2),
+far AS (SELECT s.doc_id, l.lang, (400 * m - coalesce(gain, 0))::DOUBLE / (400 * m)::DOUBLE AS far FROM s CROSS JOIN l LEFT JOIN gain ON gain.doc_id = s.doc_id AND gain.lang = l.lang),
+r AS (SELECT doc_id, arg_min(lang, (far, lang)) AS best, min(far) AS f1, list_sort(list(far))[2] AS f2 FROM far GROUP BY 1)
+SELECT d.doc_id, held_out, coalesce(best, 'und') AS lang_pred, CASE WHEN best IS NULL THEN 0.0 WHEN f2 IS NULL THEN 1.0 WHEN f2 = 0 THEN 0.0 ELSE (f2 - f1) / f2 END AS score, coalesce(1 - f1, 0.0) AS nearness FROM documents d JOIN crc USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
 def _op10() -> str:
     parts = []
     for k, r in enumerate((*secrets.BASE, *secrets.MORE)):

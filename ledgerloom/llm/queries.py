@@ -82,4 +82,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op6_language_id": oracle.OP6, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10}
