@@ -530,6 +530,35 @@ def test_personal_data(spark, docs, none):
     assert pii.personal_data(none).count() == 0 and pii.personal_data(docs).count() == len(ROWS)
 
 
+def test_reliabilities_and_classifier_are_learned():
+    r = np.random.default_rng(4)
+    truth = r.random(6000) < 0.3
+    right = [0.95, 0.8, 0.7, 0.5, 0.6]  # the fourth labeler knows nothing
+    votes = np.zeros(len(truth), np.int64)
+    for k, share in enumerate(right):
+        said = np.where(r.random(len(truth)) < share, truth, ~truth)
+        votes += np.where(r.random(len(truth)) < 0.15, 1, 2 * said) * 3**k
+    kind = np.zeros(len(truth), np.int64)
+    found = pii.estimate(kind, votes, np.ones(len(truth)))
+    trust = [found.given[k, 1, 2] / (found.given[k, 1, 0] + found.given[k, 1, 2]) for k in range(5)]
+    assert all(abs(t - share) < 0.06 for t, share in zip(trust, right, strict=True)) and abs(found.prior[0] - 0.3) < 0.04
+    p = found.posterior(kind, votes)
+    majority = sum((votes // 3**k % 3).astype(int) - 1 for k in range(5)) > 0
+    assert ((p > 0.5) == truth).mean() > (majority == truth).mean() + 0.05
+    code = np.where(truth, 1, 0)  # a feature that tells the classes apart
+    weights = pii.train(kind, code, p, np.ones(len(truth)))
+    assert weights[-1][1] - weights[-1][0] > 2
+    turned = pii.train(kind, code, 1 - p, np.ones(len(truth)))
+    assert turned[-1][1] - turned[-1][0] < -2
+
+
+def test_loose_spans_follow_the_classifier(spark):
+    numbers = [(k, f"call me at (212) 555-{k:04d} today") for k in range(10, 60)]
+    versions = [(100 + k, f"see version 555-123-{k:04d} of the manual, page 4") for k in range(10, 60)]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(spark.createDataFrame(numbers + versions, "doc_id long, text string")).collect()}
+    assert sum("phone" in got[k] for k, _ in numbers) >= 48 and sum("phone" in got[k] for k, _ in versions) <= 2
+
+
 def test_secret_ledger_scans_a_blob_once(spark, docs, none):
     path = fresh_path(spark, "test-ledger")
     table = stored(spark.createDataFrame([(1, "token = 'abcdef12'"), (2, "token = 'abcdef12'"), (3, None), (4, "AKIA" + "A" * 16)], "doc_id long, text string"), "secrets")
