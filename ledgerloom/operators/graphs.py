@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.written import fresh_folder, written
+from ledgerloom.operators.written import discarded, fresh_folder, written
 
 
 class _Levels:
@@ -60,9 +60,10 @@ def unplaceable(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     n, rounds = targets.count(), 0
     while n:
         rounds = _checked(rounds, most_rounds, "rounds")
-        edges = written(edges.join(targets, F.col("src") == F.col("node"), "left_semi"), "edges")
-        left = written(edges.select(F.col("dst").alias("node")).distinct(), "targets")
-        targets, before, n = left, n, left.count()
+        left_edges = written(edges.join(targets, F.col("src") == F.col("node"), "left_semi"), "edges")
+        left = written(left_edges.select(F.col("dst").alias("node")).distinct(), "targets")
+        discarded(edges, targets)
+        edges, targets, before, n = left_edges, left, n, left.count()
         if n == before:
             break
     return targets
@@ -99,6 +100,8 @@ def ring_members(successors: DataFrame) -> DataFrame:
     jumps = hops
     while (1 << passes) < max(1, n):
         far = jumps.select(F.col("node").alias("next"), F.col("next").alias("after"))
-        jumps, passes = written(jumps.join(far, "next", "left").select("node", F.col("after").alias("next")), "jumps"), passes + 1
+        longer = written(jumps.join(far, "next", "left").select("node", F.col("after").alias("next")), "jumps")
+        discarded(jumps)
+        jumps, passes = longer, passes + 1
     return jumps.where(F.col("next").isNotNull()).select(F.col("next").alias("node")).distinct()
 

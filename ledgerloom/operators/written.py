@@ -32,10 +32,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discarded(spark: SparkSession, path: str) -> None:
-    """Deletes a written folder that nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def discarded(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        jvm, context = tables[0].sparkSession._jvm, tables[0].sparkSession._jsc
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
 
 
 def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
