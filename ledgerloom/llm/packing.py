@@ -168,7 +168,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: in
     plan = schedule([r["n"] for r in top], window, share)
     own = sizes.join(spark.createDataFrame([(r["queue_key"], k) for k, r in enumerate(top)], "queue_key string, queue int"), "queue_key")
     over_parts = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = own.select("part", "queue_key", "queue", F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("base"))
+    # written, so that the join knows how small it is and leaves the tokens where they are, or shuffles them where it is not
+    base = stored(own.select("part", "queue_key", "queue", F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("base")), "queue-starts")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

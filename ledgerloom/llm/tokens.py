@@ -14,7 +14,7 @@ _OTHER = re.compile(r"[^\x00-\x1b\x20-\x84\x86-įı-ɏ]")
 _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
 _SPACE = re.compile(r"[\x20\t\n\r]+")
 #: Entries of a worker's table of words, of which a new one is begun when it is full; a worker keeps it from task to task.
-_MOST = 150_000
+_MOST = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
