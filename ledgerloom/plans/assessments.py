@@ -50,7 +50,7 @@ def frequent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, arg_min(coalesce(k, ''), (ts, event_id)) AS first_k, arg_max(coalesce(k, ''), (ts, event_id)) AS last_k,
 CASE WHEN count(*) = 1 THEN 'INSUFFICIENT' WHEN arg_min(coalesce(k, ''), (ts, event_id)) = arg_max(coalesce(k, ''), (ts, event_id)) THEN 'EQUAL' ELSE 'CHANGED' END AS status FROM e GROUP BY 1""")
 def metadata_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field of a subject's first record against that of its last."""
+    """A field of a subject's first record against that of its last; metadata_rules and metadata_categories have the whole of it."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"))
     ends = rows.groupBy("user_id").agg(F.min_by("k", F.struct("ts", "event_id")).alias("first_k"), F.max_by("k", F.struct("ts", "event_id")).alias("last_k"), F.count("*").alias("n"))
     return ends.select("user_id", "first_k", "last_k", cmp.ladder([("INSUFFICIENT", F.col("n") == 1), ("EQUAL", F.col("first_k") == F.col("last_k"))], "CHANGED").alias("status"))
@@ -77,7 +77,7 @@ _AT = {"before": "2024-01-02 00:00:00", "after": "2024-01-04 00:00:00"}
 @query(f"""WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (ts <= TIMESTAMP '{_AT["before"]}') AS before, arg_max(event_type, (ts, event_id)) FILTER (ts <= TIMESTAMP '{_AT["after"]}') AS after FROM events GROUP BY 1)
 SELECT *, CASE WHEN after IS NULL THEN 'MISSING' WHEN before = after THEN 'UNCHANGED' WHEN after = 'refund' THEN 'REVOKED' WHEN after = 'error' THEN 'DENIED' WHEN before IN ('refund', 'error') THEN 'RESTORED' ELSE 'STRENGTHENED' END AS transition FROM s""")
 def snapshot_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each subject's state at two cutoffs, and what happened between them."""
+    """Each subject's state at two cutoffs, and what happened between them; snapshot_changes has the whole of it."""
     cutoffs = {name: F.lit(at).cast("timestamp") for name, at in _AT.items()}
     states = assess.states_at(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", cutoffs, "event_id")
     rungs = [("MISSING", F.col("after").isNull()), ("UNCHANGED", F.col("before") == F.col("after")), ("REVOKED", F.col("after") == "refund"), ("DENIED", F.col("after") == "error"), ("RESTORED", F.col("before").isin("refund", "error"))]
@@ -86,7 +86,7 @@ def snapshot_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS epoch, count(*) AS n, CASE WHEN count(*) < 2 THEN 'INSUFFICIENT' WHEN bool_or(event_type = 'error') THEN 'UNRESOLVED' WHEN count(DISTINCT event_type) = 1 THEN 'SAME' ELSE 'REBOUND' END AS status FROM events GROUP BY 1, 2")
 def resolution_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a name resolves alike through a day."""
+    """Whether a name resolves alike through a day; resolution_ladder has the whole of it."""
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("epoch")).agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "error").alias("failed"), F.countDistinct("event_type").alias("kinds"))
     return rows.select("user_id", "epoch", "n", cmp.ladder([("INSUFFICIENT", F.col("n") < 2), ("UNRESOLVED", F.col("failed")), ("SAME", F.col("kinds") == 1)], "REBOUND").alias("status"))
 
@@ -135,7 +135,7 @@ SELECT o_orderkey, count(a.l_orderkey) AS n_approvals, count(*) FILTER (s_nation
 CASE WHEN count(*) FILTER (s_nationkey = c_nationkey) > 0 THEN 'VIOLATED' WHEN bool_or(a.l_orderkey IS NOT NULL AND (s_nationkey IS NULL OR c_nationkey IS NULL)) THEN 'NOT_IDENTIFIED' WHEN count(a.l_orderkey) = 0 THEN 'NOT_EVALUATED' ELSE 'SATISFIED' END AS status
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN a ON a.l_orderkey = o_orderkey GROUP BY 1""")
 def separation_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that a supplier of the customer's own nation approves."""
+    """Orders that a supplier of the customer's own nation approves; duty_separation has the whole of it."""
     requests = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_nationkey")
     approvals = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left").select(F.col("l_orderkey").alias("o_orderkey"), "s_nationkey")
     return assess.separation(requests, approvals, "o_orderkey", "c_nationkey", "s_nationkey")
@@ -153,7 +153,7 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, label, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS peak, CASE WHEN round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) <= coalesce(CASE vec_id WHEN 7 THEN 0.1 END, CASE label WHEN 0 THEN 0.3 WHEN 1 THEN 0.25 END, 0.35) THEN 'CONFORMS' ELSE 'DOES_NOT_CONFORM' END AS status FROM embeddings")
 def quant_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds by vector, else by label, else the default."""
+    """Thresholds by vector, else by label, else the default; quant_requirements has the whole of it."""
     peak = F.round(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))), 4)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", peak.alias("peak"))
     limits = [F.when(F.col("vec_id") == 7, 0.1), F.when(F.col("label") == 0, 0.3).when(F.col("label") == 1, 0.25), F.lit(0.35)]
@@ -165,7 +165,7 @@ b AS (SELECT conv_id, turn // 2 AS probe, sha256(string_agg(coalesce(text, ''),
 SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.probe, b.probe) AS probe, CASE WHEN b.digest IS NULL THEN 'MISSING' WHEN a.digest IS NULL THEN 'UNEXPECTED' WHEN a.digest <> b.digest THEN 'OUTPUT_MISMATCH' ELSE '' END AS findings
 FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.probe = b.probe""")
 def probe_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The results of two backends for the same probes."""
+    """The results of two backends for the same probes; probe_findings and probe_status have the whole of it."""
     rows = table(spark, sf_dir, "conversations").select("role", F.struct("conv_id", F.floor(F.col("turn") / 2).alias("probe")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     side = lambda role: rows.where(F.col("role") == role).groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("text")), "\n"), 256).alias("digest"))
     found = cmp.compare(side("user"), side("assistant"), "key", {"digest": "OUTPUT_MISMATCH"})

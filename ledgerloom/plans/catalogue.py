@@ -50,7 +50,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MANIFEST + "SELECT doc_id, findings FROM f")
 def manifest_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of all documents against one where some are renamed or changed: findings for each path."""
+    """A manifest of all documents against one where some are renamed or changed: findings for each path; manifest_findings has the whole of it."""
     return _manifest(spark, sf_dir).select("doc_id", F.array_join("findings", ",").alias("findings"))
 
 
@@ -103,7 +103,7 @@ _RULES = (("steel", "*STEEL*"), ("eco", "ECO*"), ("std", "STANDARD*"), ("promo",
 
 @query("SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE 'ECO%' THEN 'eco' WHEN p_type LIKE 'STANDARD%' THEN 'std' WHEN p_type LIKE 'PROMO%' THEN 'promo' ELSE 'unclassified' END AS class FROM part")
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first glob rule that matches."""
+    """The first glob rule that matches; inventory_classes has the whole of it."""
     rules = [(name, cmp.glob_pattern(g)) for name, g in _RULES]
     return table(spark, sf_dir, "part").select("p_partkey", cmp.matched(F.col("p_type"), rules, "unclassified").alias("class"))
 
@@ -125,7 +125,7 @@ def census_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT rule, replace(pattern, '{n}', unnest(generate_series(0, hi))::VARCHAR) AS name FROM r)
 SELECT x.rule, x.name, count(n.n_nationkey) AS n_targets, CASE count(n.n_nationkey) WHEN 0 THEN 'UNMAPPED' WHEN 1 THEN 'MAPPED' ELSE 'AMBIGUOUS' END AS status FROM x LEFT JOIN nation n ON n.n_name = x.name GROUP BY 1, 2""")
 def rule_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules expanded over an index, resolved against names: none, one or many."""
+    """Rules expanded over an index, resolved against names: none, one or many; mapping_resolution has the whole of it."""
     rules = spark.createDataFrame([("nation", "NATION_{n}", 9), ("zone", "ZONE_{n}", 3), ("late", "NATION_{n}", 4)], "rule string, pattern string, hi int")
     names = rules.select("rule", "pattern", F.explode(F.sequence(F.lit(0), "hi")).alias("k")).select("rule", F.replace("pattern", F.lit("{n}"), F.col("k").cast("string")).alias("name"))
     counts = names.join(table(spark, sf_dir, "nation"), F.col("name") == F.col("n_name"), "left").groupBy("rule", "name").agg(F.count("n_nationkey").alias("n_targets"))
@@ -182,14 +182,14 @@ def custody_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS epoch, count(DISTINCT event_type) AS n_claims FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1")
 def timeline_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs for which a subject has conflicting claims."""
+    """Epochs for which a subject has conflicting claims; timeline_fork_kinds has the whole of it."""
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("epoch")).agg(F.countDistinct("event_type").alias("n_claims"))
     return rows.where("n_claims > 1")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, ts + to_seconds(user_id % 600), event_type)) AS event_type, count(*) AS n FROM events WHERE ts + to_seconds(user_id % 600) <= TIMESTAMP '2024-01-01 12:00:00' GROUP BY 1")
 def known_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest claim among those known at a cutoff; a claim is known some minutes after it takes effect."""
+    """The latest claim among those known at a cutoff; a claim is known some minutes after it takes effect; knowledge_states has the whole of it."""
     facts = table(spark, sf_dir, "events").withColumn("available", F.expr("timestampadd(SECOND, user_id % 600, ts)"))
     return sequences.known_as_of(facts, "user_id", "ts", "available", "2024-01-01 12:00:00", "event_type")
 
@@ -216,7 +216,7 @@ def revocation_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_signers, count(DISTINCT s_nationkey) AS n_roots, CASE WHEN count(DISTINCT l_suppkey) < 3 THEN 'NO_QUORUM' WHEN count(DISTINCT s_nationkey) < 2 THEN 'NOT_INDEPENDENT' ELSE 'MET' END AS status
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""")
 def quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enough signers, from enough independent roots."""
+    """Enough signers, from enough independent roots; quorum_eval has the whole of it."""
     signed = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     counts = signed.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n_signers"), F.countDistinct("s_nationkey").alias("n_roots"))
     return counts.withColumn("status", cmp.ladder([("NO_QUORUM", F.col("n_signers") < 3), ("NOT_INDEPENDENT", F.col("n_roots") < 2)], "MET"))
@@ -225,7 +225,7 @@ def quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'NOT_EVALUATED' WHEN l.toxic = 1 THEN 'REJECTED' WHEN l.quality = 1 THEN 'ACCEPTED' WHEN d.n_chars >= 1000 THEN 'REVIEW' ELSE 'REJECTED' END AS decision
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions from evidence, by the first requirement that settles it."""
+    """Decisions from evidence, by the first requirement that settles it; requirement_eval and policy_decisions have the whole of it."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(labels, F.col("doc_id") == F.col("label_id"), "left")
     rungs = [("NOT_EVALUATED", F.col("label_id").isNull()), ("REJECTED", F.col("toxic") == 1), ("ACCEPTED", F.col("quality") == 1), ("REVIEW", F.col("n_chars") >= 1000)]
@@ -261,7 +261,7 @@ c AS (SELECT lang, token, count(*) AS n FROM w WHERE token <> '' GROUP BY 1, 2),
 a AS (SELECT token, id FROM r WHERE lang = 'en'), b AS (SELECT token, id FROM r WHERE lang = 'de')
 SELECT coalesce(a.token, b.token) AS token, CASE WHEN b.id IS NULL THEN 'MISSING' WHEN a.id IS NULL THEN 'UNEXPECTED' WHEN a.id <> b.id THEN 'ID_MISMATCH' ELSE '' END AS findings FROM a FULL JOIN b ON a.token = b.token""")
 def vocab_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two vocabularies, compared by token and id; ids are ranks by count."""
+    """Two vocabularies, compared by token and id; ids are ranks by count; vocab_tokens and vocab_ids have the whole of it."""
     words = table(spark, sf_dir, "documents").where("lang in ('en', 'de')").select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
     counts = words.where("token <> ''").groupBy("lang", "token").agg(F.count("*").alias("n"))
     ranks = ranked(counts, ["lang"], [F.desc("n"), F.col("token")], "id")
@@ -272,7 +272,7 @@ def vocab_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, count(*) AS n, count(*) FILTER (k IS NULL) AS n_missing, count(DISTINCT k) AS n_values, CASE WHEN count(k) = 0 THEN 'ABSENT' WHEN count(DISTINCT k) = 1 THEN 'EQUAL' ELSE 'DRIFT' END AS status
 FROM (SELECT user_id, json_extract_string(props, '$.k') AS k FROM events) GROUP BY 1""")
 def config_field_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One field of all of a subject's configurations: absent, equal or drifting."""
+    """One field of all of a subject's configurations: absent, equal or drifting; configuration_parity has the whole of it."""
     rows = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("k"))
     counts = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("n_missing"), F.countDistinct("k").alias("n_values"))
     return counts.withColumn("status", cmp.ladder([("ABSENT", F.col("n_missing") == F.col("n")), ("EQUAL", F.col("n_values") == 1)], "DRIFT"))
@@ -304,7 +304,7 @@ def canonical_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<script'))::BIGINT AS n_script, len(regexp_extract_all(html, 'https?://'))::BIGINT AS n_link, len(regexp_extract_all(html, '<iframe|javascript:|onerror='))::BIGINT AS n_active, CASE WHEN len(regexp_extract_all(html, '<iframe|javascript:|onerror=')) > 0 THEN 'BLOCK' WHEN len(regexp_extract_all(html, '<script')) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM pages WHERE html IS NOT NULL")
 def security_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active content in text artifacts, and a verdict."""
+    """Active content in text artifacts, and a verdict; page_scan, document_scan and security_eval have the whole of it."""
     count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     rows = table(spark, sf_dir, "pages").where("html is not null").select("page_id", count("<script").alias("n_script"), count("https?://").alias("n_link"), count("<iframe|javascript:|onerror=").alias("n_active"))
     return rows.withColumn("verdict", cmp.ladder([("BLOCK", F.col("n_active") > 0), ("WARN", F.col("n_script") > 0)], "PASS"))
