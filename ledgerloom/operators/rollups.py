@@ -165,3 +165,13 @@ def limited(findings: DataFrame, scope: str, order: Sequence[str], most: int) ->
     total = findings.groupBy(scope).agg(F.count("*").alias("total"))
     first = findings.withColumn("place", F.row_number().over(Window.partitionBy(scope).orderBy(*order))).where(F.col("place") <= most)
     return first.join(total, scope)
+
+
+def rule_findings(parts: Sequence[tuple[str, DataFrame, Column, Column | None]]) -> DataFrame:
+    """(ordinal, rule, n_failed, n_warned, status): one row a rule (name, rows, condition that fails, condition that warns), by counting the rows that meet them; a failure outranks warnings."""
+    out = None
+    for k, (rule, rows, fails, warns) in enumerate(parts):
+        counts = rows.agg(F.count_if(fails).alias("n_failed"), F.count_if(warns if warns is not None else F.lit(False)).alias("n_warned"))
+        own = counts.select(F.lit(k + 1).alias("ordinal"), F.lit(rule).alias("rule"), "n_failed", "n_warned", ladder([("FAIL", F.col("n_failed") > 0), ("WARN", F.col("n_warned") > 0)], "PASS").alias("status"))
+        out = own if out is None else out.union(own)
+    return out

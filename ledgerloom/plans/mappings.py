@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import mappings
+from ledgerloom.operators import mappings, rollups
+from ledgerloom.plans import catalogue
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql, one_of, one_of_sql
 
@@ -210,3 +211,25 @@ def mapping_realizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("alternative"))
     alternatives = rows.select("rule", "alternative", (F.col("rule") * 7 + F.col("alternative") * 11).alias("tensor"), (drawn(F.col("rule") * 3 + F.col("alternative"), "trusted", 3) > 0).alias("trusted"))
     return mappings.realizations(alternatives, table(spark, sf_dir, "part").where("p_partkey % 5 > 1").select((F.col("p_partkey") % 9000).alias("tensor")), "rule", "tensor")
+
+
+@query(f"""WITH src AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'O'), tgt AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O'), {catalogue.ORACLE_SQL["mapping_relations"].removeprefix("WITH ").split("SELECT k, layer IS NOT")[0].rstrip()},
+a AS (SELECT c_custkey AS rule, y AS alternative, c_custkey * 7 + y * 11 AS tensor, {drawn_sql("c_custkey * 3 + y", "trusted", 3)} > 0 AS trusted FROM customer, (VALUES (0), (1), (2)) v(y)), pt AS (SELECT p_partkey % 9000 AS tensor, count(*) AS n FROM part WHERE p_partkey % 5 > 1 GROUP BY 1), g AS (SELECT rule, count(*) FILTER (trusted AND coalesce(n = 1, false)) AS good FROM a LEFT JOIN pt USING (tensor) GROUP BY 1),
+f(ordinal, rule, n_failed, n_warned) AS (SELECT 1, 'MAP-001', (SELECT count(*) FROM src WHERE k NOT IN (SELECT k FROM tgt)), 0 UNION ALL SELECT 2, 'MAP-002', (SELECT count(*) FROM tgt WHERE k NOT IN (SELECT k FROM src)), 0
+UNION ALL SELECT 3, 'MAP-003', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey HAVING count(*) > 1)), 0 UNION ALL SELECT 4, 'MAP-004', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)), 0
+UNION ALL SELECT 5, 'MAP-005', (SELECT count(*) FROM x WHERE layer IS DISTINCT FROM t_layer), 0 UNION ALL SELECT 6, 'MAP-006', (SELECT count(*) FROM x WHERE CASE WHEN relation = 'reversed' THEN list_reverse(shape) ELSE shape END <> t_shape), 0 UNION ALL SELECT 7, 'MAP-007', (SELECT count(*) FROM x WHERE module <> t_module OR component <> t_component), 0
+UNION ALL SELECT 8, 'MAP-008', (SELECT count(*) FROM g WHERE good <> 1), 0 UNION ALL SELECT 9, 'MAP-009', 0, (SELECT count(*) FROM region))
+SELECT ordinal, rule, n_failed, n_warned, CASE WHEN n_failed > 0 THEN 'FAIL' WHEN n_warned > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM f""")
+def mapping_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine findings on a mapping: coverage of both sides, claims, layers, shapes, parameters, ties, and provenance, which without lineage always warns."""
+    lines = table(spark, sf_dir, "lineitem")
+    sources = lines.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("k")).distinct()
+    targets = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"))
+    relations, ties = mapping_relations(spark, sf_dir), mapping_realizations(spark, sf_dir)
+    twice = lambda *c: lines.groupBy(*c).agg(F.count("*").alias("n"))
+    parts = [
+        ("MAP-001", sources.join(targets, "k", "left_anti"), F.lit(True), None), ("MAP-002", targets.join(sources, "k", "left_anti"), F.lit(True), None), ("MAP-003", twice("l_orderkey", "l_linenumber", "l_partkey"), F.col("n") > 1, None),
+        ("MAP-004", twice("l_partkey", "l_suppkey"), F.col("n") > 1, None), ("MAP-005", relations, ~F.col("layer_ok"), None), ("MAP-006", relations, ~F.col("shape_ok"), None), ("MAP-007", relations, ~F.col("parameter_ok"), None),
+        ("MAP-008", ties, F.col("status") != "REALIZED", None), ("MAP-009", table(spark, sf_dir, "region"), F.lit(False), F.lit(True)),
+    ]
+    return rollups.rule_findings(parts)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import splits, structures
+from ledgerloom.operators import rollups, splits, structures
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql, one_of, one_of_sql
 
@@ -276,3 +276,25 @@ def split_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = F.when((F.col("l_orderkey") % 50 == 7) & (F.col("l_linenumber") == 1), 3).otherwise(F.col("top") - F.when(F.col("l_orderkey") % 30 == 3, 1).otherwise(0))
     name = F.format_string("dir/order%d-%05d-of-%05d.gguf", "l_orderkey", "l_linenumber", declared)
     return splits.split_sets(table(spark, sf_dir, "lineitem").where("l_linenumber < 9").join(top, "l_orderkey").select(name.alias("name")), "name")
+
+
+@query(f"""WITH {_BASE}, {_META}, ruled AS ({_RULED}), r(s_, t_, selector) AS (VALUES {", ".join(str(r) for r in _RULES)}), x AS (SELECT name, b.type AS st, c.type AS tt, b.physical AS p, c.physical AS q FROM b JOIN c USING (name)),
+f(ordinal, rule, n_failed, n_warned) AS (SELECT 1, 'DIFF-001', (SELECT count(*) FROM s FULL JOIN t ON s.key = t.key WHERE coalesce(s.key, t.key) = 'general.architecture' AND s.v IS DISTINCT FROM t.v), 0 UNION ALL SELECT 2, 'DIFF-002', (SELECT count(*) FROM b WHERE name NOT IN (SELECT name FROM c)) + (SELECT count(*) FROM c WHERE name NOT IN (SELECT name FROM b)), 0
+UNION ALL SELECT 3, 'DIFF-003', (SELECT count(*) FROM x WHERE p <> q), 0 UNION ALL SELECT 4, 'DIFF-004', (SELECT count(*) FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE s_ = st AND t_ = tt AND name GLOB selector)), 0 UNION ALL SELECT 5, 'DIFF-005', (SELECT count(*) FROM ruled WHERE outcome = 'failure'), (SELECT count(*) FROM ruled WHERE outcome = 'warning'))
+SELECT ordinal, rule, n_failed, n_warned, CASE WHEN n_failed > 0 THEN 'FAIL' WHEN n_warned > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM f""")
+def inventory_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five findings on two inventories: architecture, names, shapes, types and metadata."""
+    base, candidate = _sides(spark, sf_dir)
+    meta, other = _metadata(spark, sf_dir)
+    is_ = F.col("key") == "general.architecture"
+    architecture = meta.where(is_).join(other.where(is_).withColumnRenamed("value", "other"), "key", "full_outer")
+    names = structures.set_difference(base, candidate, "name", 0)
+    alone = names.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    both = base.select("name", F.col("physical").alias("p")).join(candidate.select("name", F.col("physical").alias("q")), "name")
+    kinds = structures.type_transitions(base, candidate, _RULES, "name", "type", 0).select("accepted", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    ruled = structures.ruled_metadata(meta, other, _META_RULES, "warn", ["general.architecture"])
+    parts = [
+        ("DIFF-001", architecture, ~F.col("value").eqNullSafe(F.col("other")), None), ("DIFF-002", alone, F.lit(True), None), ("DIFF-003", both, F.col("p") != F.col("q"), None), ("DIFF-004", kinds, ~F.col("accepted"), None),
+        ("DIFF-005", ruled, F.col("outcome") == "failure", F.col("outcome") == "warning"),
+    ]
+    return rollups.rule_findings(parts)
