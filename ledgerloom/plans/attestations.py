@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import attestations, graphs, texts
+from ledgerloom.operators import attestations, graphs, numeric, texts
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql, one_of, one_of_sql
 
@@ -185,3 +185,15 @@ def reference_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.when(k % 31 == 5, F.concat(F.lit(', "parent_id" : '), name(k - 3))).otherwise("")
     documents = table(spark, sf_dir, "supplier").select(F.concat(F.lit("d"), k.cast("string")).alias("id"), F.concat(F.lit('{"own_id": '), name(k), forward, back, F.lit("}")).alias("text"))
     return graphs.unplaceable(texts.references(documents, "id", "text"))
+
+
+_SAMPLES = ("2024-02-29T10:00:00Z", "2023-02-29T10:00:00Z", "2024-01-01", "1.50", "-0", "01", "1e5", "see /home/x/y", "password: x", "plain", "a\u202eb")
+
+
+@query(f"""WITH v AS (SELECT c_custkey, {one_of_sql("c_custkey", "sample", *_SAMPLES)} AS t FROM customer)
+SELECT c_custkey, t IN ('2024-02-29T10:00:00Z') AS is_utc, t IN ('1.50', '-0', '1e5') AS is_decimal, t IN ('see /home/x/y', 'password: x') AS is_unsafe, replace(t, chr(8238), '\\u202e') AS shown FROM v""")
+def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times, decimals and unsafe values by their form, and texts as they may be shown."""
+    t = one_of(F.col("c_custkey"), "sample", *_SAMPLES)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", t.alias("t"))
+    return rows.select("c_custkey", texts.utc(F.col("t")).alias("is_utc"), numeric.decimal_grammar(F.col("t")).alias("is_decimal"), texts.unsafe(F.col("t")).alias("is_unsafe"), texts.escaped(F.col("t")).alias("shown"))
