@@ -80,11 +80,13 @@ def pin_scans(spark: SparkSession) -> None:
 
 
 def per_process(key: str, make: Callable[[], Any]) -> Any:
-    """One object for each key and Python worker, kept from task to task."""
+    """An object that a Python worker keeps from task to task, until one of another key takes its place: what one stage needs doesn't stay for the next."""
     home = sys.modules.setdefault("ledgerloom_worker_state", types.ModuleType("ledgerloom_worker_state"))
-    if key not in home.__dict__:
-        home.__dict__[key] = make()
-    return home.__dict__[key]
+    if getattr(home, "key", None) != key:
+        home.key = home.held = None
+        home.held = make()
+        home.key = key
+    return home.held
 
 
 def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
