@@ -105,7 +105,8 @@ def scan_incrementally(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     entries = unseen.select(F.col("of").alias("blob")).join(found, "blob", "left").select("blob", F.lit(version).alias("rules"), F.coalesce("spans", none).alias("spans"))
     entries.write.mode("append").parquet(ledger_path)
-    findings = ledger_of(spark, ledger_path).where(F.col("rules") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+    # written, so that a blob with very many paths can be dealt to several tasks
+    findings = stored(ledger_of(spark, ledger_path).where(F.col("rules") == version).groupBy("blob").agg(F.first("spans").alias("spans")), "findings")
     return paths.join(findings, "blob").select("doc_id", "blob", "spans")
 
 
