@@ -11,10 +11,11 @@ from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.repacking import pack_best_fit
 from ledgerloom.llm.scratch import fresh_path, stored
 from ledgerloom.llm.substring_dedup import repeated_passages
 
-WORD_TOKENIZER = "word_bpe_49k.json"
+WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
 
 
+def op12_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), with_ids=False)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op12_repacking": op12_repacking,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op6_language_id": oracle.OP6, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10}
