@@ -96,3 +96,22 @@ SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 
 
 OP10 = _op10()
+
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+l AS (SELECT lang, term, count(*) AS lang_count FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN l USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, sum(lang_count) AS lang_total FROM l GROUP BY 1),
+g AS (SELECT lang, source, coalesce(max(v), 0) AS v, max(lang_total) AS lang_total, coalesce(sum(n), 0) AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY 1, 2),
+s AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p,
+             1 + (1000000000::HUGEINT * (lang_count + 1)) // (lang_total + v) AS q FROM g JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM s a JOIN s b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+valued AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM s WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM valued)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import avi, html_text, langid, oracle, pii, secrets
+from ledgerloom.llm.divergence import divergence
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
@@ -74,6 +75,10 @@ def op12_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), with_ids=False)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
     "op12_repacking": op12_repacking,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op6_language_id": oracle.OP6, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op6_language_id": oracle.OP6, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10, "op13_divergence": oracle.OP13}
