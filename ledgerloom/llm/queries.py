@@ -11,6 +11,7 @@ from ledgerloom.llm.divergence import divergence
 from ledgerloom.llm.exact_dedup import DigestIndex, deduplicate
 from ledgerloom.llm.minhash import near_duplicates
 from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.negatives import hard_negatives
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.repacking import pack_best_fit
 from ledgerloom.llm.scratch import fresh_path, stored
@@ -71,6 +72,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), with_ids=False)
 
@@ -90,8 +95,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_repacking": op12_repacking,
     "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op6_language_id": oracle.OP6, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10, "op13_divergence": oracle.OP13}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": oracle.OP2, "op6_language_id": oracle.OP6, "op7_mixing": oracle.OP7, "op8_minhash": oracle.OP8, "op10_secrets": oracle.OP10, "op11_hard_negatives": oracle.OP11, "op13_divergence": oracle.OP13}
