@@ -147,7 +147,7 @@ class _Sums:
 SUMS = "lang string, no int, other_no int, value long"
 
 
-def _of_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _of_postings(batches: Iterator[pd.DataFrame], size: int, at_once: int) -> Iterator[pd.DataFrame]:
     """By how much two sources that both have a term depart from what each one's having it says."""
     sums = _Sums()
     for batch in batches:
@@ -156,13 +156,13 @@ def _of_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = np.cumsum(n * n)
             at = 0
             while at < len(rows):
-                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _AT_ONCE, "right")))
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
                 part, m = rows.iloc[at:until], n[at:until]
                 no, p, zero = (np.concatenate(part[c].to_list()).astype(np.int64) for c in ("no", "p", "zero"))
                 each = np.repeat(m, m)
                 left = np.repeat(np.arange(len(no)), each)
                 right = np.repeat(np.repeat(np.cumsum(m) - m, m), each) + np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
-                two = no[left] // BLOCK != no[right] // BLOCK if cross else left != right
+                two = no[left] // size != no[right] // size if cross else left != right
                 a, b = left[two], right[two]
                 sums.add(lang, no[a], no[b], _far(p[a], p[b]) - _far(p[a], zero[b]) - _far(zero[a], p[b]) + _far(zero[a], zero[b]))
                 at = until
@@ -185,14 +185,14 @@ def _of_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from sums.rows(0)
 
 
-def source_pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every source against every other of its language, over all kept terms."""
-    block = F.floor(F.col("no") / BLOCK).cast("int")
-    blocks = F.ceil(F.col("sources") / BLOCK).cast("int")
+def source_pairs(shares: DataFrame, groups: DataFrame, size: int = BLOCK, at_once: int = _AT_ONCE) -> DataFrame:
+    """Every source against every other of its language, over all kept terms; postings in blocks of ``size`` sources."""
+    block = F.floor(F.col("no") / size).cast("int")
+    blocks = F.ceil(F.col("sources") / size).cast("int")
     with_all = shares.select("lang", "term", "no", "p", "zero", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
     cell = with_all.withColumns({"lo": F.least("block", "met"), "hi": F.greatest("block", "met")}).groupBy("lang", "term", "lo", "hi")
     postings = cell.agg(*(F.collect_list(c).alias(c) for c in ("no", "p", "zero"))).where(F.size("no") > 1)
-    both = postings.select("lang", (F.col("lo") != F.col("hi")).alias("cross"), "no", "p", "zero").mapInPandas(_of_postings, SUMS)
+    both = postings.select("lang", (F.col("lo") != F.col("hi")).alias("cross"), "no", "p", "zero").mapInPandas(lambda batches: _of_postings(batches, size, at_once), SUMS)
     counted = shares.groupBy("lang", "no", "zero", "p").agg(F.count("*").alias("n"))
     counted = counted.groupBy("lang", "no", "zero", F.pmod("p", F.lit(16)).alias("slice")).agg(F.collect_list("p").alias("p"), F.collect_list("n").alias("n"))
     zeros = groups.where("terms > 0").groupBy("lang", block.alias("block")).agg(F.collect_list("no").alias("other_no"), F.collect_list("zero").alias("zeros"))
@@ -205,7 +205,7 @@ def source_pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     return valued.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 
 
-def divergence(docs: DataFrame, *, least_documents: int = 3, most_terms: int = 200) -> DataFrame:
+def divergence(docs: DataFrame, *, least_documents: int = 3, most_terms: int = 200, block: int = BLOCK) -> DataFrame:
     """``lang, source, part, item, value, rank``: every other source of the language, and the ``most_terms`` terms that set the source apart."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -214,4 +214,4 @@ def divergence(docs: DataFrame, *, least_documents: int = 3, most_terms: int = 2
         groups = stored(groups_of(kept), "groups")
         joined = kept.where("term IS NOT NULL").join(groups, ["lang", "source"])
         shares = stored(joined.select("lang", "source", "term", "no", "count", "sources", "zero", _share("count", "total", "terms").alias("p"), _share("lang_count", "lang_total", "terms").alias("q")), "shares")
-        return keep(source_pairs(shares, groups).unionByName(top_terms(shares, most_terms)), "divergence")
+        return keep(source_pairs(shares, groups, block).unionByName(top_terms(shares, most_terms)), "divergence")

@@ -121,40 +121,36 @@ def keyed(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.select("row", F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "label", "vector", "square").mapInPandas(run, "row long, vec_id long, label long, pivot int, ring int, distance double, vector binary, square long")
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Neighbouring rows of one pivot and ring as one row."""
-    held: list[pd.DataFrame] = []
+def _cells(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Up to ``most`` neighbouring rows of one pivot and ring as one row."""
     for batch in batches:
-        for (pivot, ring), rows in batch.groupby(["pivot", "ring"], sort=False):
-            for at in range(0, len(rows), CELL):
-                part = rows.iloc[at : at + CELL]
-                held.append(pd.DataFrame({"pivot": [pivot], "ring": [ring], **{k: [v] for k, v in _packed(part).items()}}))
-        if held:
-            yield pd.concat(held)
         held = []
+        for (pivot, ring), rows in batch.groupby(["pivot", "ring"], sort=False):
+            held += [{"pivot": pivot, "ring": ring} | _packed(rows.iloc[at : at + most]) for at in range(0, len(rows), most)]
+        yield pd.DataFrame(held, columns=["pivot", "ring", "n", "ids", "rows", "labels", "vectors"])
 
 
 def _packed(rows: pd.DataFrame) -> dict:
     return {"n": len(rows), "ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "rows": rows["row"].to_numpy(np.int64).tobytes(), "labels": rows["label"].to_numpy(np.int64).tobytes(), "vectors": b"".join(rows["vector"])}
 
 
-def cells(keys: DataFrame, size: int) -> DataFrame:
+def cells(keys: DataFrame, size: int, most: int = CELL) -> DataFrame:
     """The index: vectors sorted by (pivot, ring, distance), dealt in ranges, so that rings of any size have many cells."""
-    parts = max(1, -(-size // (16 * CELL)))
+    parts = max(1, -(-size // (16 * most)))
     sorted_keys = keys.repartitionByRange(parts, "pivot", "ring", "distance", "row").sortWithinPartitions("pivot", "ring", "distance", "row")
-    return sorted_keys.mapInPandas(_cells, f"pivot int, ring int, {VECTORS}")
+    return sorted_keys.mapInPandas(lambda batches: _cells(batches, most), f"pivot int, ring int, {VECTORS}")
 
 
-def chunks(keys: DataFrame, anchors: str) -> DataFrame:
-    """The queries, sorted like the index, by up to ``CHUNK``."""
+def chunks(keys: DataFrame, anchors: str, most: int = CHUNK) -> DataFrame:
+    """The queries, sorted like the index, by up to ``most``."""
     queries = keys.where(anchors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [batch.iloc[at : at + CHUNK] for at in range(0, len(batch), CHUNK)]
+            parts = [batch.iloc[at : at + most] for at in range(0, len(batch), most)]
             yield pd.DataFrame([{"chunk": int(part["row"].iloc[0])} | _packed(part) for part in parts], columns=["chunk", "n", "ids", "rows", "labels", "vectors"])
 
-    parts = max(1, -(-queries.count() // (4 * CHUNK)))
+    parts = max(1, -(-queries.count() // (4 * most)))
     order = ["pivot", "ring", "distance", "row"]
     return queries.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, f"chunk long, {VECTORS}")
 
@@ -327,7 +323,7 @@ def search(index: Index, cell_table: DataFrame, asked: DataFrame, k: int, same_l
     return found
 
 
-def hard_negatives(table: DataFrame, *, anchors: str = "vec_id % 100 = 0", positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90) -> DataFrame:
+def hard_negatives(table: DataFrame, *, anchors: str = "vec_id % 100 = 0", positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90, cell: int = CELL, chunk: int = CHUNK) -> DataFrame:
     """For each anchor and each of its best ``positives`` of the same label, the best ``negatives`` of other labels whose score is ``least`` to ``most`` per cent of the positive's."""
     spark = table.sparkSession
     small_batches(spark)
@@ -340,8 +336,8 @@ def hard_negatives(table: DataFrame, *, anchors: str = "vec_id % 100 = 0", posit
         if index.radius2 >= 2**55:
             raise ValueError("squares of integer vectors must be below 2 ** 55")
         keys = stored(keyed(vectors, index), "keys")
-        cell_table = stored(cells(keys, index.size), "cells")
-        asked = stored(chunks(keys.where(F.col("vec_id") != NO_ID), anchors), "chunks")
+        cell_table = stored(cells(keys, index.size, cell), "cells")
+        asked = stored(chunks(keys.where(F.col("vec_id") != NO_ID), anchors, chunk), "chunks")
         per_label = stored(keys.groupBy("label").agg(F.count("*").alias("n")), "labels")
 
         def slots(n_slots: int, of):
