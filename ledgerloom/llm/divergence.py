@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,31 +45,31 @@ UNIT = 1_000_000_000
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, count, documents``: partial sums, and a row with a null term for every group that a task has met."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("documents", pa.int64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         within: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
-        def given() -> pd.DataFrame:
-            rows = [(lang, source, None, 0, 0) for lang, source in counts]
-            for (lang, source), own in counts.items():
-                held = within[lang, source]
-                rows += [(lang, source, term.decode(), n, held[term]) for term, n in own.items()]
+        def given() -> Iterator[pa.RecordBatch]:
+            for group, own in counts.items():
+                terms = pa.array([None, *own], pa.binary()).cast(pa.string())
+                n, held = [0, *own.values()], [0, *map(within[group].__getitem__, own)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(group[0], len(n)), pa.repeat(group[1], len(n)), terms, pa.array(n, pa.int64()), pa.array(held, pa.int64())], schema=schema)
             counts.clear()
             within.clear()
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "count", "documents"])
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-                found = Counter(_TERM.findall(text.encode().lower()))
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                found = _TERM.findall(text.encode().lower())
                 counts[lang, source].update(found)
-                within[lang, source].update(found.keys())
+                within[lang, source].update(set(found))
             if sum(map(len, counts.values())) >= _MOST_COUNTERS:
-                yield given()
-        yield given()
+                yield from given()
+        yield from given()
 
     chosen = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return chosen.mapInPandas(run, "lang string, source string, term string, count long, documents long")
+    return chosen.mapInArrow(run, "lang string, source string, term string, count long, documents long")
 
 
 def _share(count: str, total: str, terms: str) -> Column:
@@ -84,9 +85,9 @@ def kept_terms(docs: DataFrame, least_documents: int) -> DataFrame:
     """``lang, source, term, count, lang_count, first``: the kept terms of every group, ``first`` once a language and term; and the groups themselves, under a null term."""
     summed = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
     of_term = Window.partitionBy("lang", "term")
-    told = summed.withColumns({"lang_count": F.sum("count").over(of_term), "held": F.sum("documents").over(of_term), "place": F.row_number().over(of_term.orderBy("source"))})
+    told = summed.withColumns({"lang_count": F.sum("count").over(of_term), "held": F.sum("documents").over(of_term), "least": F.min("source").over(of_term)})
     kept = told.where(F.col("term").isNull() | (F.col("held") >= least_documents))
-    return kept.select("lang", "source", "term", "count", "lang_count", (F.col("term").isNotNull() & (F.col("place") == 1)).alias("first"))
+    return kept.select("lang", "source", "term", "count", "lang_count", (F.col("term").isNotNull() & (F.col("source") == F.col("least"))).alias("first"))
 
 
 def groups_of(kept: DataFrame) -> DataFrame:
