@@ -176,7 +176,7 @@ def timed_clips(media: DataFrame) -> DataFrame:
     Rows whose ``avi`` is null, empty or no readable motion-JPEG file have no
     clips. Repeated rows have their clips again. Other columns are not read.
     """
-    small_batches(media.sparkSession, 64)
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,8 +187,13 @@ def timed_clips(media: DataFrame) -> DataFrame:
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as media (media_id, n_bytes, avi): each text in UTF-8, zeros up to a positive multiple of ``ROW``."""
-    small_batches(docs.sparkSession, 64)
+    """``docs`` (doc_id, text) as media (media_id, n_bytes, avi): each text in UTF-8, zeros up to a positive multiple of ``ROW``.
+
+    A null text is empty and is stored as ``ROW`` zeros; a very long one has as
+    many frames as it needs. A null doc_id stays null; repeated rows are stored
+    again, alike; an empty table gives no rows; other columns are not read.
+    """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,8 +208,15 @@ FEATURES = "media_id long, n_bytes long, payload_bytes long, payload_sha256 stri
 
 
 def features(media: DataFrame) -> DataFrame:
-    """A row per row of ``media`` (media_id, n_bytes, avi): digests of the payload that is read back, and its clips as one string."""
-    small_batches(media.sparkSession, 64)
+    """A row per row of ``media`` (media_id, n_bytes, avi): digests of the payload that is read back, and its clips as one string.
+
+    A file that doesn't say how long its payload is has all of its frames as
+    payload. Where ``avi`` is no motion-JPEG file that can be read to its end, what
+    would be read from it is null, and the digest is that of the bytes there are; a
+    null ``avi`` has nulls only. Repeated rows have equal results; an empty table
+    gives no rows; other columns are not read.
+    """
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -213,12 +225,19 @@ def features(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for media_id, n_bytes, data in zip(batch["media_id"], batch["n_bytes"], batch["avi"], strict=True):
-                video = parse_avi(data)
-                frames = list(frames_of(data, video))
-                payload = b"".join(f.tobytes() for f in frames)[: int(video.comment.partition("payload=")[2])]
+                whole = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    video = parse_avi(data or b"")
+                    frames = list(frames_of(data, video))
+                except (NotAFrame, struct.error):
+                    rows.append((media_id, n_bytes, None, None, None, *whole, None))
+                    continue
+                _, _, length = video.comment.partition("payload=")
+                payload = b"".join(f.tobytes() for f in frames)
+                payload = payload[: int(length)] if length.isdigit() else payload
                 clips = shots(iter(frames), video.seconds_a_frame)
                 said = ";".join(f"{start:.2f}-{end:.2f}:{luma:.4f}" for _, _, _, start, end, luma in clips)
-                rows.append((media_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(frames)};{said}"))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"media_id": "Int64"})
+                rows.append((media_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *whole, f"frames={len(frames)};{said}"))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({c: "Int64" for c in ("media_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes")})
 
     return media.select("media_id", "n_bytes", "avi").mapInPandas(run, FEATURES)

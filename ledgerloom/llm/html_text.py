@@ -8,6 +8,7 @@ are fitted to pages that ``html_seed`` writes, whose main text is known.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -22,9 +23,12 @@ from ledgerloom.llm.scratch import per_process, small_batches
 
 #: Elements that break text into blocks, that hold no text of the page, that have no end tag.
 BLOCKS = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main header footer nav aside form fieldset blockquote pre figure figcaption address details summary dialog center hr menu search legend".split())
-SKIPPED = frozenset("script style noscript template textarea title select button svg iframe object canvas head audio video datalist".split())
+SKIPPED = frozenset("script style noscript template textarea title select button svg iframe object canvas audio video datalist".split())
 #: Of these, those whose content is no markup: it goes on to the end tag of the same name.
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in "script style textarea title iframe".split()}
+#: What may be in a head, and skipped elements that may hold one of their own kind.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+_NESTED = frozenset("object svg template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes.
 FOR = frozenset("article content post entry story body text main prose page blog news read paragraph chapter".split())
@@ -93,7 +97,10 @@ class Forest:
         names.append("body")
         pieces: list[str] = []
         link = links = 0
-        skipping, at = "", 0
+        at, in_head = 0, False
+        #: The skipped element that is open, how many of its kind, where its content begins, what blocks are open in it, and whether it has had any.
+        skipping, kinds, begin, inner, had_block = "", 0, 0, Counter(), False
+        transparent: set[str] = set()  # kinds of which one had no end on this page: what they hold is text like any other
 
         def flush() -> None:
             nonlocal links
@@ -112,29 +119,72 @@ class Forest:
                 names.pop()
                 children.pop()
 
-        while m := _TOKEN.search(html, at):
+        while True:
+            m = _TOKEN.search(html, at)
+            if m is None:
+                if not (skipping and had_block):
+                    break
+                transparent.add(skipping)
+                skipping, at = "", begin
+                continue
             if at < m.start() and not skipping:
                 piece = html[at : m.start()]
-                pieces.append(unescape(piece) if "&" in piece else piece)
-                links += len(piece) if link else 0
+                if in_head and piece.strip():
+                    in_head = False
+                if not in_head:
+                    pieces.append(unescape(piece) if "&" in piece else piece)
+                    links += len(piece) if link else 0
             at = m.end()
             name = m[2] or m[5]
             if name is None:
                 continue
             name, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if name in _RAW_ENDS and not ending and not attributes.endswith("/"):
+            if name in _RAW_ENDS and not ending and not (skipping == "svg" and attributes.endswith("/")):
                 if name == "textarea" and not skipping:
                     self.inputs[stack[-1]] += 1
+                if in_head and name not in _IN_HEAD:
+                    in_head = False
                 raw_end = _RAW_ENDS[name].search(html, at)
                 at = raw_end.end() if raw_end else len(html)
                 continue
             if skipping:
-                if ending and name == skipping:
-                    skipping = ""
+                if not ending:
+                    if name == skipping and name in _NESTED:
+                        kinds += not attributes.endswith("/")
+                    elif name == skipping and had_block:
+                        transparent.add(skipping)
+                        skipping, at = "", begin
+                    elif name == skipping:  # a second one ends the first
+                        begin = at
+                    elif name in BLOCKS and name not in VOID:
+                        inner[name] += 1
+                        had_block = True
+                    continue
+                if name == skipping:
+                    kinds -= 1
+                    skipping = skipping if kinds else ""
+                    continue
+                if inner[name]:
+                    inner[name] -= 1
+                    continue
+                if name not in names and name != "html":
+                    continue
+                if had_block:  # what stands around it ends, and it had no end: it is read again as if it weren't there
+                    transparent.add(skipping)
+                    skipping, at = "", begin
+                    continue
+                skipping = ""
+            if name == "head":
+                in_head = not ending and len(self.tag) == self.roots[-1] + 1
                 continue
-            if name in SKIPPED:
+            if in_head and name != "html":
+                if name in _IN_HEAD and name not in SKIPPED or ending and name not in ("body", "br"):
+                    continue
+                in_head = name in _IN_HEAD
+            if name in SKIPPED and name not in transparent:
                 if not ending and not attributes.endswith("/"):
-                    skipping = name
+                    skipping, kinds, begin, had_block = name, 1, at, False
+                    inner.clear()
                     if name in ("select", "button"):
                         self.inputs[stack[-1]] += 1
                 continue
@@ -176,7 +226,7 @@ class Forest:
                 close(_DEEPEST - 1)
             self._open(name, attributes, stack, children)
             names.append(name)
-        if at < len(html) and not skipping:
+        if at < len(html) and not skipping:  # a head that still is open has no text
             pieces.append(unescape(html[at:]))
         flush()
         close(0)
@@ -271,7 +321,7 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     handled one by one, so repeated rows have equal results. An empty table
     gives no rows; columns named like the new ones are replaced, others stay.
     """
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
     model = model or per_process("html trees", learn)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

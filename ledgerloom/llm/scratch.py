@@ -11,6 +11,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,14 +34,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
-_OPEN: list[list[str]] = []
+#: The tables stored since each ``discarding`` that is open in this thread, which other threads don't see.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     path = fresh_path(df.sparkSession, name)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,17 +51,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Deletes the tables that are ``stored`` meanwhile, but for those that are stored by the function it gives: an operator's result may read these."""
     kept: set[str] = set()
-    _OPEN.append([])
+    made: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), made))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = stored(df, name)
-        kept.add(_OPEN[-1][-1])
+        kept.add(made[-1])
         return out
 
     try:
         yield keep
     finally:
-        for path in set(_OPEN.pop()) - kept:
+        _OPEN.reset(token)
+        for path in set(made) - kept:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -89,12 +93,13 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     return home.held
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
-    """What every operator with Python tasks begins with: scans are pinned, and Arrow batches hold at most ``most_bytes``, or one row.
+def small_batches(spark: SparkSession) -> None:
+    """What every operator with Python tasks begins with: scans are pinned, and Arrow batches hold at most 4 MB, or one row.
 
     Both stay set, since the operators' results are read after they have returned. A smaller bound of the session stays.
     """
     pin_scans(spark)
+    most_bytes = 4 << 20
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     bound = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
     if not bound or not 0 < int(bound[1]) <= most_bytes:
