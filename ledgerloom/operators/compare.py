@@ -53,3 +53,13 @@ def glob_pattern(glob: str) -> str:
         else:
             out += c if c.isalnum() or c in "_ " else "\\" + c if ord(c) < 128 else c
     return rf"(?s)\A{out}\z"
+
+
+def worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each worked out once a row, however often what follows names it.
+
+    A later projection would otherwise put the expression in place of the name
+    everywhere, and conditions don't share what is in their branches.
+    """
+    own = F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return rows.select(*(F.col(c) for c in rows.columns if c not in columns), own)

@@ -5,7 +5,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.compare import ladder
+from ledgerloom.operators.compare import ladder, worked_out
 
 _MOST = str(2**64 - 1)
 
@@ -33,23 +33,25 @@ def spans(tensors: DataFrame, types: Mapping[str, tuple[int, int]]) -> DataFrame
     first = unsigned(F.col("payload_start").cast("decimal(20,0)") + F.col("offset").cast("decimal(20,0)"))
     row_bytes = F.expr("element_at(dims, 1) div block_elements") * F.col("block_bytes")
     length = checked_product(F.concat(F.array(row_bytes.cast("bigint")), F.slice("dims", 2, F.greatest(F.size("dims") - 1, F.lit(0)))))
-    base = tensors.withColumn("block_elements", known(0).cast("bigint")).withColumn("block_bytes", known(1).cast("bigint")).withColumn("first", first)
+    base = worked_out(tensors, block_elements=known(0).cast("bigint"), block_bytes=known(1).cast("bigint"), first=first)
     usable = (F.size("dims") > 0) & F.forall("dims", lambda d: d > 0)
-    sized = base.withColumn("n_bytes", F.when(usable & F.col("block_elements").isNotNull(), length)).withColumn("last", unsigned(F.col("first") + F.col("n_bytes")))
+    sized = worked_out(base, n_bytes=F.when(usable & F.col("block_elements").isNotNull(), length))
+    ended = worked_out(sized, last=unsigned(F.col("first") + F.col("n_bytes")))
     rungs = [
         ("invalid", ~usable), ("overflow", F.col("first").isNull()), ("invalid", F.col("first") > F.col("file_size")), ("unsupported", F.col("block_elements").isNull()),
         ("invalid", F.element_at("dims", 1) % F.col("block_elements") != 0), ("overflow", F.col("n_bytes").isNull() | F.col("last").isNull()), ("invalid", F.col("n_bytes") == 0), ("bounded", F.col("last") <= F.col("file_size")),
     ]
-    return sized.withColumn("span", ladder(rungs, "invalid")).drop("block_elements", "block_bytes", "n_bytes")
+    return worked_out(ended, span=ladder(rungs, "invalid")).drop("block_elements", "block_bytes", "n_bytes")
 
 
 def shard_results(shards: DataFrame, tensors: DataFrame, shard: str) -> DataFrame:
     """(shard, n_tensors, n_overlaps, result) of all shards: spans that start before the one before them ends, of neighbours among the bounded ones, and the worst span."""
-    order = Window.partitionBy(shard).orderBy("first", "last", "name")
-    bounded = tensors.where("span = 'bounded'").withColumn("overlap", F.coalesce(F.col("first") < F.lag("last").over(order), F.lit(False))).groupBy(shard).agg(F.count_if("overlap").alias("n_overlaps"))
+    bounded = F.col("span") == "bounded"
+    order = Window.partitionBy(shard, bounded).orderBy("first", "last", "name")
     has = lambda *names: F.bool_or(F.col("span").isin(*names))
-    sums = tensors.groupBy(shard).agg(F.count("*").alias("n_tensors"), has("invalid", "overflow").alias("bad"), has("unsupported").alias("unknown"))
-    both = shards.select(shard).join(sums, shard, "left").join(bounded, shard, "left")
+    sums = tensors.withColumn("overlap", bounded & F.coalesce(F.col("first") < F.lag("last").over(order), F.lit(False))).groupBy(shard)
+    sums = sums.agg(F.count("*").alias("n_tensors"), F.count_if("overlap").alias("n_overlaps"), has("invalid", "overflow").alias("bad"), has("unsupported").alias("unknown"))
+    both = shards.select(shard).join(sums, shard, "left")
     rungs = [("no_tensors", F.col("n_tensors").isNull()), ("invalid", F.col("bad")), ("unsupported", F.col("unknown"))]
     return both.select(shard, F.coalesce("n_tensors", F.lit(0)).alias("n_tensors"), F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"), ladder(rungs, "bounded").alias("result"))
 

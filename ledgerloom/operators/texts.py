@@ -1,13 +1,14 @@
-"""Texts as evidence: findings with offsets, portable paths, lint of publications, canonical JSON, identities."""
+"""Texts as evidence: findings with offsets, lint of publications, canonical JSON, identities."""
 
 import json
-import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.written import written
+
 #: Patterns of a scan over lower-case text, each with category, severity and whether what it finds is redacted.
 SCAN = (
     (r"begin (?:rsa |ec |openssh )?private key", "PRIVATE_KEY_MATERIAL_PATTERN", "CRITICAL", True),
@@ -40,47 +41,6 @@ def scanned(rows: DataFrame, key: str, text: str, patterns: Sequence[tuple] = SC
     return placed.select(key, "pattern", (F.col("upto") - length).cast("long").alias("offset"), length.cast("long").alias("length"), of(1).alias("category"), of(2).alias("severity"), shown.alias("excerpt"))
 
 
-#: Names that some platforms reserve.
-RESERVED = frozenset(["con", "prn", "aux", "nul", *(f"com{k}" for k in range(1, 10)), *(f"lpt{k}" for k in range(1, 10))])
-
-
-def path_fault(path: str | None, most: int = 1024, most_component: int = 255) -> str | None:
-    """Why a path is not portable, or nothing."""
-    if not path or len(path) > most or unicodedata.normalize("NFC", path) != path:
-        return "EMPTY_LONG_OR_NOT_NFC"
-    if path.startswith("/") or (len(path) > 1 and path[0].isascii() and path[0].isalpha() and path[1] == ":") or "://" in path or "\\" in path:
-        return "ABSOLUTE_OR_ALTERNATE"
-    if any(ord(c) < 32 or ord(c) == 127 or 0xD800 <= ord(c) <= 0xDFFF or ord(c) & 0xFFFF in (0xFFFE, 0xFFFF) for c in path):
-        return "CONTROL_OR_NONCHARACTER"
-    for part in path.split("/"):
-        if part in ("", ".", "..") or len(part) > most_component or part.endswith((" ", ".")):
-            return "COMPONENT"
-        if part.split(".", 1)[0].casefold() in RESERVED or ":" in part:
-            return "RESERVED"
-    return None
-
-
-def checked_path(path: Column) -> Column:
-    """A struct (fault, folded): the fault of a path, and its form without case in which portable paths may not meet."""
-
-    def run(paths: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fault": [path_fault(p) for p in paths], "folded": [None if p is None else unicodedata.normalize("NFC", p).casefold() for p in paths]}, dtype=object)
-
-    return F.pandas_udf(run, "fault string, folded string")(path)
-
-
-def path_findings(paths: DataFrame, scope: str, path: str) -> DataFrame:
-    """(scope, path, n, finding) of the distinct paths of each scope: a fault of its own, DUPLICATE, COLLISION with another in all but case, PREFIX_CONFLICT if another has it as a folder, or OK."""
-    own = paths.groupBy(scope, path).agg(F.count("*").alias("n")).withColumn("x", checked_path(F.col(path))).select(scope, path, "n", "x.fault", "x.folded")
-    crowded = own.groupBy(scope, "folded").agg(F.count("*").alias("n_folded"))
-    parts = F.split(path, "/")
-    above = own.select(scope, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), k), "/")))).alias("folder"))
-    folders = above.where("folder is not null").distinct().select(F.col(scope).alias("f_scope"), "folder")
-    both = own.join(crowded, [scope, "folded"]).join(folders, (F.col(scope) == F.col("f_scope")) & (F.col(path) == F.col("folder")), "left")
-    finding = F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("n") > 1, "DUPLICATE").when(F.col("n_folded") > 1, "COLLISION").when(F.col("folder").isNotNull(), "PREFIX_CONFLICT").otherwise("OK")
-    return both.select(scope, path, "n", finding.alias("finding"))
-
-
 def linted(rows: DataFrame, key: str, text: str, claims: DataFrame, forbidden: Sequence[str], boast: str, negation: str) -> DataFrame:
     """(key, finding) of texts against a register of claims (claim): unknown claims (UNKNOWN:id), forbidden phrases and boasts in lines that don't negate them, credentials."""
     found = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"CLAIM-[0-9]{3}"), F.lit(0)))).alias("claim")).join(claims, "claim", "left_anti")
@@ -127,10 +87,38 @@ def identified(rows: DataFrame, columns: Sequence[str], id_: str, prefix: str, d
     return named.withColumn(digest, F.sha2(body(id_), 256))
 
 
+def json_leaves(documents: DataFrame, key: str, text: str, most_depth: int = 32) -> DataFrame:
+    """(key, name, value) of the leaves of JSON documents, at any depth: ``name`` is the nearest name above a leaf, so that an array's members have the array's.
+
+    Texts are parsed once, in the JVM; then a level at a time is opened, as many as
+    the deepest document has. What is no JSON, or repeats a name, gives one row with
+    the name ``!`` and no value, and so does a document that goes deeper than
+    ``most_depth``.
+    """
+    parsed = written(documents.select(F.col(key).alias("key"), F.try_parse_json(text).alias("x")), "parsed")
+    wrong = parsed.where("x is null").select("key", F.lit("!").alias("name"), F.lit(None).cast("string").alias("value"))
+    level, leaves, depth = parsed.where("x is not null").select("key", F.lit("").alias("name"), "x"), [wrong], 0
+    while not level.isEmpty():
+        kind = F.schema_of_variant("x")
+        inner = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        known = level.withColumn("kind", kind)
+        leaves.append(known.where(~inner).select("key", "name", F.try_variant_get("x", "$", "string").alias("value")))
+        below = known.where(inner)
+        if depth == most_depth:
+            leaves.append(below.select("key", F.lit("!").alias("name"), F.lit(None).cast("string").alias("value")).distinct())
+            break
+        opened = documents.sparkSession.sql("SELECT b.key, coalesce(e.key, b.name) AS name, e.value AS x FROM {below} b, LATERAL variant_explode(b.x) AS e", below=below)
+        level, depth = written(opened, "json-level"), depth + 1
+    out = leaves[0]
+    for part in leaves[1:]:
+        out = out.union(part)
+    return out
+
+
 def references(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(src, dst) of the references in JSON documents: every string under a key that ends in ``_id`` or ``_ref``, at any depth, to another document than its own."""
-    flat = documents.select(F.col(key).alias("src"), F.explode(F.regexp_extract_all(text, F.lit(r'"[A-Za-z0-9_]*_(?:id|ref)"\s*:\s*"([^"\\]+)"'), F.lit(1))).alias("dst"))
-    return flat.where("src <> dst").distinct()
+    """(src, dst) of the references in JSON documents: every string under a name that ends in ``_id`` or ``_ref``, at any depth and in arrays, to another document than its own."""
+    leaves = json_leaves(documents, key, text).where(F.col("name").rlike("_(?:id|ref)$") & F.col("value").isNotNull())
+    return leaves.select(F.col("key").alias("src"), F.col("value").alias("dst")).where("src <> dst").distinct()
 
 
 def utc(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.compare import ladder
-from ledgerloom.operators.graphs import ring_members
+from ledgerloom.operators.components import ring_members
 
 #: The form of a recorded time.
 UTC_TIME = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z"

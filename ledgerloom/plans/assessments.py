@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values
-from ledgerloom.operators import assess, graphs
+from ledgerloom.operators import assess, components, graphs
 from ledgerloom.operators import compare as cmp
-from ledgerloom.operators.written import ranked
+from ledgerloom.operators.written import ranked, written
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.streaming import claims
 
@@ -113,7 +113,19 @@ def acyclic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that no topological order can place: chains of successors that lead into rings."""
     suppliers = table(spark, sf_dir, "supplier")
     edges = suppliers.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 2 % suppliers.agg(F.count("*")).scalar()).alias("dst"))
-    return graphs.unplaceable(edges)
+    return components.unplaceable(edges)
+
+
+@query(f"""WITH RECURSIVE e AS ({_SUCCESSORS} UNION SELECT s_suppkey, s_suppkey - 3 FROM supplier WHERE s_suppkey % 11 = 5), w AS (SELECT src AS origin, dst AS node FROM e UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, least(node, coalesce((SELECT min(x.node) FROM w x JOIN w y ON x.node = y.origin AND y.node = x.origin WHERE x.origin = n.node), node)) AS component, EXISTS (SELECT 1 FROM w WHERE origin = n.node AND w.node = n.node) AS ring FROM n""")
+def dependency_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongly connected component of each node, by its least node, and whether it is a ring."""
+    suppliers = table(spark, sf_dir, "supplier")
+    forward = suppliers.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 2 % suppliers.agg(F.count("*")).scalar()).alias("dst"))
+    back = suppliers.where("s_suppkey % 11 = 5").select("s_suppkey", F.col("s_suppkey") - 3)
+    found = written(components.components(forward.union(back)), "components")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"), "ring")
 
 
 _DELEGATIONS = "SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent, s_acctbal >= 0 AS valid FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, true FROM nation"

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import attestations, graphs, numeric, texts
+from ledgerloom.operators import attestations, components, numeric, paths, texts
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql, one_of, one_of_sql
 
@@ -115,21 +115,23 @@ def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.scanned(table(spark, sf_dir, "pages"), "page_id", "html", _SCAN).withColumnRenamed("offset", "offset_")
 
 
-_PATHS = """p AS (SELECT page_id, page_id % 10 AS scope, CASE page_id % 12 WHEN 0 THEN '/abs/' || page_id WHEN 1 THEN 'a/../' || page_id WHEN 2 THEN 'con.txt' WHEN 3 THEN 'Dir/File' WHEN 4 THEN 'dir/file' WHEN 5 THEN 'dir' WHEN 6 THEN '' WHEN 7 THEN 'x' || chr(9) || page_id WHEN 8 THEN 'c:' || page_id WHEN 9 THEN 'ok/' || page_id || '/leaf' WHEN 10 THEN 'end./' || page_id ELSE 'ok/' || page_id END AS path FROM pages)"""
+_PATHS = """p AS (SELECT 'page' AS scope, url AS path FROM pages UNION ALL SELECT 'site', regexp_replace(url, '^[a-z]+://[^/]*/', '') FROM pages UNION ALL SELECT 'host', regexp_extract(url, '^[a-z]+://(.*?)[?#]?[^?#/]*$', 1) FROM pages
+UNION ALL SELECT source, array_to_string(string_split(text, ' ')[1:length(text) % 4 + 1], '/') FROM documents)"""
 
 
-@query(f"""WITH {_PATHS}, o AS (SELECT scope, path, count(*) AS n FROM p GROUP BY 1, 2),
-f AS (SELECT *, CASE WHEN path = '' THEN 'EMPTY_LONG_OR_NOT_NFC' WHEN path LIKE '/%' OR regexp_matches(path, '^[A-Za-z]:') THEN 'ABSOLUTE_OR_ALTERNATE' WHEN contains(path, chr(9)) THEN 'CONTROL_OR_NONCHARACTER' WHEN contains(path, '..') OR contains(path, './') THEN 'COMPONENT' WHEN path = 'con.txt' THEN 'RESERVED' END AS fault, lower(path) AS folded FROM o)
-SELECT scope, path, n, CASE WHEN fault IS NOT NULL THEN fault WHEN n > 1 THEN 'DUPLICATE' WHEN count(*) OVER (PARTITION BY scope, folded) > 1 THEN 'COLLISION' WHEN EXISTS (SELECT 1 FROM o WHERE o.scope = f.scope AND starts_with(o.path, f.path || '/')) THEN 'PREFIX_CONFLICT' ELSE 'OK' END AS finding FROM f""")
+@query(f"""WITH {_PATHS}, o AS (SELECT scope, path, count(*) AS n, string_split(path, '/') AS parts, lower(path) AS folded FROM p GROUP BY scope, path),
+f AS (SELECT *, CASE WHEN path = '' OR path IS NULL THEN 'EMPTY' WHEN length(path) > 1024 THEN 'TOO_LONG' WHEN nfc_normalize(path) <> path THEN 'NOT_COMPOSED' WHEN parts[1] = '' THEN 'ROOTED' WHEN regexp_matches(path, '^[A-Za-z]:') THEN 'DRIVE' WHEN contains(path, '://') THEN 'SCHEME' WHEN contains(path, '\\') THEN 'BACKSLASH'
+WHEN len(list_filter(string_split(path, ''), lambda c: unicode(c) < 32 OR unicode(c) = 127)) > 0 THEN 'CONTROL' WHEN list_contains(parts, '') THEN 'EMPTY_PART' WHEN list_has_any(parts, ['.', '..']) THEN 'DOTS' WHEN len(list_filter(parts, lambda x: length(x) > 255)) > 0 THEN 'LONG_PART'
+WHEN len(list_filter(parts, lambda x: x[-1] IN (' ', '.'))) > 0 THEN 'BLURRED_END' WHEN list_has_any(list_transform(parts, lambda x: lower(string_split(x, '.')[1])), ['con', 'prn', 'aux', 'nul'] || list_transform(range(1, 10), lambda k: 'com' || k) || list_transform(range(1, 10), lambda k: 'lpt' || k)) THEN 'RESERVED' WHEN contains(path, ':') THEN 'COLON' END AS fault FROM o),
+d AS (SELECT DISTINCT scope, unnest(list_transform(range(1, len(parts)), lambda k: array_to_string(parts[1:k], '/'))) AS folder FROM o)
+SELECT f.scope, path, n, coalesce(fault, CASE WHEN n > 1 THEN 'DUPLICATE' WHEN count(*) OVER (PARTITION BY f.scope, folded) > 1 THEN 'COLLISION' WHEN folder IS NOT NULL THEN 'PREFIX_CONFLICT' ELSE 'OK' END) AS finding FROM f LEFT JOIN d ON d.scope IS NOT DISTINCT FROM f.scope AND d.folder = f.path""")
 def portable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths that are not portable, repeat, meet in all but case, or are folders of others."""
-    k, said = F.col("page_id"), lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
-    forms = [said("/abs/", k), said("a/../", k), F.lit("con.txt"), F.lit("Dir/File"), F.lit("dir/file"), F.lit("dir"), F.lit(""), said("x\t", k), said("c:", k), said("ok/", k, "/leaf"), said("end./", k)]
-    path = F.lit(None).cast("string")
-    for n, form in enumerate(forms):
-        path = F.when(k % 12 == n, form).otherwise(path)
-    rows = table(spark, sf_dir, "pages").select((k % 10).alias("scope"), F.coalesce(path, said("ok/", k)).alias("path"))
-    return texts.path_findings(rows, "scope", "path")
+    """Addresses of pages, whole and in parts, and the first words of documents, as paths: which are not portable, repeat, meet in all but case, or are folders of others."""
+    url, pages, docs = F.col("url"), table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    forms = {"page": url, "site": F.regexp_replace(url, "^[a-z]+://[^/]*/", ""), "host": F.regexp_extract(url, "^[a-z]+://(.*?)[?#]?[^?#/]*$", 1)}
+    rows = pages.select(F.explode(F.array(*(F.struct(F.lit(scope).alias("scope"), path.alias("path")) for scope, path in forms.items()))).alias("x")).select("x.*")
+    first = F.array_join(F.slice(F.split("text", " "), F.lit(1), F.char_length("text") % 4 + 1), "/")
+    return paths.path_findings(rows.union(docs.select("source", first)), "scope", "path")
 
 
 @query(f"""WITH t AS (SELECT conv_id, string_agg(coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' see CLAIM-' || lpad((conv_id % 400)::VARCHAR, 3, '0') ELSE ' no benchmark' END, chr(10) ORDER BY turn, role, text) AS x FROM conversations GROUP BY 1), c AS (SELECT 'CLAIM-' || lpad(n_nationkey::VARCHAR, 3, '0') AS claim FROM nation),
@@ -175,16 +177,24 @@ def object_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.identified(rows, ["name", "nation"], "object_id", "supplier_", "object_digest").select("s_suppkey", "object_id", "object_digest")
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'd' || s_suppkey AS src, 'd' || (s_suppkey + 1) AS dst FROM supplier WHERE s_suppkey % 7 > 0 UNION SELECT 'd' || s_suppkey, 'd' || (s_suppkey - 3) FROM supplier WHERE s_suppkey % 31 = 5),
+@query("""WITH RECURSIVE e AS (SELECT 'd"' || s_suppkey AS src, 'd"' || (s_suppkey + 1) AS dst FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 17 <> 3 UNION SELECT 'd"' || s_suppkey, 'd"' || (s_suppkey - k) FROM supplier, (VALUES (3), (5)) v(k) WHERE s_suppkey % 31 = 5 AND s_suppkey % 17 <> 3),
 w AS (SELECT src AS origin, dst AS node FROM e UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT DISTINCT node FROM w WHERE origin IN (SELECT origin FROM w WHERE origin = node)""")
 def reference_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References read out of nested JSON documents: what no order of them can place."""
-    name = lambda c: F.concat(F.lit('"d'), c.cast("string"), F.lit('"'))
+    """References read out of nested JSON documents, with escapes in names and values, in arrays, and some that are broken: what no order of them can place."""
+    name = lambda c: F.concat(F.lit('"d\\u0022'), c.cast("string"), F.lit('"'))
     k = F.col("s_suppkey")
-    forward = F.when(k % 7 > 0, F.concat(F.lit(', "inner": [{"deep": {"base_ref": '), name(k + 1), F.lit("}}]"))).otherwise("")
-    back = F.when(k % 31 == 5, F.concat(F.lit(', "parent_id" : '), name(k - 3))).otherwise("")
-    documents = table(spark, sf_dir, "supplier").select(F.concat(F.lit("d"), k.cast("string")).alias("id"), F.concat(F.lit('{"own_id": '), name(k), forward, back, F.lit("}")).alias("text"))
-    return graphs.unplaceable(texts.references(documents, "id", "text"))
+    forward = F.when(k % 7 > 0, F.concat(F.lit(', "inner": [{"deep": {"base\\u005fref": '), name(k + 1), F.lit("}}]"))).otherwise("")
+    back = F.when(k % 31 == 5, F.concat(F.lit(', "parent_id" : ['), name(k - 3), F.lit(", "), name(k - 5), F.lit("]"))).otherwise("")
+    end = F.when(k % 17 == 3, "").otherwise("}")  # without its end a document says nothing
+    documents = table(spark, sf_dir, "supplier").select(F.concat(F.lit('d"'), k.cast("string")).alias("id"), F.concat(F.lit('{"own_id": '), name(k), forward, back, end).alias("text"))
+    return components.unplaceable(texts.references(documents, "id", "text"))
+
+
+@query("""SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'l', x FROM events, (VALUES ('1'), (NULL), ('true')) v(x) UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events""")
+def json_leaf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of the events' properties, and of themselves nested in an array and an object, with the nearest name above it."""
+    nested = F.concat(F.lit('{"a": ['), F.col("props"), F.lit(', {"l": [1, null, [true]]}], "b": '), F.col("props"), F.lit("}"))
+    return texts.json_leaves(table(spark, sf_dir, "events").select("event_id", nested.alias("text")), "event_id", "text").withColumnRenamed("key", "event_id")
 
 
 _SAMPLES = ("2024-02-29T10:00:00Z", "2023-02-29T10:00:00Z", "2024-01-01", "1.50", "-0", "01", "1e5", "see /home/x/y", "password: x", "plain", "a\u202eb")

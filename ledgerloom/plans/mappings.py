@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import mappings, rollups
+from ledgerloom.operators.compare import worked_out
+from ledgerloom.operators.written import written
 from ledgerloom.plans import catalogue
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql, one_of, one_of_sql
@@ -27,7 +29,8 @@ _RULES = (
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 93).alias("l"), key.alias("k"), F.col("l_partkey").alias("p"), drawn(key, "name", 10).alias("d"), drawn(key, "odd", 200).alias("odd"), (drawn(key, "pick", 3) + 1).alias("pick"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 93).alias("l"), key.alias("k"), F.col("l_partkey").alias("p"))
+    rows = worked_out(lines, d=drawn(F.col("k"), "name", 10), odd=drawn(F.col("k"), "odd", 200), pick=drawn(F.col("k"), "pick", 3) + 1)
     layer, odd, d, n = F.concat(F.lit("m.layers."), F.col("l").cast("string")), F.col("odd"), F.col("d"), F.col("l")
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), F.col("pick"))
     expert = F.when((n == 7) & (odd == 1), 9).otherwise(F.col("p") % 4).cast("string")
@@ -42,8 +45,8 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, n, class, layer, expert, component) of distinct names."""
-    distinct = _names(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"))
+    """(name, n, class, layer, expert, component) of distinct names, as a written table: the rules read it many times."""
+    distinct = written(_names(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n")), "names")
     return mappings.classified(distinct, "name", _RULES, {"layer": "int", "expert": "int", "component": "string"})
 
 

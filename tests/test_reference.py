@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values
-from ledgerloom.operators import assess, compare, evidence, graphs, sequences
+from ledgerloom.operators import assess, compare, components, evidence, graphs, paths, sequences
 from ledgerloom.operators import attestations, manifests, mappings, numeric, parity, policies, splits, structures, texts, timelines, written
 from ledgerloom.plans import assessments, catalogue  # noqa: F401
 from ledgerloom.plans import attestations as _a, manifests as _b, mappings as _c, parity as _d, policies as _e, rollups as _i, sources as _f, structures as _g, timelines as _h  # noqa: E401, F401
@@ -80,8 +80,8 @@ def test_examples_are_capped_and_counts_are_not(spark):
 
 def test_unplaceable_nodes_are_those_behind_rings(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("x", "y")], "src string, dst string")
-    assert {r.node for r in graphs.unplaceable(edges).collect()} == {"b", "c", "d"}
-    assert graphs.unplaceable(edges.where("src in ('a', 'x')")).count() == 0
+    assert {r.node for r in components.unplaceable(edges).collect()} == {"b", "c", "d"}
+    assert components.unplaceable(edges.where("src in ('a', 'x')")).count() == 0
 
 
 def test_trust_paths_prefer_scope_then_nearness(spark):
@@ -219,8 +219,8 @@ def test_ranks_dealt_by_ranges(spark):
 
 def test_rings_of_successors(spark):
     rows = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, None), (7, 7), (8, 9)]
-    assert sorted(r.node for r in graphs.ring_members(spark.createDataFrame(rows, "node int, next int")).collect()) == [1, 2, 3, 7]
-    assert graphs.ring_members(spark.createDataFrame([], "node int, next int")).count() == 0
+    assert sorted(r.node for r in components.ring_members(spark.createDataFrame(rows, "node int, next int")).collect()) == [1, 2, 3, 7]
+    assert components.ring_members(spark.createDataFrame([], "node int, next int")).count() == 0
 
 
 def states(spark, column, rows, schema):
@@ -304,8 +304,10 @@ def test_texts(spark):
     rows = [(1, 'A\nos.system ( "x") and OS.SYSTEM(1) é X-Amz-Key'), (2, ""), (3, None)]
     got = [(r.k, r.offset, r.length, r.category, r.excerpt) for r in texts.scanned(spark.createDataFrame(rows, "k int, t string"), "k", "t").orderBy("offset").collect()]
     assert got == [(1, 2, 11, "SHELL_EXECUTION_PATTERN", "os.system ("), (1, 23, 10, "SHELL_EXECUTION_PATTERN", "os.system("), (1, 38, 9, "SIGNED_URL_PATTERN", "<redacted:9>")]
-    faults = {"a/b": None, "": "EMPTY_LONG_OR_NOT_NFC", "e\u0301": "EMPTY_LONG_OR_NOT_NFC", "/a": "ABSOLUTE_OR_ALTERNATE", "c:/x": "ABSOLUTE_OR_ALTERNATE", "a//b": "COMPONENT", "a/.": "COMPONENT", "b ": "COMPONENT", "x/NUL.txt": "RESERVED", "d/a:b": "RESERVED", "a\x07": "CONTROL_OR_NONCHARACTER", "a" * 2000: "EMPTY_LONG_OR_NOT_NFC"}
-    assert {p: texts.path_fault(p) for p in faults} == faults
+    faults = {"a/b": None, "": "EMPTY", "e\u0301": "NOT_COMPOSED", "/a": "ROOTED", "c:/x": "DRIVE", "a//b": "EMPTY_PART", "a/": "EMPTY_PART", "a/.": "DOTS", "../a": "DOTS", "...x/a": None, "b ": "BLURRED_END", "x./a": "BLURRED_END", "x/NUL.txt": "RESERVED", "nul": "RESERVED", "nully": None, "con .x": None, "d/a:b": "COLON", "a\x07": "CONTROL", "a\n": "CONTROL", "a" * 2000: "TOO_LONG", "a" * 256: "LONG_PART", "\ufffe": "NO_CHARACTER", "\U0010ffff": "NO_CHARACTER", "x://y": "SCHEME", "a\\b": "BACKSLASH"}
+    got = {r.p: r.fault for r in paths.judged(spark.createDataFrame([(p,) for p in faults], "p string"), "p").collect()}
+    assert got == faults
+    assert {r.folded for r in paths.judged(spark.createDataFrame([("Stra\u00dfe",), ("A",), (None,)], "p string"), "p").collect()} == {"strasse", "a", None}
     times = [("2024-02-29T00:00:00Z", True), ("2023-02-29T00:00:00Z", False), ("2024-01-01 00:00:00", False), (None, False)]
     assert [r[0] for r in spark.createDataFrame(times, "t string, w boolean").select(texts.utc(F.col("t"))).collect()] == [w for _, w in times]
     shown = spark.createDataFrame([("a\u202eb\x00",)], "t string").select(texts.escaped(F.col("t"))).first()[0]
