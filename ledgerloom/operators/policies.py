@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.compare import ladder
 
 
-REQUIREMENT = "requirement_id string, category string, schemas array<string>, statuses array<string>, min_signatures int, freshness bigint, optional boolean, reviewable boolean, allow_limited boolean, severity string"
+REQUIREMENT = (
+    "requirement_id string, category string, schemas array<string>, statuses array<string>, min_signatures int, freshness bigint, optional boolean, reviewable boolean, allow_limited boolean, severity string, "
+    "modes array<string>, roles array<string>, strength string, custody string, lifecycle array<string>"
+)
 
 
 def requirement_outcomes(requirements: Sequence[tuple], evidence: DataFrame, subjects: DataFrame, subject: str, reserved: Sequence[str]) -> DataFrame:
     """(subject, requirement_id, n_accepted, outcome, blocking, reviewable, optional) of every requirement for every subject (subject, evaluated_at).
 
-    Requirements are rows of ``REQUIREMENT``, where an empty array accepts all and
-    a null freshness asks for none; evidence has (subject, category, schema,
-    status, available, exempts, produced, observed_at, limited). ``exempts`` marks
+    Requirements are rows of ``REQUIREMENT``. Of schemas and statuses an empty array
+    accepts all; of verification modes only those that are named are accepted; all
+    of ``roles`` have to be among a signer's and all of ``lifecycle`` among the
+    events that evidence covers; a null freshness, strength or custody asks for
+    none. Evidence has (subject, category, schema, status, available, exempts,
+    produced, observed_at, limited, mode, roles, strength, custody, lifecycle). ``exempts`` marks
     policy evidence that a requirement does not apply, ``produced`` what a strict
     adapter made; categories that need none carry true. A policy's requirements
     ride along with each subject as one array.
@@ -28,7 +34,15 @@ def requirement_outcomes(requirements: Sequence[tuple], evidence: DataFrame, sub
     asked = subjects.select(subject, "evaluated_at", F.explode(listed).alias("x")).select(subject, "evaluated_at", "x.*")
     own = asked.join(evidence, (asked[subject] == evidence[subject]) & (F.col("r_category") == F.col("category"))).select(asked["*"], *(evidence[c] for c in evidence.columns if c != subject))
     fits = (F.size("r_schemas") == 0) | F.array_contains("r_schemas", F.col("schema"))
-    accepted = fits & ((F.size("r_statuses") == 0) | F.array_contains("r_statuses", F.col("status")))
+    held = lambda asked, there: F.size(F.array_except(asked, F.coalesce(there, F.array().cast("array<string>")))) == 0
+    equal = lambda c: F.col(f"r_{c}").isNull() | F.col(f"r_{c}").eqNullSafe(F.col(c))
+    conditions = {
+        "status": (F.size("r_statuses") == 0) | F.array_contains("r_statuses", F.col("status")), "mode": F.array_contains("r_modes", F.col("mode")), "roles": held(F.col("r_roles"), F.col("roles")),
+        "strength": equal("strength"), "custody": equal("custody"), "lifecycle": held(F.col("r_lifecycle"), F.col("lifecycle")),
+    }
+    accepted = F.coalesce(fits, F.lit(False))
+    for condition in conditions.values():
+        accepted = accepted & F.coalesce(condition, F.lit(False))
     age = F.unix_timestamp("evaluated_at") - F.unix_timestamp("observed_at")
     any_of = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
     sums = own.groupBy(subject, "r_requirement_id").agg(

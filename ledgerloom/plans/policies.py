@@ -1,28 +1,38 @@
 """Queries over evidence and approvals: users' events are evidence, orders are requests, lines are approvals by suppliers."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import policies
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql, one_of, one_of_sql
 
-#: Requirements of one policy: id, category, schemas, statuses, signatures, freshness in seconds, optional, reviewable, allowed with limitations, severity.
+#: Requirements of one policy: id, category, schemas, statuses, signatures, freshness in seconds, optional, reviewable, allowed with limitations, severity, verification modes, signers' roles, strength, custody, lifecycle events.
+_MODES = ("FULL", "LINKED")
 _REQUIREMENTS = (
-    ("r1", "view", ("s1", "s2"), ("TRUSTED",), 2, 86_400 * 20, False, False, False, "BLOCKING"),
-    ("r2", "click", (), (), 1, None, False, True, True, "WARNING"),
-    ("r3", "purchase", ("s1",), ("TRUSTED", "UNKNOWN"), 0, None, True, False, False, "BLOCKING"),
-    ("r4", "refund", (), ("TRUSTED",), 3, None, False, True, False, "WARNING"),
-    ("r5", "error", (), (), 1, 86_400 * 29, True, True, True, "WARNING"),
-    ("r6", "future", (), (), 1, None, True, False, False, "BLOCKING"),
-    ("r7", "view", (), (), 1, None, False, True, False, "WARNING"),
+    ("r1", "view", ("s1", "s2"), ("TRUSTED",), 2, 86_400 * 20, False, False, False, "BLOCKING", _MODES, (), None, None, ()),
+    ("r2", "click", (), (), 1, None, False, True, True, "WARNING", ("FULL",), (), None, None, ()),
+    ("r3", "purchase", ("s1",), ("TRUSTED", "UNKNOWN"), 0, None, True, False, False, "BLOCKING", _MODES, ("OWNER",), None, None, ()),
+    ("r4", "refund", (), ("TRUSTED",), 3, None, False, True, False, "WARNING", _MODES, (), "STRONG", None, ()),
+    ("r5", "error", (), (), 1, 86_400 * 29, True, True, True, "WARNING", _MODES, (), None, "VALID", ()),
+    ("r6", "future", (), (), 1, None, True, False, False, "BLOCKING", _MODES, (), None, None, ()),
+    ("r7", "view", (), (), 1, None, False, True, False, "WARNING", _MODES, (), None, None, ("BUILT", "SIGNED")),
+    ("r8", "signup", (), (), 1, None, False, True, True, "WARNING", _MODES, ("OWNER", "REVIEWER"), "STRONG", "VALID", ("SIGNED",)),
+    ("r9", "signup", (), (), 1, None, True, True, True, "WARNING", (), (), None, None, ()),
 )
+_EVIDENCE_MODES = ("FULL",) * 6 + ("LINKED", "DECLARED")
 _SCHEMAS, _TRUST = ("s1", "s1", "s2", "s3"), ("TRUSTED",) * 40 + ("UNKNOWN",) * 10 + ("BROKEN", "REVOKED")
 _EVIDENCE = f"""e AS (SELECT user_id, event_type AS category, {one_of_sql("event_id", "schema", *_SCHEMAS)} AS schema, CASE WHEN user_id % 3 = 0 THEN 'TRUSTED' ELSE {one_of_sql("event_id", "trust", *_TRUST)} END AS status, user_id % 3 = 0 OR {drawn_sql("event_id", "there", 60)} > 0 AS available,
-{drawn_sql("event_id", "exempt", 150)} = 0 AS exempts, event_type <> 'refund' OR user_id % 5 > 0 AS produced, CASE WHEN user_id % 7 > 0 OR {drawn_sql("event_id", "timed", 20)} > 0 THEN ts END AS observed_at, {drawn_sql("event_id", "limited", 30)} = 0 AS limited
+{drawn_sql("event_id", "exempt", 150)} = 0 AS exempts, event_type <> 'refund' OR user_id % 5 > 0 AS produced, CASE WHEN user_id % 7 > 0 OR {drawn_sql("event_id", "timed", 20)} > 0 THEN ts END AS observed_at, {drawn_sql("event_id", "limited", 30)} = 0 AS limited,
+{one_of_sql("event_id", "mode", *_EVIDENCE_MODES)} AS mode, [['OWNER', 'REVIEWER'], ['OWNER'], NULL, ['REVIEWER', 'OWNER', 'X'], ['OWNER']][{drawn_sql("event_id", "roles", 5)} + 1] AS roles, {one_of_sql("event_id", "strength", "STRONG", "STRONG", "WEAK", None)} AS strength, {one_of_sql("event_id", "custody", "VALID", "VALID", "BROKEN", None)} AS custody,
+[['BUILT', 'SIGNED'], ['SIGNED'], [], ['SIGNED', 'BUILT', 'RELEASED']][{drawn_sql("event_id", "lifecycle", 4)} + 1] AS lifecycle
 FROM events WHERE {drawn_sql("event_id || event_type", "kept", 4)} = 0 OR user_id % 4 > 0), u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 9 > 0 THEN TIMESTAMP '2024-01-31 00:00:00' END AS evaluated_at, user_id % 2 = 0 AS needs_time FROM events)"""
 
 
+def _texts(*values: str) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
     return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.when(user % 9 > 0, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).alias("evaluated_at"), (user % 2 == 0).alias("needs_time"))
@@ -34,7 +44,8 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = rows.select(
         "user_id", F.col("event_type").alias("category"), one_of(key, "schema", *_SCHEMAS).alias("schema"), F.when(user % 3 == 0, "TRUSTED").otherwise(one_of(key, "trust", *_TRUST)).alias("status"),
         ((user % 3 == 0) | (drawn(key, "there", 60) > 0)).alias("available"), (drawn(key, "exempt", 150) == 0).alias("exempts"), ((F.col("event_type") != "refund") | (user % 5 > 0)).alias("produced"),
-        F.when((user % 7 > 0) | (drawn(key, "timed", 20) > 0), F.col("ts")).alias("observed_at"), (drawn(key, "limited", 30) == 0).alias("limited"),
+        F.when((user % 7 > 0) | (drawn(key, "timed", 20) > 0), F.col("ts")).alias("observed_at"), (drawn(key, "limited", 30) == 0).alias("limited"), one_of(key, "mode", *_EVIDENCE_MODES).alias("mode"), F.element_at(F.array(_texts("OWNER", "REVIEWER"), _texts("OWNER"), F.lit(None).cast("array<string>"), _texts("REVIEWER", "OWNER", "X"), _texts("OWNER")), drawn(key, "roles", 5) + 1).alias("roles"),
+        one_of(key, "strength", "STRONG", "STRONG", "WEAK", None).alias("strength"), one_of(key, "custody", "VALID", "VALID", "BROKEN", None).alias("custody"), F.element_at(F.array(_texts("BUILT", "SIGNED"), _texts("SIGNED"), _texts(), _texts("SIGNED", "BUILT", "RELEASED")), drawn(key, "lifecycle", 4) + 1).alias("lifecycle"),
     )
     return policies.requirement_outcomes(_REQUIREMENTS, evidence, _subjects(spark, sf_dir), "user_id", ["future"])
 
@@ -43,8 +54,8 @@ def _value(v: object) -> str:
     return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v) if isinstance(v, int) else f"{list(v)}::VARCHAR[]"
 
 
-_OUTCOME_SQL = f"""r(id, category, schemas, statuses, sigs, fresh, opt, rev, lim, sev) AS (VALUES {", ".join("(" + ", ".join(map(_value, r)) + ")" for r in _REQUIREMENTS)}),
-m AS (SELECT u.user_id, u.evaluated_at, r.*, e.user_id IS NOT NULL AS here, e.* EXCLUDE (user_id, category), e.user_id IS NOT NULL AND (len(schemas) = 0 OR list_contains(schemas, schema)) AND (len(statuses) = 0 OR list_contains(statuses, status)) AS ok FROM u CROSS JOIN r LEFT JOIN e ON e.user_id = u.user_id AND e.category = r.category),
+_OUTCOME_SQL = f"""r(id, category, schemas, statuses, sigs, fresh, opt, rev, lim, sev, modes, q_roles, q_strength, q_custody, q_events) AS (VALUES {", ".join("(" + ", ".join(map(_value, r)) + ")" for r in _REQUIREMENTS)}),
+m AS (SELECT u.user_id, u.evaluated_at, r.*, e.user_id IS NOT NULL AS here, e.* EXCLUDE (user_id, category), e.user_id IS NOT NULL AND (len(schemas) = 0 OR list_contains(schemas, schema)) AND (len(statuses) = 0 OR list_contains(statuses, status)) AND list_contains(modes, mode) AND list_has_all(coalesce(roles, []), q_roles) AND (q_strength IS NULL OR coalesce(strength = q_strength, false)) AND (q_custody IS NULL OR coalesce(custody = q_custody, false)) AND list_has_all(lifecycle, q_events) AS ok FROM u CROSS JOIN r LEFT JOIN e ON e.user_id = u.user_id AND e.category = r.category),
 g AS (SELECT user_id, id, any_value(evaluated_at) AS at_, any_value(category) AS category, any_value(sigs) AS sigs, any_value(fresh) AS fresh, any_value(opt) AS opt, any_value(rev) AS rev, any_value(lim) AS lim, any_value(sev) AS sev, count(*) FILTER (here) AS n, count(*) FILTER (ok) AS n_ok, bool_or(exempts) AS ex, bool_or(produced) AS pr, bool_and(available) AS av,
  bool_or(status = 'BROKEN') AS br, bool_or(status IN ('INVALID', 'REVOKED', 'EXPIRED')) AS iv, bool_or(ok AND observed_at IS NULL) AS tl, bool_or(ok AND epoch(evaluated_at) - floor(epoch(observed_at)) > fresh) AS old, bool_or(ok AND limited) AS li FROM m GROUP BY 1, 2),
 o AS (SELECT *, CASE WHEN n > 0 AND ex THEN 'NOT_APPLICABLE' WHEN n = 0 AND opt THEN 'NOT_CHECKED' WHEN n = 0 THEN 'MISSING' WHEN category = 'future' OR NOT pr OR NOT av THEN 'UNAVAILABLE' WHEN br THEN 'BROKEN' WHEN iv OR n_ok = 0 OR sigs > n_ok THEN 'INVALID'

@@ -58,11 +58,33 @@ def _opened(path: str):  # noqa: ANN202
 
     scheme = urlsplit(path).scheme
     if scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_stream(unquote(urlsplit(quote(path, safe=":/%")).path))
+        return fs.LocalFileSystem().open_input_stream(unquote(urlsplit(quote(path, safe=":/%")).path), buffer_size=1 << 16)
     if scheme in ("s3a", "s3n"):  # Hadoop's names of what Arrow knows as s3
         path = "s3" + path[3:]
     system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(inner)
+    return system.open_input_stream(inner, buffer_size=1 << 16)
+
+
+def tensor_rows(path: str, length: int, most_bytes: int) -> Iterator[tuple]:
+    """Rows of ``TENSORS`` of one file; only its header is read."""
+    import json
+
+    with _opened(path) as f:
+        head = f.read(8)
+        n = int.from_bytes(head, "little")
+        if len(head) < 8 or 8 + n > length:
+            yield path, length, None, None, None, None, None, None, "TRUNCATED"
+            return
+        if n > most_bytes:
+            yield path, length, n, None, None, None, None, None, "LIMIT_EXCEEDED"
+            return
+        body = f.read(n)
+    try:
+        fields = [(name, t["dtype"], [int(d) for d in t["shape"]], *map(int, t["data_offsets"])) for name, t in json.loads(body).items() if name != "__metadata__"]
+        rows = [(path, length, n, *t, None) for t in fields if len(t) == 5]
+    except (ValueError, KeyError, TypeError, AttributeError):
+        rows = [(path, length, n, None, None, None, None, None, "INVALID_HEADER")]
+    yield from rows
 
 
 def tensor_headers(spark: SparkSession, folder: str, pattern: str = "*.safetensors", most_bytes: int = 100_000_000) -> DataFrame:
@@ -72,32 +94,12 @@ def tensor_headers(spark: SparkSession, folder: str, pattern: str = "*.safetenso
     LIMIT_EXCEEDED or INVALID_HEADER and no tensor.
     """
 
-    def tensors(path: str, length: int) -> Iterator[tuple]:
-        import json
-
-        with _opened(path) as f:
-            head = f.read(8)
-            n = int.from_bytes(head, "little")
-            if len(head) < 8 or 8 + n > length:
-                yield path, length, None, None, None, None, None, None, "TRUNCATED"
-                return
-            if n > most_bytes:
-                yield path, length, n, None, None, None, None, None, "LIMIT_EXCEEDED"
-                return
-            body = f.read(n)
-        try:
-            fields = [(name, t["dtype"], [int(d) for d in t["shape"]], *map(int, t["data_offsets"])) for name, t in json.loads(body).items() if name != "__metadata__"]
-            rows = [(path, length, n, *t, None) for t in fields if len(t) == 5]
-        except (ValueError, KeyError, TypeError, AttributeError):
-            rows = [(path, length, n, None, None, None, None, None, "INVALID_HEADER")]
-        yield from rows
-
     names = [c.split()[0] for c in TENSORS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, length in zip(batch["path"], batch["length"], strict=True):
-                found = pd.DataFrame(list(tensors(path, length)), columns=names)
+                found = pd.DataFrame(list(tensor_rows(path, length, most_bytes)), columns=names)
                 yield found.astype({c: "Int64" for c in ("file_length", "header_length", "start", "end")})
 
     return listing(spark, folder, pattern).repartition("path").mapInPandas(run, TENSORS)
@@ -218,15 +220,21 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return _json_map(spark, path, None, "long").toDF("token", "id")
 
 
-def merge_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(rank, left, right) of an ordered file of merge rules; ``#version`` lines and lines that are not two words have no rank.
+def merge_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, rank, left, right) of files that are each an ordered table of merge rules; ``#version`` lines and lines that are not two words have no rank.
 
     Lines end as in Unicode text, at form feeds and line separators, too. They
-    are numbered within one file's text, so the file, not the folder, has to fit
+    are numbered within one file's text, so a file, not the folder, has to fit
     a task.
     """
     ends = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
     parts = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", ends), lambda x: (F.size(parts(x)) == 2) & ~x.startswith("#version")).alias("lines"))
-    rules = lines.select(F.posexplode("lines").alias("rank", "line")).withColumn("parts", parts(F.col("line")))
-    return rules.select("rank", F.element_at("parts", 1).alias("left"), F.element_at("parts", 2).alias("right"))
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
+    lines = texts.select("path", F.filter(F.split("value", ends), lambda x: (F.size(parts(x)) == 2) & ~x.startswith("#version")).alias("lines"))
+    rules = lines.select("path", F.posexplode("lines").alias("rank", "line")).withColumn("parts", parts(F.col("line")))
+    return rules.select("path", "rank", F.element_at("parts", 1).alias("left"), F.element_at("parts", 2).alias("right"))
+
+
+def merge_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, left, right) of one file of merge rules."""
+    return merge_tables(spark, path).drop("path")
