@@ -73,7 +73,7 @@ class HeaderReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(inner, recursive=True)) if system.get_file_info(inner).type == fs.FileType.Directory else [system.get_file_info(inner)]
         files = sorted((f"{scheme}{i.path}", i.size) for i in found if i.type == fs.FileType.File and fnmatchcase(i.base_name, pattern) and not i.base_name.startswith(("_", ".")))
         files = [f for f in files if self._keeps(self.paths, f[0])]
-        return [Files(files[k : k + many]) for k in range(0, len(files), many)]
+        return [Files(files[k : k + many]) for k in range(0, max(1, len(files)), many)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         schema, most, held = self.source.arrow, int(self.options.get("mostbytes", str(1 << 28))), []
