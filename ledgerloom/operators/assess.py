@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.compare import ladder
+from ledgerloom.operators.compare import gated, ladder
 from ledgerloom.operators.evidence import examples
 
 
@@ -22,14 +22,15 @@ def ranked_tables(reference: DataFrame, candidate: DataFrame, rank: str, item: s
 
     A rank that one side lacks is EXTRA or MISSING; where the items differ it is
     ORDER if the reference's item stands elsewhere in the candidate, else OPERAND.
-    Ranks are unique on each side.
+    A table with an item or a rank twice, or a null one, makes the two NOT_COMPARABLE, as a whole.
     """
     elsewhere = candidate.select(F.col(item).alias("there")).distinct()
     own = reference.select(F.col(rank).alias("r_rank"), F.col(item).alias("expected")).join(elsewhere, F.col("expected") == F.col("there"), "left")
     other = candidate.select(F.col(rank).alias("c_rank"), F.col(item).alias("found"))
     both = own.join(other, F.col("r_rank") == F.col("c_rank"), "full_outer")
     rungs = [("EXTRA", F.col("r_rank").isNull()), ("MISSING", F.col("c_rank").isNull()), ("MATCH", F.col("expected").eqNullSafe(F.col("found"))), ("ORDER", F.col("there").isNotNull())]
-    return both.select(F.coalesce("r_rank", "c_rank").alias(rank), "expected", "found", ladder(rungs, "OPERAND").alias("status"))
+    out = both.select(F.coalesce("r_rank", "c_rank").alias(rank), "expected", "found", ladder(rungs, "OPERAND").alias("status"))
+    return gated(out, [reference, candidate], [item, rank], "status")
 
 
 def numbered_sets(names: DataFrame, name: str) -> DataFrame:

@@ -63,3 +63,19 @@ def worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
     """
     own = F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
     return rows.select(*(F.col(c) for c in rows.columns if c not in columns), own)
+
+
+def gated(found: DataFrame, sides: Sequence[DataFrame], keys: Sequence[str], status: str) -> DataFrame:
+    """``found`` where every one of ``sides`` can be compared, else one row with ``status`` NOT_COMPARABLE and nothing else.
+
+    A side with a null in one of ``keys``, or a value of one of them twice, can't be compared.
+    """
+    bad = F.lit(False)
+    for side in sides:
+        repeated = [(F.count("*") > F.countDistinct(k)) for k in keys]  # a null is not counted as a value
+        any_of = repeated[0]
+        for r in repeated[1:]:
+            any_of = any_of | r
+        bad = bad | side.agg(any_of.alias("bad")).scalar()
+    alone = found.sparkSession.range(1).select(*((F.lit("NOT_COMPARABLE") if c == status else F.lit(None).cast(found.schema[c].dataType)).alias(c) for c in found.columns))
+    return found.where(~bad).unionByName(alone.where(bad))

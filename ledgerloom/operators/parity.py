@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.compare import ladder
+from ledgerloom.operators.compare import gated, ladder
 
 
 def ambiguity(vocabulary: DataFrame, side: str, token: str, id_: str) -> DataFrame:
@@ -26,19 +26,20 @@ def size_rule(declared: Column, observed: Column) -> Column:
 
 
 def tokens_to_ids(reference: DataFrame, candidate: DataFrame, token: str, id_: str) -> DataFrame:
-    """(token, finding) of every token of either side."""
+    """(token, finding) of every token of either side; one row NOT_COMPARABLE where a side has a token or an id twice, or a null one."""
     r, c = reference.select(F.col(token).alias("r_token"), F.col(id_).alias("r_id")), candidate.select(F.col(token).alias("c_token"), F.col(id_).alias("c_id"))
     both = r.join(c, F.col("r_token") == F.col("c_token"), "full_outer")
     rungs = [("EXTRA_CANDIDATE_TOKEN", F.col("r_token").isNull()), ("TOKEN_MISSING_FROM_CANDIDATE", F.col("c_token").isNull()), ("TOKEN_ID_MISMATCH", F.col("r_id") != F.col("c_id"))]
-    return both.select(F.coalesce("r_token", "c_token").alias(token), ladder(rungs, "TOKEN_TO_ID_MATCH").alias("finding"))
+    out = both.select(F.coalesce("r_token", "c_token").alias(token), ladder(rungs, "TOKEN_TO_ID_MATCH").alias("finding"))
+    return gated(out, [reference, candidate], [token, id_], "finding")
 
 
 def ids_to_tokens(reference: DataFrame, candidate: DataFrame, token: str, id_: str) -> DataFrame:
-    """(n_compared, n_mismatches, status): the other way round; an id that one side lacks is a mismatch."""
+    """(n_compared, n_mismatches, status): the other way round; an id that one side lacks is a mismatch; NOT_COMPARABLE where a side has a token or an id twice, or a null one."""
     r, c = reference.select(F.col(token).alias("r_token"), F.col(id_).alias("r_id")), candidate.select(F.col(token).alias("c_token"), F.col(id_).alias("c_id"))
     both = r.join(c, F.col("r_id") == F.col("c_id"), "full_outer")
     sums = both.agg(F.count("*").alias("n_compared"), F.count_if(~F.col("r_token").eqNullSafe(F.col("c_token"))).alias("n_mismatches"))
-    return sums.withColumn("status", F.when(F.col("n_mismatches") > 0, "MISMATCH").otherwise("OBSERVED"))
+    return gated(sums.withColumn("status", F.when(F.col("n_mismatches") > 0, "MISMATCH").otherwise("OBSERVED")), [reference, candidate], [token, id_], "status")
 
 
 def keyed_properties(reference: DataFrame, candidate: DataFrame, keys: Sequence[str], fields: Sequence[str], one_sided: str, differs: str, match: str) -> DataFrame:

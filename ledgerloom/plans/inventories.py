@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, asof, rule_index
+from ledgerloom.operators import accounting, asof, rule_index, views
 from ledgerloom.operators.written import written
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql
@@ -97,3 +97,35 @@ def known_at_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = events.select("event_id", "user_id", "event_type", asof.known_from(F.col("ts"), F.when(drawn(key, "recorded", 15) > 0, later("supplied", 120, 24))).alias("known"))
     cutoffs = events.select(key.alias("cutoff_id"), "user_id", F.when(drawn(key, "asked", 40) > 0, later("cutoff", 96)).alias("cutoff"))
     return asof.known_at(facts, cutoffs, "user_id", "known", "event_id", "cutoff", "cutoff_id", ["event_type"])
+
+
+_VIEW = """t AS (SELECT 'n' || p_partkey AS name, CASE WHEN p_partkey % 71 = 9 THEN NULL WHEN p_partkey % 53 = 7 THEN p_partkey - 1 ELSE p_partkey END AS identity, p_size AS shape, p_type AS type FROM part WHERE p_partkey % 61 <> 4),
+ties AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 10000000 ELSE p_partkey + 3 END AS logical, p_partkey AS physical FROM part WHERE p_size % 10 = 1),
+u AS (SELECT logical AS a, physical AS b FROM ties UNION SELECT physical, logical FROM ties), w AS (WITH RECURSIVE w AS (SELECT a AS origin, b AS node FROM u UNION SELECT w.origin, u.b FROM w JOIN u ON u.a = w.node) SELECT * FROM w), cl AS (SELECT origin AS identity, least(origin, min(node)) AS entity FROM w GROUP BY origin),
+n AS (SELECT identity, count(*) AS n FROM t WHERE identity IS NOT NULL GROUP BY 1), ph AS (SELECT t.identity, name, 'PHYSICAL' AS kind, coalesce(entity, t.identity) AS entity, t.identity AS backed_by, shape, type, n FROM t LEFT JOIN n USING (identity) LEFT JOIN cl USING (identity)),
+bk AS (SELECT * FROM ph WHERE identity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity ORDER BY identity, name) = 1), lo AS (SELECT cl.identity, cl.identity::VARCHAR AS name, 'LOGICAL' AS kind, cl.entity, bk.identity AS backed_by, bk.shape, bk.type, bk.n FROM cl LEFT JOIN bk ON bk.entity = cl.entity WHERE cl.identity NOT IN (SELECT identity FROM n)),
+v AS (SELECT identity, name, kind, entity, backed_by, shape, type, CASE WHEN identity IS NULL THEN 'UNCLASSIFIED' WHEN backed_by IS NULL THEN 'UNBACKED' WHEN n > 1 THEN 'DUPLICATE_IDENTITY' ELSE 'OK' END AS state FROM (SELECT * FROM ph UNION ALL SELECT * FROM lo))"""
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
+    identity = F.when(k % 71 == 9, None).when(k % 53 == 7, k - 1).otherwise(k)
+    tensors = parts.where("p_partkey % 61 <> 4").select(F.concat(F.lit("n"), k.cast("string")).alias("name"), identity.alias("identity"), F.col("p_size").alias("shape"), F.col("p_type").alias("type"))
+    ties = parts.where("p_size % 10 = 1").select(F.when(k % 2 == 0, k + 10_000_000).otherwise(k + 3).alias("logical"), k.alias("physical"))
+    return views.semantic_view(tensors, ties)
+
+
+@query(f"WITH {_VIEW} SELECT * FROM v")
+def semantic_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as stored and as tied entities, with what backs each."""
+    return _view(spark, sf_dir)
+
+
+@query(f"""WITH {_VIEW}, tg AS (SELECT DISTINCT l_partkey AS i FROM lineitem WHERE l_partkey % 3 > 0), rz AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN l_partkey + 10000000 ELSE l_partkey END AS i FROM lineitem),
+o AS (SELECT DISTINCT entity, identity, kind FROM v WHERE identity IS NOT NULL), s AS (SELECT entity, count(*) FILTER (kind = 'PHYSICAL') AS n_stored, count(*) FILTER (kind = 'LOGICAL') AS n_logical, count(tg.i) AS n_targets, count(rz.i) FILTER (tg.i IS NULL) AS n_virtual FROM o LEFT JOIN tg ON tg.i = identity LEFT JOIN rz ON rz.i = identity GROUP BY 1)
+SELECT *, CASE WHEN n_targets > greatest(n_stored, 1) THEN 'AMBIGUOUS' WHEN n_targets > 0 THEN 'COVERED' WHEN n_virtual > 0 THEN 'VIRTUAL' ELSE 'UNCOVERED' END AS state FROM s""")
+def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by what stands for them among the lines: stored, added by realization, or nothing."""
+    lines, k = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    realized = lines.select(F.when(k % 2 == 0, k + 10_000_000).otherwise(k).alias("identity"))
+    return views.entity_coverage(_view(spark, sf_dir), lines.where("l_partkey % 3 > 0").select(k.alias("identity")), realized)

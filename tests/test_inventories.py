@@ -11,7 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, asof, components, rule_index, stages, texts, thresholds
+from ledgerloom.operators import accounting, asof, assess, components, parity, rule_index, stages, texts, thresholds, views
 from ledgerloom.sources import archives, formats
 from ledgerloom.streaming import ledgers
 
@@ -193,3 +193,28 @@ def test_ledgers_go_on_after_a_restart(spark, tmp_path):
     assert got == {("a", 1, "APPENDED"): head("x"), ("a", 2, "APPENDED"): head("x", "y"), ("a", 3, "APPENDED"): head("x", "y", "z"), ("b", 2, "CONFLICT"): None, ("b", 2, "REPEATED"): None}
     got = run(("a", 1, "x"), ("b", 1, None))
     assert got[("a", 1, "CLOSED")] is None and got[("b", 2, "APPENDED")] == head("", "q")
+
+
+def test_tied_identities_are_one_entity(spark):
+    tensors = spark.createDataFrame([("a", 1, 5, "F"), ("b", 2, 6, "F"), ("b2", 2, 7, "G"), ("c", None, 8, "F"), ("d", 9, 1, "F")], "name string, identity long, shape int, type string")
+    ties = spark.createDataFrame([(10, 1), (11, 10), (12, 2), (20, 21), (None, 1)], "logical long, physical long")
+    view = views.semantic_view(tensors, ties)
+    got = {(r.name, r.kind): (r.identity, r.entity, r.backed_by, r.shape, r.state) for r in view.collect()}
+    assert got == {
+        ("a", "PHYSICAL"): (1, 1, 1, 5, "OK"), ("b", "PHYSICAL"): (2, 2, 2, 6, "DUPLICATE_IDENTITY"), ("b2", "PHYSICAL"): (2, 2, 2, 7, "DUPLICATE_IDENTITY"), ("c", "PHYSICAL"): (None, None, None, 8, "UNCLASSIFIED"), ("d", "PHYSICAL"): (9, 9, 9, 1, "OK"),
+        ("10", "LOGICAL"): (10, 1, 1, 5, "OK"), ("11", "LOGICAL"): (11, 1, 1, 5, "OK"), ("12", "LOGICAL"): (12, 2, 2, 6, "DUPLICATE_IDENTITY"), ("20", "LOGICAL"): (20, 20, None, None, "UNBACKED"), ("21", "LOGICAL"): (21, 20, None, None, "UNBACKED"),
+    }
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "identity long")
+    covered = {r.entity: (r.n_targets, r.n_virtual, r.state) for r in views.entity_coverage(view, ids(1, 10, 9, None), ids(12, 12, 1)).collect()}
+    assert covered == {1: (2, 0, "AMBIGUOUS"), 2: (0, 1, "VIRTUAL"), 9: (1, 0, "COVERED"), 20: (0, 0, "UNCOVERED")}
+
+
+def test_tables_with_repeats_are_not_compared(spark):
+    table = lambda *rows: spark.createDataFrame(list(rows), "rank int, item string")
+    good, twice, null = table((0, "a"), (1, "b")), table((0, "a"), (1, "a")), table((0, "a"), (1, None))
+    assert {r.status for r in assess.ranked_tables(good, good, "rank", "item").collect()} == {"MATCH"}
+    for other in (twice, null):
+        for pair in ((good, other), (other, good)):
+            assert [tuple(r) for r in assess.ranked_tables(*pair, "rank", "item").collect()] == [(None, None, None, "NOT_COMPARABLE")]
+            assert [tuple(r) for r in parity.tokens_to_ids(*pair, "item", "rank").collect()] == [(None, "NOT_COMPARABLE")]
+            assert [tuple(r) for r in parity.ids_to_tokens(*pair, "item", "rank").collect()] == [(None, None, "NOT_COMPARABLE")]
