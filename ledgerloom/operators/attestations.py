@@ -71,6 +71,30 @@ def summary(attestations: DataFrame, subject: str) -> DataFrame:
     return out.select(subject, *(k.lower() for k in kinds), F.coalesce(F.try_element_at(F.array(*map(F.lit, STRENGTHS)), F.greatest(F.lit(1), "top")), F.lit("NO_PROVENANCE")).alias("strength"))
 
 
+#: What a report on gaps asks for, and from which strength on it is there.
+GAPS = ("ACQUISITION", "TRANSFER", "TRANSFORMATION", "QUANTIZATION", "EXECUTION", "LOCATOR", "PROVENANCE")
+
+
+def gaps(attestations: DataFrame, subjects: DataFrame, subject: str) -> DataFrame:
+    """(subject, kind, status, n_attestations, linked) of every kind of ``GAPS`` for every one of ``subjects``: UNAVAILABLE without an attestation, DECLARED by unverified ones alone, else AVAILABLE.
+
+    A kind of attestation is available if its evidence is linked or its execution
+    verified; an execution, a locator and a provenance of an artifact are those of
+    any attestation. A subject without attestations lacks all; what an attestation is
+    not about says nothing.
+    """
+    verified = F.col("authenticity").isin("EXECUTION_VERIFIED", "EVIDENCE_LINKED")
+    said = lambda kind, there, good: F.when(there, F.struct(F.lit(kind).alias("gap"), good.alias("good")) if isinstance(kind, str) else F.struct(kind.alias("gap"), good.alias("good")))
+    listed = F.array_compact(F.array(
+        said(F.col("kind"), F.col("kind").isin(*GAPS), verified), said("EXECUTION", F.col("execution") != "NOT_APPLICABLE", F.col("authenticity") == "EXECUTION_VERIFIED"),
+        said("LOCATOR", F.lit(True), F.coalesce("located", F.lit(False))), said("PROVENANCE", F.col("continuity") == "VALID", verified),
+    ))
+    held = attestations.select(subject, F.explode(listed).alias("x")).groupBy(subject, "x.gap").agg(F.count("*").alias("n_attestations"), F.count_if("x.good").alias("linked"))
+    asked = subjects.select(subject).distinct().select(subject, F.explode(F.array(*map(F.lit, GAPS))).alias("gap"))
+    both = asked.join(held, [subject, "gap"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_attestations", "linked")})
+    return both.select(subject, F.col("gap").alias("kind"), ladder([("AVAILABLE", F.col("linked") > 0), ("DECLARED", F.col("n_attestations") > 0)], "UNAVAILABLE").alias("status"), "n_attestations", "linked")
+
+
 def conversion_findings(conversions: DataFrame, artifacts: DataFrame, key: str, equalities: Mapping[str, Sequence[tuple[str, str]]]) -> DataFrame:
     """(key, rule, status) for each of twelve rules on conversions.
 

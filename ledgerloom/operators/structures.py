@@ -40,6 +40,32 @@ def type_transitions(source: DataFrame, target: DataFrame, rules: Sequence[tuple
     return groups.select("transition.*", (F.col("transition.selectors") != "").alias("accepted"), "n", "examples")
 
 
+def compared_by_group(source: DataFrame, target: DataFrame, rules: Sequence[tuple[str, str, str]], group: str, name: str) -> DataFrame:
+    """(group, n, n_missing, n_unexpected, n_shape, n_rejected, n_changed, n_size, n_grown, result) of two inventories (name, group, type, physical, size), group by group.
+
+    Identities, shapes, types under rules and sizes are each compared by name, and
+    the result follows from what these found: equivalent, with or without other
+    types, where nothing lacks, no shape differs and every change of type is ruled;
+    else DIFFERENT, or INCOMPARABLE where a name is twice on a side. A name's group is
+    the source's, or the target's if it has no other.
+    """
+    listed = source.sparkSession.createDataFrame([(*r, glob_pattern(r[2])) for r in rules], "r_source string, r_target string, selector string, pattern string")
+    side = lambda df, letter: df.groupBy(name).agg(F.count("*").alias(f"{letter}_n"), *(F.min(c).alias(f"{letter}_{c}") for c in (group, "type", "physical", "size"))).withColumnRenamed(name, f"{letter}_name")
+    both = side(source, "s").join(side(target, "t"), F.col("s_name") == F.col("t_name"), "full_outer")
+    pairs = both.where("s_name IS NOT NULL AND t_name IS NOT NULL").select("s_name", "s_type", "t_type")
+    ruled = pairs.join(listed, (F.col("s_type") == F.col("r_source")) & (F.col("t_type") == F.col("r_target")) & F.rlike("s_name", F.col("pattern"))).select(F.col("s_name").alias("ruled")).distinct()
+    told = both.join(ruled, F.col("s_name") == F.col("ruled"), "left")
+    here = F.col("s_name").isNotNull() & F.col("t_name").isNotNull()
+    off = lambda c: here & ~F.col(f"s_{c}").eqNullSafe(F.col(f"t_{c}"))
+    sums = told.groupBy(F.coalesce(f"s_{group}", f"t_{group}").alias(group)).agg(
+        F.count("*").alias("n"), F.count_if(F.col("t_name").isNull()).alias("n_missing"), F.count_if(F.col("s_name").isNull()).alias("n_unexpected"), F.count_if(off("physical")).alias("n_shape"), F.count_if(here & F.col("ruled").isNull()).alias("n_rejected"),
+        F.count_if(off("type")).alias("n_changed"), F.count_if(off("size")).alias("n_size"), F.count_if(here & (F.col("t_size") > F.col("s_size"))).alias("n_grown"), F.bool_or((F.col("s_n") > 1) | (F.col("t_n") > 1)).alias("twice"),
+    )
+    agrees = (F.col("n_missing") + F.col("n_unexpected") == 0) & (F.col("n_shape") == 0) & (F.col("n_rejected") == 0)
+    rungs = [("INCOMPARABLE", F.coalesce("twice", F.lit(False))), ("EQUIVALENCE_WITH_QUANTIZATION_DIFFERENCES", agrees & (F.col("n_changed") > 0)), ("EQUIVALENCE_WITH_LIMITATIONS", agrees & (F.col("n_size") > 0)), ("EQUIVALENCE", agrees)]
+    return sums.withColumn("result", ladder(rungs, "DIFFERENT")).drop("twice")
+
+
 def ruled_metadata(source: DataFrame, target: DataFrame, rules: Mapping[str, str], otherwise: str, skipped: Sequence[str] = ()) -> DataFrame:
     """(key, outcome) of keys (key, value) that differ: ignored, allowed, warning or failure, by the key's own rule or else by ``otherwise`` (warn, fail or ignore)."""
     s, t = source.select("key", F.col("value").alias("s_value"), F.lit(True).alias("s_has")), target.select("key", F.col("value").alias("t_value"), F.lit(True).alias("t_has"))

@@ -61,6 +61,17 @@ def attestation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attestations.summary(_attested(spark, sf_dir), "subject")
 
 
+@query(f"""WITH {_ATTESTED}, g AS (SELECT subject, kind AS gap, authenticity IN ('EXECUTION_VERIFIED', 'EVIDENCE_LINKED') AS good FROM at4 WHERE kind IN {attestations.GAPS} UNION ALL SELECT subject, 'EXECUTION', authenticity = 'EXECUTION_VERIFIED' FROM at4 WHERE execution <> 'NOT_APPLICABLE'
+UNION ALL SELECT subject, 'LOCATOR', {drawn_sql("k", "located", 2)} = 0 FROM at4 UNION ALL SELECT subject, 'PROVENANCE', authenticity IN ('EXECUTION_VERIFIED', 'EVIDENCE_LINKED') FROM at4 WHERE continuity = 'VALID'), s AS (SELECT c_custkey AS subject, unnest({list(attestations.GAPS)}) AS gap FROM customer),
+n AS (SELECT s.subject, s.gap AS kind, count(good) AS n_attestations, count(*) FILTER (good) AS linked FROM s LEFT JOIN g ON g.subject = s.subject AND g.gap = s.gap GROUP BY 1, 2)
+SELECT subject, kind, CASE WHEN linked > 0 THEN 'AVAILABLE' WHEN n_attestations > 0 THEN 'DECLARED' ELSE 'UNAVAILABLE' END AS status, n_attestations, linked FROM n""")
+def attestation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer's attestations leave open, kind by kind; customers without any are asked, too."""
+    subjects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"))
+    return attestations.gaps(_attested(spark, sf_dir), subjects, "subject")
+
+
+
 _CONVERSIONS = f"""cv AS (SELECT o_orderkey AS k, {drawn_sql("o_orderkey", "conflict", 20)} = 0 AS conflict, {drawn_sql("o_orderkey", "pinned", 3)} > 0 AS pinned, {drawn_sql("o_orderkey", "full", 4)} = 0 AS full_digests, {drawn_sql("o_orderkey", "toolconflict", 25)} = 0 AS tool_conflict, {drawn_sql("o_orderkey", "toolpin", 6)} > 0 AS tool_pinned, {drawn_sql("o_orderkey", "executable", 40)} > 0 AS executable,
 {drawn_sql("o_orderkey", "arguments", 30)} AS n_arguments, {drawn_sql("o_orderkey", "named", 40)} > 0 AS output_named, {drawn_sql("o_orderkey", "won", 12)} > 0 AS success, CASE WHEN ({drawn_sql("o_orderkey", "won", 12)} > 0) <> ({drawn_sql("o_orderkey", "code", 50)} = 0) THEN 0 ELSE 1 END AS exit_code, {drawn_sql("o_orderkey", "consistent", 40)} > 0 AS consistent,
 {drawn_sql("o_orderkey", "inv", 30)} = 0 AS d3, {drawn_sql("o_orderkey", "pack", 30)} = 0 AS d4, {drawn_sql("o_orderkey", "map", 30)} = 0 AS d5, {drawn_sql("o_orderkey", "tinv", 30)} = 0 AS d10 FROM orders),

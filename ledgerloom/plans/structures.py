@@ -298,3 +298,16 @@ def inventory_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("DIFF-005", ruled, F.col("outcome") == "failure", F.col("outcome") == "warning"),
     ]
     return rollups.rule_findings(parts)
+
+
+@query(f"""WITH {_BASE}, r(s, t, selector) AS (VALUES {", ".join(str(r) for r in _RULES)}), g AS (SELECT name, split_part(name, '.', 2) AS grp, type, physical, size, k FROM b), h AS (SELECT name, CASE WHEN k % 211 = 8 THEN 'x' ELSE split_part(name, '.', 2) END AS grp, type, physical, size FROM c UNION ALL SELECT name, split_part(name, '.', 2), type, physical, size FROM c WHERE k % 397 = 20),
+s1 AS (SELECT name, count(*) AS n, min(grp) AS grp, min(type) AS type, min(physical) AS physical, min(size) AS size FROM g GROUP BY 1), t1 AS (SELECT name, count(*) AS n, min(grp) AS grp, min(type) AS type, min(physical) AS physical, min(size) AS size FROM h GROUP BY 1),
+x AS (SELECT coalesce(s1.grp, t1.grp) AS grp, s1.name AS sn, t1.name AS tn, s1.n AS s_n, t1.n AS t_n, s1.type AS st, t1.type AS tt, s1.physical AS sp, t1.physical AS tp, s1.size AS sz, t1.size AS tz, EXISTS (SELECT 1 FROM r WHERE s = s1.type AND t = t1.type AND s1.name GLOB selector) AS ruled FROM s1 FULL JOIN t1 ON s1.name = t1.name),
+z AS (SELECT grp, count(*) AS n, count(*) FILTER (tn IS NULL) AS n_missing, count(*) FILTER (sn IS NULL) AS n_unexpected, count(*) FILTER (sn IS NOT NULL AND tn IS NOT NULL AND sp <> tp) AS n_shape, count(*) FILTER (sn IS NOT NULL AND tn IS NOT NULL AND NOT ruled) AS n_rejected, count(*) FILTER (st <> tt) AS n_changed, count(*) FILTER (sz <> tz) AS n_size, count(*) FILTER (tz > sz) AS n_grown, bool_or(s_n > 1 OR t_n > 1) AS twice FROM x GROUP BY 1)
+SELECT * EXCLUDE (twice), CASE WHEN twice THEN 'INCOMPARABLE' WHEN n_missing + n_unexpected + n_shape + n_rejected > 0 THEN 'DIFFERENT' WHEN n_changed > 0 THEN 'EQUIVALENCE_WITH_QUANTIZATION_DIFFERENCES' WHEN n_size > 0 THEN 'EQUIVALENCE_WITH_LIMITATIONS' ELSE 'EQUIVALENCE' END AS result FROM z""")
+def layer_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of two inventories: identities, shapes, types and sizes compared, and the result that follows from these."""
+    base, candidate = _sides(spark, sf_dir)
+    layer = F.split_part("name", F.lit("."), F.lit(2))
+    moved = candidate.withColumn("grp", F.when(F.col("k") % 211 == 8, "x").otherwise(layer)).unionByName(candidate.where("k % 397 = 20").withColumn("grp", layer))
+    return structures.compared_by_group(base.withColumn("grp", layer), moved, _RULES, "grp", "name")
