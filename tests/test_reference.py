@@ -304,7 +304,7 @@ def test_texts(spark):
     rows = [(1, 'A\nos.system ( "x") and OS.SYSTEM(1) é X-Amz-Key'), (2, ""), (3, None)]
     got = [(r.k, r.offset, r.length, r.category, r.excerpt) for r in texts.scanned(spark.createDataFrame(rows, "k int, t string"), "k", "t").orderBy("offset").collect()]
     assert got == [(1, 2, 11, "SHELL_EXECUTION_PATTERN", "os.system ("), (1, 23, 10, "SHELL_EXECUTION_PATTERN", "os.system("), (1, 38, 9, "SIGNED_URL_PATTERN", "<redacted:9>")]
-    faults = {"a/b": None, "": "EMPTY", "e\u0301": "NOT_COMPOSED", "/a": "ROOTED", "c:/x": "DRIVE", "a//b": "EMPTY_PART", "a/": "EMPTY_PART", "a/.": "DOTS", "../a": "DOTS", "...x/a": None, "b ": "BLURRED_END", "x./a": "BLURRED_END", "x/NUL.txt": "RESERVED", "nul": "RESERVED", "nully": None, "con .x": None, "d/a:b": "COLON", "a\x07": "CONTROL", "a\n": "CONTROL", "a" * 2000: "TOO_LONG", "a" * 256: "LONG_PART", "\ufffe": "NO_CHARACTER", "\U0010ffff": "NO_CHARACTER", "x://y": "SCHEME", "a\\b": "BACKSLASH"}
+    faults = {"a/b": None, "": "EMPTY", "e\u0301": "NOT_COMPOSED", "/a": "ROOTED", "c:/x": "DRIVE", "a//b": "EMPTY_PART", "a/": "EMPTY_PART", "a/.": "DOTS", "../a": "DOTS", "...x/a": None, "b ": "BLURRED_END", "x./a": "BLURRED_END", "x/NUL.txt": "RESERVED", "nul": "RESERVED", "nully": None, "con .x": None, "d/a:b": "COLON", "a\x07": "CONTROL", "a\n": "CONTROL", "a" * 2000: "TOO_LONG", "a" * 256: "LONG_PART", "\ufffe": "NO_CHARACTER", "\U0010ffff": "NO_CHARACTER", "ab://y": "SCHEME", "a\\b": "BACKSLASH"}
     got = {r.p: r.fault for r in paths.judged(spark.createDataFrame([(p,) for p in faults], "p string"), "p").collect()}
     assert got == faults
     assert {r.folded for r in paths.judged(spark.createDataFrame([("Stra\u00dfe",), ("A",), (None,)], "p string"), "p").collect()} == {"strasse", "a", None}
