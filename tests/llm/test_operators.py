@@ -185,7 +185,7 @@ def brute_passages(rows, least_words):
     """(row, start, end) of what goes, by one pass over all units in order of rank."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     seen, gone = {}, {k: set() for k in order}
-    cut_up = {k: [x.tolist() for x in text_units(rows[k][1])] for k in order}
+    cut_up = {k: [*(x.tolist() for x in parts[:-2]), list(zip(*(x.tolist() for x in parts[-2:]), strict=True))] for k in order for parts in [text_units(rows[k][1])]}
     first = {}
     for k in order:
         no, upto, *_, digest = cut_up[k]
@@ -571,7 +571,8 @@ def test_secret_ledger_scans_a_blob_once(spark, docs, none):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     ours = sorted(str([r[c] for c in columns]) for r in queries.QUERIES[name](spark, SF).collect())
