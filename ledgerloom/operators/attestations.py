@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.compare import ladder
+from ledgerloom.operators.compare import ladder, worked_out
 
 #: Strengths of provenance, the weakest first.
 STRENGTHS = ("NO_PROVENANCE", "DECLARED_PROVENANCE", "LOCATOR_PROVENANCE", "EVIDENCE_LINKED_PROVENANCE", "EXECUTION_LINKED_PROVENANCE", "ARTIFACT_SPECIFIC_PROVENANCE", "BROKEN_PROVENANCE")
@@ -136,3 +136,29 @@ def conversion_findings(conversions: DataFrame, artifacts: DataFrame, key: str,
         exact = exact & (F.col(f"`{r}`") == "PASS")
     wide = wide.withColumn("PROV-012", three(failed, exact))
     return wide.select(key, F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("status")) for r in (*statuses, "PROV-012")))).alias("x")).select(key, "x.rule", "x.status")
+
+
+def segments(attestations: DataFrame, key: str, record: Sequence[str], event_type: str, concepts: str, profile: str, profiles: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """(key, chain_id, event_digest, ledger_digest, missing, status) of the segment of custody that each attestation begins.
+
+    A segment has one event, the attestation's, without a predecessor: its digest is
+    that of the canonical record of ``record``, the chain and the event's type; the
+    ledger's digest is that of chain, event, profile and status. A profile names the
+    event types and the evidence concepts that it needs; ``missing`` has those that the
+    attestation lacks, as type:name and concept:name in order. The status is INTACT,
+    INCOMPLETE, or UNKNOWN_PROFILE where no profile has that name. Null concepts are none.
+    """
+    canonical = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in sorted(c.items()))), {"ignoreNullFields": "false"})
+    wants = None
+    for name, (types, held) in profiles.items():
+        listed = [F.struct(F.lit(f"type:{t}").alias("want"), F.coalesce(F.col(event_type) == t, F.lit(False)).alias("there")) for t in types]
+        listed += [F.struct(F.lit(f"concept:{c}").alias("want"), F.coalesce(F.array_contains(concepts, c), F.lit(False)).alias("there")) for c in held]
+        lacks = F.transform(F.filter(F.array(*listed), lambda w: ~w["there"]), lambda w: w["want"]) if listed else F.array().cast("array<string>")
+        wants = F.when(F.col(profile) == name, F.array_sort(lacks)) if wants is None else wants.when(F.col(profile) == name, F.array_sort(lacks))
+    chain = F.concat(F.lit("custody_segment_"), F.left(F.sha2(canonical(**{c: F.col(c) for c in record}), 256), F.lit(32)))
+    begun = worked_out(attestations, seg_missing=wants, seg_chain=chain)
+    status = F.when(F.col("seg_missing").isNull(), "UNKNOWN_PROFILE").when(F.size("seg_missing") > 0, "INCOMPLETE").otherwise("INTACT")
+    event = F.sha2(canonical(**{c: F.col(c) for c in record}, chain_id=F.col("seg_chain"), event_type=F.col(event_type), previous=F.lit(None).cast("string"), sequence=F.lit(0)), 256)
+    known = worked_out(begun, seg_status=status, seg_event=event)
+    ledger = F.sha2(canonical(chain_id=F.col("seg_chain"), latest=F.col("seg_event"), profile=F.col(profile), status=F.col("seg_status")), 256)
+    return known.select(key, F.col("seg_chain").alias("chain_id"), F.col("seg_event").alias("event_digest"), ledger.alias("ledger_digest"), F.col("seg_missing").alias("missing"), F.col("seg_status").alias("status"))

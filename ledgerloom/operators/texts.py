@@ -87,6 +87,30 @@ def identified(rows: DataFrame, columns: Sequence[str], id_: str, prefix: str, d
     return named.withColumn(digest, F.sha2(body(id_), 256))
 
 
+def nesting(text: Column) -> Column:
+    """A struct (level, most, least) of the brackets outside strings: how many stay open, the deepest level, and the lowest, below zero where one closes that none opened."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
+    named = lambda level, most, least: F.struct(level.alias("level"), most.alias("most"), least.alias("least"))
+
+    def step(a: Column, c: Column) -> Column:
+        level = a["level"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return named(level, F.greatest(a["most"], level), F.least(a["least"], level))
+
+    return F.aggregate(brackets, named(F.lit(0), F.lit(0), F.lit(0)), step)
+
+
+def whole_json(text: Column) -> Column:
+    """A text as VARIANT; null for what is no JSON, repeats a name, or goes on after its value.
+
+    The parser stops at a value's end. So the text is read as the only member of an
+    array, which no bracket of its own may close.
+    """
+    members = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = F.filter(F.array(members), lambda m: F.size(m) == 1)
+    return F.when(nesting(text)["least"] >= 0, F.try_element_at(alone, F.lit(1))[0])
+
+
 def json_leaves(documents: DataFrame, key: str, text: str, most_depth: int = 32) -> DataFrame:
     """(key, name, value) of the leaves of JSON documents, at any depth: ``name`` is the nearest name above a leaf, so that an array's members have the array's.
 
@@ -95,7 +119,7 @@ def json_leaves(documents: DataFrame, key: str, text: str, most_depth: int = 32)
     the name ``!`` and no value, and so does a document that goes deeper than
     ``most_depth``.
     """
-    parsed = written(documents.select(F.col(key).alias("key"), F.try_parse_json(text).alias("x")), "parsed")
+    parsed = written(documents.select(F.col(key).alias("key"), whole_json(F.col(text)).alias("x")), "parsed")
     wrong = parsed.where("x is null").select("key", F.lit("!").alias("name"), F.lit(None).cast("string").alias("value"))
     level, leaves, depth = parsed.where("x is not null").select("key", F.lit("").alias("name"), "x"), [wrong], 0
     while not level.isEmpty():

@@ -193,3 +193,18 @@ def span_states(rows: DataFrame, key: str, states: Mapping[str, Column], otherwi
     """(key, status): the first of ``states`` that any row of a key is in."""
     sums = rows.groupBy(key).agg(*(F.bool_or(condition).alias(name) for name, condition in states.items()))
     return sums.select(key, ladder([(name, F.col(name)) for name in states], otherwise).alias("status"))
+
+
+def freshness_transitions(facts: DataFrame, subject: str, at: str, previous: tuple[str, int], new: tuple[str, int]) -> DataFrame:
+    """(subject, previous, new, changed) of subjects under two contexts, each a time and for how many seconds evidence stays fresh.
+
+    A state is TIME_UNKNOWN where no fact of a subject has a time, NOT_YET where all
+    are later than the context, else FRESH or STALE by the last one before it. One
+    aggregation does both contexts; a null subject is one like any other.
+    """
+    now = {name: F.lit(time).cast("timestamp") for name, (time, _) in (("previous", previous), ("new", new))}
+    last = {f"last_{name}": F.max(F.when(F.col(at).cast("timestamp") <= t, F.unix_micros(F.col(at).cast("timestamp")))) for name, t in now.items()}
+    sums = facts.groupBy(subject).agg(F.count(at).alias("n_times"), *(c.alias(n) for n, c in last.items()))
+    state = lambda name, seconds: ladder([("TIME_UNKNOWN", F.col("n_times") == 0), ("NOT_YET", F.col(f"last_{name}").isNull()), ("FRESH", F.unix_micros(now[name]) - F.col(f"last_{name}") <= seconds * 1_000_000)], "STALE")
+    both = sums.select(subject, state("previous", previous[1]).alias("previous"), state("new", new[1]).alias("new"))
+    return both.withColumn("changed", F.col("previous") != F.col("new"))
