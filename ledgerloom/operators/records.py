@@ -19,11 +19,12 @@ def bounded(rows: DataFrame, key: str, text: str, most_bytes: int, most_depth: i
     """
     own = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
     large = F.octet_length("text") > most_bytes
-    sized = worked_out(own, deep=F.when(~large, nesting(F.col("text"))["most"] > most_depth))
+    deep = (F.regexp_count("text", F.lit(r"[\[{]")) > most_depth) & (nesting(F.col("text"))["most"] > most_depth)  # few brackets can't nest deep
+    sized = worked_out(own, deep=F.when(~large, deep))
     read = worked_out(sized, record=F.when(~F.col("deep"), whole_json(F.col("text"))))
-    rungs = [("UNAVAILABLE", F.col("text").isNull()), ("TOO_LARGE", large), ("TOO_DEEP", F.col("deep")), ("BROKEN", F.col("record").isNull()), ("NO_OBJECT", ~F.schema_of_variant("record").startswith("OBJECT"))]
-    judged = worked_out(read, status=ladder(rungs, "READ"))
-    return judged.select(F.col("key").alias(key), "status", F.when(F.col("status") == "READ", F.try_variant_get("record", "$", "map<string,variant>")).alias("fields"))
+    opened = worked_out(read, fields=F.try_variant_get("record", "$", "map<string,variant>"))  # null for what is no object
+    rungs = [("UNAVAILABLE", F.col("text").isNull()), ("TOO_LARGE", large), ("TOO_DEEP", F.col("deep")), ("BROKEN", F.col("record").isNull()), ("NO_OBJECT", F.col("fields").isNull())]
+    return opened.select(F.col("key").alias(key), ladder(rungs, "READ").alias("status"), "fields")
 
 
 def _kind(name: str) -> Column:

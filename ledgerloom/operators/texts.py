@@ -104,11 +104,12 @@ def whole_json(text: Column) -> Column:
     """A text as VARIANT; null for what is no JSON, repeats a name, or goes on after its value.
 
     The parser stops at a value's end. So the text is read as the only member of an
-    array, which no bracket of its own may close.
+    array, and of an object as well: what would close the one can't close the other.
     """
     members = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     alone = F.filter(F.array(members), lambda m: F.size(m) == 1)
-    return F.when(nesting(text)["least"] >= 0, F.try_element_at(alone, F.lit(1))[0])
+    inside = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}")))
+    return F.when(inside.isNotNull(), F.try_element_at(alone, F.lit(1))[0])
 
 
 def json_leaves(documents: DataFrame, key: str, text: str, most_depth: int = 32) -> DataFrame:
