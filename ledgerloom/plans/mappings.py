@@ -129,8 +129,8 @@ def inventory_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BINDING_RULES = (("line", "line.{layer}.A", "seg.{layer}.0", "A", 1, 9), ("flag", "line.{layer}.R", "seg.{layer}.1", "R", 0, 6), ("open", "line.{layer}.N", "seg.{layer}.2", "A", 1, 3), ("one", "line.1.A", "seg.1.0", "A", None, None), ("none", "absent", "seg.2.0", "A", None, None))
-_ENTITIES = """src AS (SELECT 'line.' || l_linenumber || '.' || l_returnflag AS identity, l_returnflag AS kind FROM lineitem WHERE l_linenumber <> 4 QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_returnflag ORDER BY l_orderkey, l_partkey, l_suppkey) <= CASE WHEN l_linenumber = 5 THEN 2 ELSE 1 END),
-tgt AS (SELECT 'seg.' || (c_custkey % 8) || '.' || (c_custkey % 3) AS identity FROM customer WHERE c_custkey < 30 AND c_custkey % 8 <> 6)"""
+_ENTITIES = """src AS (SELECT CASE WHEN l_linenumber = 4 THEN 'gap.' ELSE 'line.' END || l_linenumber || '.' || l_returnflag AS identity, l_returnflag AS kind FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_linenumber, l_returnflag ORDER BY l_orderkey, l_partkey, l_suppkey) <= CASE WHEN l_linenumber = 5 THEN 2 ELSE 1 END),
+tgt AS (SELECT CASE WHEN c_custkey % 8 = 6 THEN 'gap.' ELSE 'seg.' END || (c_custkey % 8) || '.' || (c_custkey % 3) AS identity FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 8, c_custkey % 3 ORDER BY c_custkey) <= CASE WHEN c_custkey % 8 = 3 THEN 2 ELSE 1 END)"""
 
 
 @query(f"""WITH {_ENTITIES}, r(rule_id, s, t, kind, lo, hi) AS (VALUES {", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in _BINDING_RULES)}),
@@ -140,10 +140,13 @@ SELECT binding, rule_id, layer, n_source, n_target, n_any > 0 AND n_source = 0 A
 def mapping_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over layers against both sides: none, one or several matches, and kinds that do not fit."""
     rules = spark.createDataFrame(list(_BINDING_RULES), "rule_id string, source string, target string, kind string, lo int, hi int")
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <> 4").groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.when(F.col("l_linenumber") == 5, 2).otherwise(1))))
-    sources = lines.select(F.concat_ws(".", F.lit("line"), "l_linenumber", "l_returnflag").alias("identity"), F.col("l_returnflag").alias("kind"), copies).drop("col")
-    targets = table(spark, sf_dir, "customer").where("c_custkey < 30 and c_custkey % 8 <> 6").select(F.concat_ws(".", F.lit("seg"), F.col("c_custkey") % 8, F.col("c_custkey") % 3).alias("identity"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"))
+    copies = lambda twice: F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.when(twice, 2).otherwise(1))))
+    named = lambda there, name, *parts: F.concat_ws(".", F.when(there, name).otherwise("gap"), *parts).alias("identity")
+    line = F.col("l_linenumber")
+    sources = lines.select(named(line != 4, "line", "l_linenumber", "l_returnflag"), F.col("l_returnflag").alias("kind"), copies(line == 5)).drop("col")
+    segments = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 8).alias("a"), (F.col("c_custkey") % 3).alias("b")).agg(F.count("*").alias("n"))
+    targets = segments.select(named(F.col("a") != 6, "seg", "a", "b"), copies(F.col("a") == 3)).drop("col")
     return mappings.resolved(mappings.bindings(rules), sources, targets).drop("source", "target")
 
 
@@ -158,12 +161,13 @@ def mapping_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mappings.coverage(sources, mapped, sources.where(drawn(F.col("k"), "ignored", 9) == 0), "k", "source", 5).union(mappings.coverage(targets, mapped, targets.limit(0), "k", "target", 5))
 
 
-@query("""WITH m AS (SELECT l_orderkey, count(*) AS n_members, count(DISTINCT l_linestatus) AS n_kinds, count(DISTINCT l_quantity > 49) AS n_shapes FROM lineitem WHERE l_partkey % 9 > 0 GROUP BY 1), t AS (SELECT o_orderkey, o_custkey % 6 + 1 AS n FROM orders WHERE o_orderstatus <> 'P')
+@query("""WITH m AS (SELECT CASE WHEN l_partkey % 9 > 0 THEN l_orderkey ELSE -1 - l_orderkey END AS l_orderkey, count(*) AS n_members, count(DISTINCT l_linestatus) AS n_kinds, count(DISTINCT l_quantity > 49) AS n_shapes FROM lineitem GROUP BY 1), t AS (SELECT o_orderkey, o_custkey % 6 + 1 AS n FROM orders WHERE o_orderstatus <> 'P')
 SELECT coalesce(l_orderkey, o_orderkey) AS l_orderkey, coalesce(n_members, 0) AS n_members, coalesce(n_kinds, 0) AS n_kinds, coalesce(n_shapes, 0) AS n_shapes,
 CASE WHEN o_orderkey IS NULL THEN 'TARGET_MISSING' WHEN l_orderkey IS NULL THEN 'SOURCE_MISSING' WHEN n_members <> n THEN 'CARDINALITY' WHEN n_kinds > 1 THEN 'KIND_CONFLICT' WHEN n_shapes > 1 THEN 'SHAPE_CONFLICT' ELSE 'MAPPED' END AS status FROM m FULL JOIN t ON l_orderkey = o_orderkey""")
 def grouped_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many lines for one order: how many, of one kind and shape, and both sides there."""
-    members = table(spark, sf_dir, "lineitem").where("l_partkey % 9 > 0").withColumn("big", F.col("l_quantity") > 49)
+    of = F.when(F.col("l_partkey") % 9 > 0, F.col("l_orderkey")).otherwise(-1 - F.col("l_orderkey"))  # the others are of no order
+    members = table(spark, sf_dir, "lineitem").select(of.alias("l_orderkey"), "l_linestatus", (F.col("l_quantity") > 49).alias("big"))
     targets = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").withColumnRenamed("o_orderkey", "l_orderkey")
     return mappings.grouped(members, targets, "l_orderkey", F.col("o_custkey") % 6 + 1, "l_linestatus", "big")
 

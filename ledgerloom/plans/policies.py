@@ -206,7 +206,7 @@ p AS (SELECT n_nationkey AS p, CASE n_nationkey % 4 WHEN 0 THEN [] WHEN 1 THEN [
 SELECT k AS s_suppkey, CASE WHEN len(theirs) = 0 THEN true WHEN coalesce(len(mine), 0) = 0 THEN false ELSE list_has_all(theirs, mine) END AS within FROM c JOIN p USING (p)""")
 def delegation_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delegations that grant nothing beyond what their parent may: empty parents are unconstrained."""
-    flags = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_suppkey % 3 > 0").groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("mine"))
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.when((F.col("l_quantity") > 49) & (F.col("l_suppkey") % 3 > 0), F.col("l_returnflag"))).alias("mine"))
     texts = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
     nation = F.col("s_nationkey") % 4
     theirs = F.when(nation == 0, texts()).when(nation == 1, texts("A")).when(nation == 2, texts("A", "R")).otherwise(texts("A", "N", "R"))

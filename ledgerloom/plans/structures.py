@@ -132,13 +132,13 @@ def metadata_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures.metadata_statuses(s, t, category)
 
 
-@query("""WITH l AS (SELECT l_suppkey AS k, l_returnflag || l_linestatus AS family, count(*) AS n, list_sort(list(DISTINCT l_linenumber)) AS layers, max(l_quantity)::BIGINT AS shape FROM lineitem WHERE l_orderkey % 2 = 0 AND NOT (l_suppkey % 6 = 5 AND l_returnflag = 'R') GROUP BY 1, 2),
-r AS (SELECT l_suppkey AS k, l_returnflag || l_linestatus AS family, count(*) + CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 END AS n, list_sort(list(DISTINCT l_linenumber)) AS layers, max(l_quantity)::BIGINT + l_suppkey % 2 AS shape FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
+@query("""WITH l AS (SELECT l_suppkey AS k, l_returnflag || l_linestatus AS family, count(*) AS n, list_sort(list(DISTINCT l_linenumber)) AS layers, max(l_quantity)::BIGINT AS shape FROM lineitem WHERE NOT (l_suppkey % 6 = 5 AND l_returnflag = 'R') GROUP BY 1, 2),
+r AS (SELECT l_suppkey AS k, l_returnflag || l_linestatus AS family, count(*) + CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 END AS n, list_sort(list(DISTINCT l_linenumber)) AS layers, max(l_quantity)::BIGINT + l_suppkey % 2 AS shape FROM lineitem GROUP BY 1, 2),
 j AS (SELECT coalesce(l.k, r.k) AS k, l.k IS NOT NULL AND r.k IS NOT NULL AS both_, l.n = r.n AND l.layers = r.layers AS cov, l.shape = r.shape AS shp FROM l FULL JOIN r ON l.k = r.k AND l.family = r.family)
 SELECT k AS scope, bool_and(both_) AS family_set_equal, bool_and(both_ AND cov) AS coverage_equal, bool_and(both_ AND shp) AS shapes_equal FROM j GROUP BY 1""")
 def ontology_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of two ontologies of each supplier: their set, coverage and shapes."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").withColumn("family", F.concat("l_returnflag", "l_linestatus"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("family", F.concat("l_returnflag", "l_linestatus"))
     sums = lambda df: df.groupBy(F.col("l_suppkey").alias("scope"), "family").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("l_linenumber")).alias("layers"), F.max("l_quantity").cast("long").alias("shape"))
     right = sums(rows).withColumn("n", F.col("n") + F.when(F.col("scope") % 3 == 0, 0).otherwise(1)).withColumn("shape", F.col("shape") + F.col("scope") % 2)
     return structures.ontology_equality(sums(rows.where("not (l_suppkey % 6 = 5 and l_returnflag = 'R')")), right, "scope", "family", "n", "layers", "shape")
@@ -198,26 +198,27 @@ def usage_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIFECYCLE = {"basic": (("view",), ()), "commerce": (("view", "purchase"), ("refund", "error")), "full": (("view", "click", "purchase", "refund", "error"), ()), "either": ((), ("purchase", "refund"))}
 
 
-@query(f"""WITH h AS (SELECT user_id, list(DISTINCT event_type) AS l FROM events WHERE {drawn_sql("event_id", "rare", 20)} = 0 GROUP BY 1), p(profile, need, anyof) AS (VALUES {", ".join(f"('{p}', {list(need)}::VARCHAR[], {list(some)}::VARCHAR[])" for p, (need, some) in _LIFECYCLE.items())}),
+@query(f"""WITH h AS (SELECT user_id, list(DISTINCT CASE WHEN {drawn_sql("event_id", "rare", 20)} = 0 THEN event_type ELSE 'other' END) AS l FROM events GROUP BY 1), p(profile, need, anyof) AS (VALUES {", ".join(f"('{p}', {list(need)}::VARCHAR[], {list(some)}::VARCHAR[])" for p, (need, some) in _LIFECYCLE.items())}),
 m AS (SELECT user_id, profile, list_sort(list_concat(list_filter(need, lambda x: NOT list_contains(l, x)), CASE WHEN len(anyof) > 0 AND NOT list_has_any(anyof, l) THEN anyof ELSE [] END)) AS missing FROM h, p)
 SELECT user_id, profile, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status FROM m""")
 def lifecycle_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of events that each profile needs, with groups of which one is enough."""
-    rare = table(spark, sf_dir, "events").where(drawn(F.col("event_id"), "rare", 20) == 0)
-    return structures.required_events(rare, _LIFECYCLE, "user_id", "event_type")
+    kind = F.when(drawn(F.col("event_id"), "rare", 20) == 0, F.col("event_type")).otherwise("other")
+    return structures.required_events(table(spark, sf_dir, "events").select("user_id", kind.alias("event_type")), _LIFECYCLE, "user_id", "event_type")
 
 
 _TRAITS = {"F32": (1, 4), "Q8_0": (32, 34), "Q4_K": (256, 144), "Q6_K": (256, 210)}
-_SPAN_ROWS = f"""t AS (SELECT l_suppkey AS shard, l_orderkey || '.' || l_linenumber || '.' || l_partkey AS name, {one_of_sql("l_orderkey * 10 + l_linenumber", "dtype", "F32", "Q8_0", "Q4_K", "Q6_K", "X1")} AS type,
-CASE l_partkey % 40 WHEN 0 THEN [0, 4] WHEN 1 THEN [4294967296, 4294967296, 4] ELSE [256 * l_linenumber + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END, l_quantity::BIGINT] END AS dims, (l_orderkey % 5000) * 4096 AS off FROM lineitem WHERE l_suppkey % 9 > 0)"""
+_SPAN_ROWS = f"""t AS (SELECT CASE WHEN l_suppkey % 9 = 0 THEN l_suppkey + 1 ELSE l_suppkey END AS shard, l_orderkey || '.' || l_linenumber || '.' || l_partkey AS name, {one_of_sql("l_orderkey * 10 + l_linenumber", "dtype", "F32", "Q8_0", "Q4_K", "Q6_K", "X1")} AS type,
+CASE l_partkey % 40 WHEN 0 THEN [0, 4] WHEN 1 THEN [4294967296, 4294967296, 4] ELSE [256 * l_linenumber + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END, l_quantity::BIGINT] END AS dims, (l_orderkey % 5000) * 4096 AS off FROM lineitem)"""
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber").cast("long") * 256 + F.when(F.col("l_partkey") % 11 == 0, 1).otherwise(0)
     big = F.lit(4294967296)
     dims = F.when(F.col("l_partkey") % 40 == 0, F.array(F.lit(0).cast("long"), F.lit(4).cast("long"))).when(F.col("l_partkey") % 40 == 1, F.array(big, big, F.lit(4).cast("long"))).otherwise(F.array(n, F.col("l_quantity").cast("long")))
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 9 > 0").select(
-        F.col("l_suppkey").alias("shard"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey").alias("name"), one_of(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "dtype", *_TRAITS, "X1").alias("type"),
+    shard = F.when(F.col("l_suppkey") % 9 == 0, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey"))  # every ninth shard has no tensors
+    rows = table(spark, sf_dir, "lineitem").select(
+        shard.alias("shard"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey").alias("name"), one_of(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "dtype", *_TRAITS, "X1").alias("type"),
         dims.alias("dims"), (F.col("l_orderkey") % 5000 * 4096).alias("offset"), F.lit(1000).cast("long").alias("payload_start"), F.lit(20_000_000).cast("long").alias("file_size"),
     )
     return splits.spans(rows, _TRAITS)

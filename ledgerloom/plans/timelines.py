@@ -202,13 +202,14 @@ def renewal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REQUIRED = ("snapshot", "timeline", "policy-set")
 
 
-@query(f"""WITH m AS (SELECT user_id, list(DISTINCT {one_of_sql("event_id", "schema", "snapshot", "timeline", "policy-set", "other")}) AS l FROM events WHERE {drawn_sql("event_id", "member", 12)} = 0 GROUP BY 1)
+@query(f"""WITH m AS (SELECT user_id, list(DISTINCT {one_of_sql("user_id || coalesce(event_type, '')", "schema", "snapshot", "timeline", "policy-set", "other")}) AS l FROM events GROUP BY 1)
 SELECT user_id, len(l) AS n_schemas, CASE WHEN user_id % 17 = 0 THEN 'FORKED_HISTORY' WHEN user_id % 11 = 0 THEN 'PARTIAL' WHEN NOT (list_contains(l, 'snapshot') AND list_contains(l, 'timeline') AND list_contains(l, 'policy-set')) THEN 'MISSING_REQUIRED_MEMBER'
 WHEN user_id % 7 = 0 THEN 'PARTIAL' WHEN user_id % 3 = 0 THEN 'COMPLETE_WITH_LIMITATIONS' ELSE 'COMPLETE_FOR_PURPOSE' END AS state FROM m""")
 def bundle_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each subject's bundle has the members that its purpose needs."""
-    key, user = F.col("event_id"), F.col("user_id")
-    members = table(spark, sf_dir, "events").where(drawn(key, "member", 12) == 0).groupBy("user_id").agg(F.collect_set(one_of(key, "schema", *_REQUIRED, "other")).alias("schemas"))
+    user = F.col("user_id")
+    key = F.concat(user.cast("string"), F.coalesce("event_type", F.lit("")))
+    members = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(one_of(key, "schema", *_REQUIRED, "other")).alias("schemas"))
     state = timelines.bundle_state(F.col("schemas"), user % 17 == 0, user % 11 == 0, user % 7 == 0, user % 3 == 0, _REQUIRED)
     return members.select("user_id", F.size("schemas").cast("long").alias("n_schemas"), state.alias("state"))
 
