@@ -13,7 +13,7 @@ from ledgerloom.functions import values
 from ledgerloom.operators import assess, compare, components, evidence, graphs, paths, sequences
 from ledgerloom.operators import attestations, manifests, mappings, numeric, parity, policies, splits, structures, texts, timelines, written
 from ledgerloom.plans import assessments, catalogue  # noqa: F401
-from ledgerloom.plans import attestations as _a, manifests as _b, mappings as _c, parity as _d, policies as _e, rollups as _i, sources as _f, structures as _g, timelines as _h  # noqa: E401, F401
+from ledgerloom.plans import attestations as _a, manifests as _b, mappings as _c, parity as _d, policies as _e, rollups as _i, sources as _f, structures as _g, timelines as _h, inventories as _j, records as _k, validations as _l  # noqa: E401, F401
 from ledgerloom.sources import files, model_files
 from ledgerloom.streaming import claims
 
@@ -268,6 +268,7 @@ def test_every_rung_of_the_queries_is_reached(spark, duck):
         ("snapshot_overall", "overall"): 4, ("snapshot_changes", "outcome"): 5, ("expiration_states", "status"): 4, ("renewal_chains", "status"): 3, ("bundle_completeness", "state"): 5, ("type_transition_states", "state"): 6, ("shape_classes", "class"): 4, ("requirement_eval", "outcome"): 9,
         ("policy_decisions", "decision"): 4, ("quorum_eval", "outcome"): 5, ("duty_separation", "outcome"): 4, ("security_eval", "verdict"): 7, ("runtime_member_continuity", "result"): 4, ("runtime_continuity", "verdict"): 13, ("signed_objects", "status"): 12, ("mapping_resolution", "status"): 5, ("grouped_mapping", "status"): 6,
         ("configuration_parity", "status"): 4, ("probe_status", "status"): 3, ("backend_compare", "status"): 5, ("payload_spans", "span"): 4, ("shard_span_rollup", "result"): 2, ("attestation_states", "strength"): 7, ("acceptance_profiles", "outcome"): 3, ("usage_profiles", "outcome"): 3, ("source_records", "fault"): 4,
+        ("bounded_records", "status"): 4, ("provenance_sidecars", "status"): 7, ("typed_configurations", "status"): 2, ("path_preservation", "state"): 6, ("shard_hints", "status"): 2, ("header_linkage", "status"): 7, ("attestation_segments", "status"): 3,
     }
     reached = {k: len(con.execute(f"SELECT DISTINCT {k[1]} FROM ({catalogue.ORACLE_SQL[k[0]]}) AS q WHERE {k[1]} IS NOT NULL").fetchall()) for k in least}
     assert {k: n for k, n in reached.items() if n < least[k]} == {}
