@@ -28,15 +28,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; a missing ``lang`` becomes the one found.
 
     What goes: texts without a letter, null ones included, and texts that are
-    less near to every language than half of what 999 in 1000 held-out documents
-    reach, such as other scripts and noise. Repeated rows are judged alike; other
+    less near to their language than half of what 999 in 1000 held-out documents
+    found to be in it reach, such as other scripts and noise. Repeated rows are judged alike; other
     columns stay as they are, whatever their names; an empty table gives no rows.
     """
     held = langid.held_out(F.col("doc_id"))
     profiles = stored(langid.learn(docs.where(~held)), "profiles")
-    bound = langid.least_nearness(docs.where(held), profiles)
+    bounds = langid.least_nearness(docs.where(held), profiles).withColumnRenamed("lang", "bound_lang")
     held_rows = docs.select("text", F.struct("*").alias("doc"))
-    found = langid.predict(held_rows, profiles).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("nearness") >= bound))
+    found = langid.predict(held_rows, profiles).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = found.join(F.broadcast(bounds), F.col("lang_pred") == F.col("bound_lang"), "left").where(F.col("nearness") >= F.coalesce("bound", F.lit(0.0)))
     lang = F.coalesce(F.col("doc")["lang"], "lang_pred")
     return found.select(*((lang if c == "lang" else F.col("doc")[c]).alias(c) for c in docs.columns))
 

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import per_process, small_batches
+from ledgerloom.llm.scratch import per_process, row_number, small_batches, stored
+from ledgerloom.operators.written import ranked as ranked_rows
 
 UNKNOWN = "und"
 #: Characters of a text that are coded at once.
@@ -78,37 +79,58 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _labelled(docs: DataFrame, docs_per_language: int) -> DataFrame:
-    """(lang, text) of about ``docs_per_language`` labelled rows of each language, chosen by a hash of doc_id and text; all where there are fewer."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    languages = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("n")))  # a row a label, of which the driver holds whole profiles
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.join(languages, "lang").where(draw * F.col("n") < docs_per_language).select("lang", "text")
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(lang, text) of every row with a label and a text."""
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def learn(docs: DataFrame, *, size: int = 400, docs_per_language: int = 4000) -> DataFrame:
-    """Profiles (lang, place, gram) from the labelled rows of ``docs``.
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram of all parts once, its counts added up."""
+    grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(grams), np.int64)
+    np.add.at(counts, back, np.concatenate([n for _, n in parts]))
+    return grams, counts
+
 
-    About ``docs_per_language`` documents of each language, chosen by a hash of
-    doc_id and text, are enough for ranks, and all are taken where there are
-    fewer; each is read whole. Every label is learned; ties of n-grams go to the
+def language_counts(batches: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """(lang, gram, n) of all texts of the batches; an n-gram comes again where those of a task are many.
+
+    About ``most`` n-grams and those of one text are held at a time, whatever the
+    number of texts, languages and letters.
+    """
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    n_held = 0
+
+    def given() -> Iterator[pd.DataFrame]:
+        for lang, parts in held.items():
+            grams, counts = _merged(parts)
+            yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": counts})
+
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            part = ngram_counts(text)
+            if not len(part[0]):
+                continue
+            held.setdefault(lang, []).append(part)
+            n_held += len(part[0])
+            if n_held > most:
+                held = {lang: [_merged(parts)] for lang, parts in held.items()}
+                n_held = sum(len(parts[0][0]) for parts in held.values())
+                if n_held > most // 2:
+                    yield from given()
+                    held, n_held = {}, 0
+    yield from given()
+
+
+def learn(docs: DataFrame, *, size: int = 400) -> DataFrame:
+    """Profiles (lang, place, gram) from all labelled rows of ``docs``.
+
+    Every text is read whole and every label is learned; ties of n-grams go to the
     lesser code. Rows without a label or a text teach nothing; an empty table
     gives no profiles.
     """
     small_batches(docs.sparkSession)
-    sample = _labelled(docs, docs_per_language)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, dict[int, int]] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                own = totals.setdefault(lang, {})
-                for g, n in zip(*(x.tolist() for x in ngram_counts(text)), strict=True):
-                    own[g] = own.get(g, 0) + n
-        for lang, own in totals.items():
-            yield pd.DataFrame({"lang": lang, "gram": np.fromiter(own, np.int64, len(own)), "n": np.fromiter(own.values(), np.int64, len(own))})
-
-    counted = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = _labelled(docs).mapInPandas(language_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counted.withColumn("place", place).where(F.col("place") <= size).select("lang", "place", "gram")
 
@@ -158,11 +180,18 @@ def predict(docs: DataFrame, profiles: DataFrame, *, size: int = 400) -> DataFra
     return rest.withColumn(name, identify(F.col("text").cast("string"))).select(*(rest.columns), F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"), F.col(name)["nearness"].alias("nearness"))
 
 
-def least_nearness(docs: DataFrame, profiles: DataFrame, *, share: float = 0.5, docs_per_language: int = 1000) -> float:
-    """A bound that texts of the learned languages keep well above: ``share`` of what 999 in 1000 of the labelled ``docs`` reach, 0 without any.
+def least_nearness(docs: DataFrame, profiles: DataFrame, *, share: float = 0.5) -> DataFrame:
+    """(lang, bound): what texts found to be in a language keep well above, ``share`` of what 999 in 1000 of the labelled ``docs`` found to be in it reach.
 
-    It is fitted to about ``docs_per_language`` documents a language; give it rows
-    that the profiles were not learned from.
+    Every labelled row with a letter counts, and the percentile is exact, with the
+    line between two neighbours; a language that no row is found to be in has no
+    bound. Give it rows that the profiles were not learned from. Rows are ranked in
+    ranges, however many a language has.
     """
-    found = predict(_labelled(docs, docs_per_language), profiles).where(F.col("lang_pred") != UNKNOWN)
-    return share * (found.agg(F.percentile("nearness", 0.001).alias("p")).first()["p"] or 0.0)
+    found = predict(_labelled(docs), profiles).where(F.col("lang_pred") != UNKNOWN)
+    reached = stored(found.select(F.col("lang_pred").alias("lang"), "nearness"), "nearness")
+    cuts = reached.groupBy("lang").agg((0.001 * (F.count("*") - 1)).alias("cut"))
+    placed = ranked_rows(reached.select("lang", "nearness", row_number().alias("row")), ["lang"], [F.col("nearness"), F.col("row")])
+    weight = 1 - F.abs(F.col("place") - 1 - F.col("cut"))
+    beside = placed.join(F.broadcast(cuts), "lang").withColumn("weight", weight).where(F.col("weight") > 0)
+    return beside.groupBy("lang").agg((share * F.sum(F.col("weight") * F.col("nearness"))).alias("bound"))

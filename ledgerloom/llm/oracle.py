@@ -58,7 +58,7 @@ SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id =
 """
 
 
-#: Profiles of all documents that are not held out, for tables with no more than ``docs_per_language`` of a language.
+#: Profiles of all documents that are not held out.
 OP6 = r"""
 WITH crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, len(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
   lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295) % 4 = 2 AS held_out FROM documents),
