@@ -41,6 +41,11 @@ def scanned(rows: DataFrame, key: str, text: str, patterns: Sequence[tuple] = SC
     return placed.select(key, "pattern", (F.col("upto") - length).cast("long").alias("offset"), length.cast("long").alias("length"), of(1).alias("category"), of(2).alias("severity"), shown.alias("excerpt"))
 
 
+def whole_words(*words: str) -> str:
+    """An expression for any of ``words`` that no ASCII letter, digit or underscore touches, as SQL's engines read ``\\b``; Java's own, before version 19, counts all letters."""
+    return rf"(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])"
+
+
 def linted(rows: DataFrame, key: str, text: str, claims: DataFrame, forbidden: Sequence[str], boast: str, negation: str) -> DataFrame:
     """(key, finding) of texts against a register of claims (claim): unknown claims (UNKNOWN:id), forbidden phrases and boasts in lines that don't negate them, credentials."""
     found = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"CLAIM-[0-9]{3}"), F.lit(0)))).alias("claim")).join(claims, "claim", "left_anti")

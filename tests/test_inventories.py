@@ -8,14 +8,32 @@ import stat
 import struct
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ledgerloom.operators import accounting, asof, assess, components, parity, rule_index, stages, texts, thresholds, views
 from ledgerloom.sources import archives, formats
 from ledgerloom.streaming import ledgers
 
 
+@pytest.fixture
+def sides(spark, tmp_path):
+    """The rows of a query and those of its SQL over tables of their own, sorted."""
+
+    def both(name, **tables):
+        con = duckdb.connect()
+        for table, rows in tables.items():
+            rows.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        found = __spark_entry__.queries()[name](spark, str(tmp_path))
+        want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+        return sorted(map(tuple, found.collect()), key=repr), sorted(want, key=repr)
+
+    return both
+
+
 def reached(edges):
     out = {}
     for x in {n for e in edges for n in e}:
@@ -218,3 +236,10 @@ def test_tables_with_repeats_are_not_compared(spark):
             assert [tuple(r) for r in assess.ranked_tables(*pair, "rank", "item").collect()] == [(None, None, None, "NOT_COMPARABLE")]
             assert [tuple(r) for r in parity.tokens_to_ids(*pair, "item", "rank").collect()] == [(None, "NOT_COMPARABLE")]
             assert [tuple(r) for r in parity.ids_to_tokens(*pair, "item", "rank").collect()] == [(None, None, "NOT_COMPARABLE")]
+
+
+def test_other_letters_end_a_word_as_in_sql(spark, sides):
+    said = ["the noñ", "the ñot", "the no_", "the not", "then é no", "the nó", "the no9", "claimé", "_claim", "the claim\nnoé the claim", "Bearer x", None]
+    turns = spark.createDataFrame([(k, turn, "user", text) for k, text in enumerate(said) for turn in (0, 1)], "conv_id long, turn long, role string, text string")
+    got, want = sides("publication_lint", conversations=turns, nation=spark.range(9).selectExpr("int(id) AS n_nationkey"))
+    assert got == want and {x for _, x in got} >= {"BOAST", "FORBIDDEN:the "}
