@@ -1,4 +1,4 @@
-"""Queries that write files into the shared folder and read them as sources. Binary headers are written as text: numbers are chosen so that all of their bytes are ASCII."""
+"""Queries that write files into the shared folder and read them as sources. Binary headers are written as text whose numbers are raw bytes."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,9 +16,10 @@ def _text_files(rows: DataFrame, name: str, key: str) -> str:
 
 
 def _number(value: Column | int, n_bytes: int) -> Column:
-    """A number of ``n_bytes`` bytes, the lowest first, as text; every byte is below 128."""
+    """A number of ``n_bytes`` bytes, the lowest first, as a text of just these bytes; one that has 128 or more is no UTF-8, so such texts are joined and written only."""
     value = F.lit(value) if isinstance(value, int) else value
-    return F.concat(*(F.chr(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(127)) for k in range(n_bytes)))
+    digits = F.lpad(F.hex(value.cast("long")), max(16, 2 * n_bytes), "0")
+    return F.unhex(F.concat(*(F.substring(digits, max(16, 2 * n_bytes) - 2 * k - 1, 2) for k in range(n_bytes)))).cast("string")
 
 
 def _read(spark: SparkSession, format_: str, folder: str, key: str) -> DataFrame:
@@ -158,10 +159,12 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = F.col("c_nationkey")
     size = packed * F.when(k % 17 == 0, 512).otherwise(1)
     rest = F.lit(110) - F.length("name")  # an entry takes 256 bytes: its name, an unknown field of 100, and a comment
-    wide = F.when(k % 17 == 0, F.concat(_number(0, 1), _number(packed * 2, 3))).otherwise(_number(packed, 4))
-    entry = F.concat(F.lit("PK\u0001\u0002"), n(0, 4), n(F.when(k % 13 == 0, 1).otherwise(0), 2), n(0, 10), n(packed, 4), wide, n(F.length("name"), 2), n(100, 2), n(rest, 2), n(0, 12), "name", n(77, 2), n(96, 2), F.repeat(F.lit("e"), 96), F.repeat(F.lit("c"), rest))
+    entry = F.concat(F.lit("PK\u0001\u0002"), n(0, 4), n(F.when(k % 13 == 0, 1).otherwise(0), 2), n(0, 10), n(packed, 4), n(size, 4), n(F.length("name"), 2), n(100, 2), n(rest, 2), n(0, 12), "name", n(77, 2), n(96, 2), F.repeat(F.lit("e"), 96), F.repeat(F.lit("c"), rest))
     rows = table(spark, sf_dir, "customer").withColumn("name", name)
     sums = rows.groupBy((k % 128).alias("archive")).agg(F.count("*").alias("n"), F.array_join(F.collect_list(entry), "").alias("directory"))
-    end = F.concat(F.lit("PK\u0005\u0006"), n(0, 4), n(F.col("n"), 2), n(F.col("n"), 2), n(0, 1), n(F.col("n"), 3), n(0, 4), n(1, 2))  # the line's end is the archive's comment
+    last = lambda count, size, begin: F.concat(F.lit("PK\u0005\u0006"), n(0, 4), n(count, 2), n(count, 2), n(size, 4), n(begin, 4), n(1, 2))  # noqa: E731  the line's end is the archive's comment
+    own, length = F.col("n"), F.col("n") * 256
+    wide_end = F.concat(F.lit("PK\u0006\u0006"), n(44, 8), n(0, 12), n(own, 8), n(own, 8), n(length, 8), n(0, 8), F.lit("PK\u0006\u0007"), n(0, 4), n(length, 8), n(1, 4), last(0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF))
+    end = F.when(own < 0xFFFF, last(own, length, 0)).otherwise(wide_end)  # more entries need the 64-bit form
     found = _read(spark, "archive_entries", _text_files(sums.select("archive", F.concat("directory", end).alias("value")), "archive-files", "archive"), "archive")
     return archives.entry_findings(found).select("archive", "name", "encrypted", "packed", "size", "finding")

@@ -243,3 +243,9 @@ def test_other_letters_end_a_word_as_in_sql(spark, sides):
     turns = spark.createDataFrame([(k, turn, "user", text) for k, text in enumerate(said) for turn in (0, 1)], "conv_id long, turn long, role string, text string")
     got, want = sides("publication_lint", conversations=turns, nation=spark.range(9).selectExpr("int(id) AS n_nationkey"))
     assert got == want and {x for _, x in got} >= {"BOAST", "FORBIDDEN:the "}
+
+
+def test_archives_of_any_number_of_entries(spark, sides):
+    keys = spark.range(66_000).selectExpr("id * 128 AS k").union(spark.range(200).selectExpr("id * 128 + 1")).union(spark.range(300).selectExpr("id * 128 + 2"))  # a count beyond 16 bits, and bytes of 128 and more
+    got, want = sides("archive_entries", customer=keys.selectExpr("k AS c_custkey", "int(k % 25) AS c_nationkey", "'SEGMENT' AS c_mktsegment"))
+    assert len(got) == 66_500 and got == want
