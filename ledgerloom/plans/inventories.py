@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import accounting, asof, rule_index, views
-from ledgerloom.operators.written import written
 from ledgerloom.plans.catalogue import query, table
 from ledgerloom.plans.drawn import drawn, drawn_sql
 
@@ -45,7 +44,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     schedule = orders.select(F.col("o_orderkey").alias("layer"), kinds.alias("x")).select("layer", "x.*")
     inventory = _inventory(spark, sf_dir)
     claimed = accounting.claims(spark.createDataFrame(list(_RULES), accounting.RULES), schedule)
-    return written(accounting.judged(claimed, inventory), "judged"), inventory
+    return accounting.judged(claimed, inventory), inventory
 
 
 @query(f"""WITH {_ACCOUNTS}, e AS (SELECT side, name, count(*) AS n, max(n_there) AS n_there, max(state) AS given, max(status) AS status FROM j JOIN g USING (rule_id, layer) GROUP BY 1, 2)

@@ -112,6 +112,14 @@ def test_every_entity_is_in_one_state(spark):
     assert {(r.name, r.rules) for r in accounting.conflicts(judged).collect()} == {("s4.1", "many[4],one[4]"), ("t4", "many[4],one[4]")}
 
 
+def test_layers_are_claimed_where_they_lie(spark):
+    rules = [("a", "F", "s{layer}.{member}", ["t{layer}"], 1, None, "MEMBER", "PACKED", None), ("b", "O", "s{layer}.1", ["t{layer}"], 1, 1, "DIRECT", "REALIZED", None)]
+    schedule = spark.createDataFrame([(1, "F", 2), (2, "O", 0)], "layer long, kind string, members int")
+    claimed = accounting.claims(spark.createDataFrame(rules, accounting.RULES), schedule)
+    assert claimed.count() == 5
+    assert "Exchange hashpartitioning" not in claimed._jdf.queryExecution().executedPlan().toString()  # else all layers of a kind are one task's
+
+
 def safetensors(header, payload=b""):
     body = header if isinstance(header, bytes) else json.dumps(header).encode()
     return struct.pack("<Q", len(body)) + body + payload
