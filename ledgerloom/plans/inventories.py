@@ -51,10 +51,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SELECT inv.side, CASE WHEN e.n IS NULL THEN 'UNCLAIMED' WHEN e.n > 1 THEN 'CONFLICT' WHEN n_there > 1 THEN 'AMBIGUOUS' WHEN status <> 'MAPPED' THEN 'GROUP_FAILED' ELSE given END AS state, count(*) AS n, sum(count(*)) OVER (PARTITION BY inv.side)::BIGINT AS n_side FROM inv LEFT JOIN e USING (side, name) GROUP BY 1, 2""")
 def inventory_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sources and targets are in each state; the states of a side sum to its inventory."""
-    judged, inventory = _judged(spark, sf_dir)
-    sums = accounting.states(judged, inventory).groupBy("side", "state").agg(F.count("*").alias("n"))
-    whole = inventory.groupBy("side").agg(F.count("*").alias("n_side"))
-    return sums.join(whole, "side").select("side", "state", "n", "n_side")
+    return accounting.state_counts(*_judged(spark, sf_dir))
 
 
 @query(f"WITH {_ACCOUNTS} SELECT rule_id, status, count(*) AS n_groups, sum(n)::BIGINT AS n_claims FROM g GROUP BY 1, 2")

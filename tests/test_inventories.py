@@ -7,6 +7,7 @@ import random
 import stat
 import struct
 import zipfile
+from collections import Counter
 
 import duckdb
 import pytest
@@ -120,6 +121,19 @@ def test_layers_are_claimed_where_they_lie(spark):
     assert "Exchange hashpartitioning" not in claimed._jdf.queryExecution().executedPlan().toString()  # else all layers of a kind are one task's
 
 
+def test_states_are_counted_without_their_names(spark):
+    r = random.Random(3)
+    names = lambda side, letter, n: [(side, f"{letter}{r.randrange(40)}" + (f".{r.randrange(4)}" if side == "source" else ""), r.choice(["A", "B", None])) for _ in range(n)] + [(side, None, "A")]
+    table = spark.createDataFrame(names("source", "s", 90) + names("target", "t", 30) + [("other", "x", None)], "side string, name string, type string")
+    rules = [("many", "F", "s{layer}.{member}", ["t{layer}"], 1, None, "MEMBER", "PACKED", ["A"]), ("one", "O", "s{layer}.1", ["t{layer}"], 1, 1, "DIRECT", "REALIZED", None), ("aux", "P", "s{layer}.2", None, 1, 1, "CONFLICT", None, None)]
+    schedule = [(k, kind, r.randrange(4)) for k in range(40) for kind in r.sample("FOP", r.randrange(3))]
+    judged = accounting.judged(accounting.claims(spark.createDataFrame(rules, accounting.RULES), spark.createDataFrame(schedule, "layer long, kind string, members int")), table)
+    listed = Counter((x.side, x.state) for x in accounting.states(judged, table).collect())
+    whole = Counter(x.side for x in table.collect())
+    assert {(x.side, x.state): (x.n, x.n_side) for x in accounting.state_counts(judged, table).collect()} == {(side, state): (n, whole[side]) for (side, state), n in listed.items()}
+    assert len(listed) >= 9
+
+
 def safetensors(header, payload=b""):
     body = header if isinstance(header, bytes) else json.dumps(header).encode()
     return struct.pack("<Q", len(body)) + body + payload
