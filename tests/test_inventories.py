@@ -100,6 +100,26 @@ def test_first_rules_equal_trying_all(spark):
         assert got[n] == (min(own)[1] if own else None), n
 
 
+def test_rules_of_numbers_are_filed_apart(spark):
+    globs = [form.format(k) for k in range(100_000, 100_900) for form in ("*.{}.*.[!1-3]", "?i*.{}?*", "l?ne.{}.[0-4]*", "[xl]*?{}.*")]
+    index = rule_index.indexed(spark.createDataFrame([(k, 1, g) for k, g in enumerate(globs)], "rule long, rank int, pat string"), "pat")
+    assert index.groupBy("kind", "length", "piece").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_first_rules_of_words_equal_trying_all(spark):
+    r = random.Random(8)
+    numbers = [str(r.choice([r.randrange(10), r.randrange(1000), 10**30 + r.randrange(9)])) for _ in range(60)]
+    names = [r.choice(["line", "Line", "é", ""]) + r.choice(".-]") + r.choice(numbers) + r.choice(["", ".", "]", "é"]) + r.choice(numbers) for _ in range(300)] + ["]a", "a]b", "[a]", "!]", "", None]
+    forms = ("*.{}.*", "?i*.{}?*", "*{}", "{}*", "*.{}", "l?ne.{}[0-4]*", "*[]a]{}*", "[!]]*{}.?*", "*]{}", "*é{}", "*[{}]", "*n?.{}")
+    globs = [f.format(n) for f in forms for n in r.sample(numbers, 12)] + ["[]a]*", "[!]a]*", "*[!]", "[]", "**", "", "[[]a*"]
+    rules = [(k, r.randrange(5), g) for k, g in enumerate(globs * 2)] + [(999, None, "*.7*")]
+    got = {x.name: x.rule for x in rule_index.first_matches(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(rules, "rule long, rank int, pat string"), "name", "rule", "rank", "pat").collect()}
+    assert len(got) == len(set(names))
+    for n in set(names):
+        own = [(-1 if rank is None else rank, k) for k, rank, g in rules if n is not None and fnmatch.fnmatchcase(n, g)]
+        assert got[n] == (min(own)[1] if own else None), n
+
+
 def test_every_entity_is_in_one_state(spark):
     rules = [("many", "F", "s{layer}.{member}", ["t{layer}"], 1, None, "MEMBER", "PACKED", ["A"]), ("one", "O", "s{layer}.1", ["t{layer}", "u{layer}"], 1, 1, "DIRECT", "REALIZED", None), ("aux", "F", "s{layer}.9", None, 1, 1, "AUX", None, None)]
     schedule = [(1, "F", 2), (2, "F", 3), (3, "O", 0), (4, "O", 0), (4, "F", 1), (5, "F", 1), (6, "O", 0)]
