@@ -151,7 +151,7 @@ f AS (SELECT *, CASE WHEN regexp_matches(name, '(^|[/\\\\])[.][.]([/\\\\]|$)') T
 
 @query(f"WITH {_ENTRIES_SQL} SELECT archive::INTEGER AS archive, name, encrypted, packed::BIGINT AS packed, size::BIGINT AS size, finding FROM f")
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of archives, a row each from their directories, with what is wrong about them. Links, whose mode is no ASCII, are in the tests."""
+    """Entries of archives, a row each from their directories, with what is wrong about them. Links are in the tests."""
     k, n = F.col("c_custkey"), lambda v, b: _number(v, b)
     said = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
     forms = {1: said("a/../", k), 2: said("/abs", k), 3: said("x\\..\\", k), 4: said("C:", k), 5: F.lit("same")}
